@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import sharding, url_filter
+from reviewlens.llm import quality, sharding, url_filter
 from reviewlens.llm.common import table
 
 #: Fixed values of the URL query: (action, host, path).
@@ -34,4 +34,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES, again).select("page_id", "host", "path", "rule", "verdict")
 
 
-ALL = [op1_sharding, op3_url_filter]
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics, judged by the rules learned from the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn_from(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ALL = [op1_sharding, op3_url_filter, op4_quality]
