@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import quality, sharding, url_filter
+from reviewlens.llm import mixing, packing, quality, sharding, url_filter
 from reviewlens.llm.common import table
 
 #: Fixed values of the URL query: (action, host, path).
@@ -41,4 +41,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-ALL = [op1_sharding, op3_url_filter, op4_quality]
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mixture takes of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"))
+    mixed = mixing.mix(docs, size="words")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "rate")
+
+
+ALL = [op1_sharding, op3_url_filter, op4_quality, op7_packing, op10_mixing]
