@@ -122,14 +122,17 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, spread:
     """Number the rows of each group from 0 in the order ``spread`` (as unsigned), then ``order``.
 
     ``spread`` names a column of evenly spread longs (a hash). The rows of a group fall into buckets
-    by ``spread``, about ``per_bucket`` rows each, so no group however large meets in one task; the
+    by ``spread``, about ``per_bucket`` rows each, so no group however large meets in one task (no ``group``: all rows are one); the
     buckets' counts, far fewer than the rows, give each bucket its first number. ``count``: a name
     for the group's number of rows. Adds ``out``; other columns starting with ``_`` must not clash.
     """
     names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
-    sizes = small(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).select(*names, "_size"), BROADCAST_ROWS)
     share = F.shiftrightunsigned(F.col(spread), 11).cast("double") / float(1 << 53)
-    keyed = df.join(sizes, _same(df, group), "inner").drop(*[f"_g{i}" for i in range(len(group))])
+    if group:
+        sizes = small(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).select(*names, "_size"), BROADCAST_ROWS)
+        keyed = df.join(sizes, _same(df, group), "inner").drop(*[f"_g{i}" for i in range(len(group))])
+    else:
+        keyed = df.withColumn("_size", F.lit(df.count()).cast("long"))
     keyed = keyed.withColumn("_b", F.floor(share * F.ceil(F.col("_size") / per_bucket)).cast("long"))
     counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))

@@ -85,9 +85,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     key are interchangeable. Null sources are one source; null keys and empty texts are dealt like
     others; an empty table gives an empty one. Columns with the added names are replaced.
     """
-    own = n_words(F.col(text)) if size is None else F.col(size).cast("long")
-    docs = docs.withColumn("_size0", own).drop("size", "source_size", "target", "rate", "copies").withColumnRenamed("_size0", "size")
-    docs = docs.withColumns({"_s": F.col(source), "_k": F.col(key), "_h": F.xxhash64(F.lit(seed), F.col(key), F.col("size"))})
+    own = n_words(docs[text]) if size is None else docs[size].cast("long")
+    columns = [docs[c] for c in docs.columns if c.lower() not in {"size", "source_size", "target", "rate", "copies"}]
+    docs = docs.select(F.struct(*columns).alias("_row"), docs[source].alias("_s"), docs[key].alias("_k"), own.alias("size"))
+    docs = docs.withColumn("_h", F.xxhash64(F.lit(seed), "_k", "size"))
     cells = keep(docs.groupBy(F.col("_s").alias("source"), "size").agg(F.count(F.lit(1)).alias("n")))
     sources = keep(targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share))
     solved = balance(cells, sources).select(F.col("source").alias("_src"), "source_size", "target", "lam", "_mean")
@@ -101,4 +102,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     out = placed.join(rated, placed["_s"].eqNullSafe(F.col("_src")) & (F.col("size") == F.col("_size")))
     extra = F.floor(F.col("_before") + (F.col("_at") + 1) * F.col("_part")) - F.floor(F.col("_before") + F.col("_at") * F.col("_part"))
     out = out.withColumn("copies", F.least(F.lit(MOST_COPIES), F.floor("rate") + extra).cast("int"))
-    return out.drop("_s", "_k", "_h", "_at", "_src", "_size", "_part", "_before")
+    return out.select("_row.*", "size", "source_size", "target", "rate", "copies")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import mixing, packing, quality, sharding, url_filter
+from reviewlens.llm import mixing, packing, quality, sharding, substrings, url_filter
 from reviewlens.llm.common import table
 
 #: Fixed values of the URL query: (action, host, path).
@@ -48,6 +48,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 20 words that start earlier in the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substrings.deduplicate(docs, 20)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mixture takes of each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -56,4 +63,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "rate")
 
 
-ALL = [op1_sharding, op3_url_filter, op4_quality, op7_packing, op10_mixing]
+ALL = [op1_sharding, op3_url_filter, op4_quality, op7_packing, op9_substrings, op10_mixing]

@@ -19,12 +19,12 @@ def interleave(docs: DataFrame, shards: int = 16, source: str = "source", key: s
     equal places are ordered by source, hash and key, and rows equal in these are interchangeable.
     An empty table gives an empty one. Columns named ``shard`` or ``slot`` are replaced.
     """
-    docs = docs.drop("shard", "slot").withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    docs = docs.withColumn("_s", F.col(source)).withColumn("_k", F.col(key))
-    inside = ranked(docs, ["_s"], ["_k"], "_rank", "_h", count="_of")
+    docs = docs.drop("shard", "slot")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[source].alias("_s"), docs[key].alias("_k"), F.xxhash64(F.lit(seed), docs[key]).alias("_h"))
+    inside = ranked(rows, ["_s"], ["_k"], "_rank", "_h", count="_of")
     place = (F.col("_rank") + F.lit(0.5)) / F.col("_of")
     inside = inside.withColumn("_place", F.shiftleft((place * float(1 << 53)).cast("long"), 11))
-    # one group: its rows are spread by place, which the fractions make even
-    whole = ranked(inside.withColumn("_all", F.lit(0)), ["_all"], [F.col("_s").asc_nulls_last(), "_h", "_k"], "_at", "_place", count="_total")
-    whole = whole.withColumn("shard", F.expr(f"int((_at * {shards}) div _total)")).withColumn("slot", F.expr(f"_at - (shard * _total + {shards - 1}) div {shards}"))
-    return whole.drop("_h", "_s", "_k", "_rank", "_of", "_place", "_all", "_at", "_total")
+    # all rows are spread by place, which the fractions make even
+    whole = ranked(inside, [], [F.col("_s").asc_nulls_last(), "_h", "_k"], "_at", "_place", count="_total")
+    whole = whole.withColumn("shard", F.expr(f"int((_at * {shards}) div _total)"))
+    return whole.select("_row.*", "shard", F.expr(f"_at - (shard * _total + {shards - 1}) div {shards}").alias("slot"))

@@ -21,4 +21,25 @@ select c.page_id, c.host, c.path, b.rule, coalesce(b.action, case when l.canonic
 from c left join best b on c.page_id = b.page_id and c.url = b.url left join listed l on c.canonical = l.canonical
 """
 
-ORACLE_SQL = {"op3_url_filter": OP3}
+OP9 = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (
+  select doc_id, p, array_to_string(w[p:p + 19], ' ') as t
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as p from d)
+),
+late as (
+  select doc_id, p from (
+    select doc_id, p, row_number() over (partition by md5(t) order by doc_id, p) as k from win
+  ) where k > 1
+),
+word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
+gone as (select distinct doc_id, i from (select doc_id, unnest(range(p, p + 20)) as i from late)),
+kept as (
+  select word.doc_id, count(*) filter (gone.i is not null) as n_removed, string_agg(x, ' ' order by word.i) filter (gone.i is null) as kept
+  from word left join gone on word.doc_id = gone.doc_id and word.i = gone.i group by word.doc_id
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from d left join kept k on d.doc_id = k.doc_id
+"""
+
+ORACLE_SQL = {"op3_url_filter": OP3, "op9_substrings": OP9}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.llm.bloom import BROADCAST_BLOCKS, LANES, block_of, bloom, blocks_for, in_bloom
 from reviewlens.llm.common import keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -12,11 +13,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parameters that tell only where a visitor came from.
 TRACKING = r"^(utm_[^=]*|ref)(=|$)"
 
-#: Blocks of the filter that may be broadcast: 64 bytes of bits each, so 8 MB. More are joined by shuffle.
-BROADCAST_BLOCKS = 1 << 17
-LANES = 8
-
-
 def _rest(url: Column) -> Column:
     at = F.instr(url, "://")
     return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
@@ -40,27 +36,6 @@ def canonical(url: Column) -> Column:
     return F.when(kept != "", F.concat(where, F.lit("?"), kept)).otherwise(where)
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(blocks - 1))
-
-
-def _bit(key: Column, lane: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 6 * lane).bitwiseAND(F.lit(63)).cast("int")
-
-
-def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
-    """A blocked Bloom filter as a table: ``block`` and eight words of 64 bits; a key sets one bit in each."""
-    at = [F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col(key), i)) for i in range(LANES)]
-    return listed.groupBy(_block(F.col(key), blocks).alias("block")).agg(*[F.bit_or(x).alias(f"w{i}") for i, x in enumerate(at)])
-
-
-def in_bloom(key: Column) -> Column:
-    found = F.lit(True)
-    for i in range(LANES):
-        found = found & (F.call_function("shiftright", F.col(f"w{i}"), _bit(key, i)).bitwiseAND(F.lit(1)) == 1)
-    return F.coalesce(found, F.lit(False))
-
-
 def listed_among(pages: DataFrame, listed: DataFrame, key: str = "canonical") -> DataFrame:
     """``pages`` with ``listed`` (boolean): whether ``key`` is in the one-column table ``listed``.
 
@@ -70,13 +45,11 @@ def listed_among(pages: DataFrame, listed: DataFrame, key: str = "canonical") ->
     """
     pages = pages.drop("listed")
     listed = keep(listed.toDF("_listed").where("_listed is not null").distinct())
-    blocks = 1
-    while blocks * 512 < 16 * listed.count() and blocks < 1 << 40:
-        blocks *= 2
+    blocks = blocks_for(listed.count())
     bits = bloom(listed, "_listed", blocks)
     if blocks <= BROADCAST_BLOCKS:
         bits = F.broadcast(bits)
-    probed = pages.withColumn("_block", _block(F.coalesce(F.col(key), F.lit("")), blocks))
+    probed = pages.withColumn("_block", block_of(F.coalesce(F.col(key), F.lit("")), blocks))
     probed = probed.join(bits, probed["_block"] == bits["block"], "left").withColumn("_maybe", in_bloom(F.col(key)))
     probed = probed.drop("_block", "block", *[f"w{i}" for i in range(LANES)])
     # rows that the filter clears don't enter the join: their keys would only travel
