@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import mixing, packing, quality, sharding, substrings, url_filter
+from reviewlens.llm import mixing, ngram_join, packing, quality, sharding, substrings, url_filter
 from reviewlens.llm.common import table
 
 #: Fixed values of the URL query: (action, host, path).
@@ -41,6 +41,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under links of 85 % of the union of their 4-word shingles."""
+    return ngram_join.link(table(spark, sf_dir, "documents"), 4, 85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     import public_tokenizers
@@ -63,4 +68,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "rate")
 
 
-ALL = [op1_sharding, op3_url_filter, op4_quality, op7_packing, op9_substrings, op10_mixing]
+ALL = [op1_sharding, op3_url_filter, op4_quality, op5_ngram_join, op7_packing, op9_substrings, op10_mixing]
