@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import mixing, ngram_join, packing, quality, sharding, substrings, url_filter
+from reviewlens.llm import html_text, language, mixing, ngram_join, packing, quality, sharding, substrings, url_filter
 from reviewlens.llm.common import table
 
 #: Fixed values of the URL query: (action, host, path).
@@ -27,6 +27,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the rules, else by a list: canonical URLs captured more than once."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -53,6 +58,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from four fifths of the labelled documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language.learn(docs)
+    rows = docs.select("doc_id", "text")
+    # ids and predictions travel; texts only into the workers
+    out = language.predict(rows.withColumn("held_out", language.held_out(F.col("doc_id"))).select("doc_id", "held_out", "text"), net)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the windows of 20 words that start earlier in the corpus."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,4 +83,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "rate")
 
 
-ALL = [op1_sharding, op3_url_filter, op4_quality, op5_ngram_join, op7_packing, op9_substrings, op10_mixing]
+ALL = [op1_sharding, op2_html_text, op3_url_filter, op4_quality, op5_ngram_join, op7_packing, op8_language, op9_substrings, op10_mixing]
