@@ -75,6 +75,19 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def to_python(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python workers: batches are bounded by bytes, so that long texts can't fill a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, None)
+    if not now or not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+#: Bytes of an Arrow batch of texts, unless a single row has more.
+BATCH_BYTES = 4 << 20
+
+
 # --- columns ---------------------------------------------------------------
 
 

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.llm import bloom
-from reviewlens.llm.common import Scratch, keep, text_buffers, window_hashes, word_hashes, word_spans, words
+from reviewlens.llm.common import BROADCAST_ROWS, Scratch, keep, small, text_buffers, to_python, window_hashes, word_hashes, word_spans, words
 from reviewlens.llm.packing import slices
 
-GRAM = 8
+GRAM = 6
 #: Kinds of rows that parsing a block leaves.
 PHRASE, KNOWN, WINDOW, REPEAT = range(4)
-SCHEMA = "kind int, h long, doc_id long, th long, pos int, at binary"
+SCHEMA = "kind int, h long, doc_id long, rk long, pos int"
 
 
 def _windows(raw, at, window):
@@ -40,12 +40,11 @@ def _windows(raw, at, window):
     return s, doc[s], whole[s], place, grams, first
 
 
-def _batch(kind, h, doc=None, th=None, pos=None, at=None):
+def _batch(kind, h, doc=None, rk=None, pos=None):
     n = len(h)
-    doc, th = (pa.nulls(n, pa.int64()) if x is None else x for x in (doc, th))
+    doc, rk = (pa.nulls(n, pa.int64()) if x is None else x for x in (doc, rk))
     pos = pa.nulls(n, pa.int32()) if pos is None else pa.array(pos.astype(np.int32))
-    at = pa.nulls(n, pa.binary()) if at is None else pa.array(at, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(h.astype(np.uint64).view(np.int64)), doc, th, pos, at], ["kind", "h", "doc_id", "th", "pos", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(h.astype(np.uint64).view(np.int64)), doc, rk, pos], ["kind", "h", "doc_id", "rk", "pos"])
 
 
 def _later(h, doc, pos):
@@ -62,14 +61,6 @@ def _later(h, doc, pos):
     return later, lead
 
 
-def _by_text(key, values):
-    """For sorted ``key``: its distinct values' first indexes, and the values of each as bytes."""
-    if not len(key):
-        return np.zeros(0, np.int64), []
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return cut, [x.astype("<i4").tobytes() for x in np.split(values, cut[1:])]
-
-
 def _parse(window):
     def run(batches):
         for batch in batches:
@@ -78,7 +69,7 @@ def _parse(window):
                 s, doc, whole, place, grams, first = _windows(raw, at, window)
                 if not len(s):
                     continue
-                ids, th = part.column(0), part.column(1)
+                ids, rk = part.column(0), part.column(1)
                 of = ids.to_numpy(zero_copy_only=False)
                 chosen = np.unique(place)
                 phrase, back, times = np.unique(grams[chosen], return_inverse=True, return_counts=True)
@@ -87,17 +78,16 @@ def _parse(window):
                 # asked of all blocks: phrases that this one holds once
                 once = chosen[~often[chosen]]
                 owner = pa.array(np.searchsorted(first, once, side="right") - 1)
-                yield _batch(PHRASE, grams[once], ids.take(owner), th.take(owner))
+                yield _batch(PHRASE, grams[once], None, rk.take(owner))
                 yield _batch(KNOWN, phrase[times > 1])
                 near = often[place]
                 s, doc, whole = s[near], doc[near], whole[near]
                 pos = s - first[doc]
                 later, lead = _later(whole, of[doc], pos)
                 own = pa.array(doc[lead])
-                yield _batch(WINDOW, whole[lead], ids.take(own), th.take(own), pos[lead])
-                cut, packed = _by_text(doc[later], pos[later])
-                own = pa.array(doc[later][cut])
-                yield _batch(REPEAT, np.zeros(len(cut), np.uint64), ids.take(own), th.take(own), at=packed)
+                yield _batch(WINDOW, whole[lead], ids.take(own), rk.take(own), pos[lead])
+                own = pa.array(doc[later])
+                yield _batch(REPEAT, np.zeros(len(own), np.uint64), ids.take(own), rk.take(own), pos[later])
 
     return run
 
@@ -110,8 +100,8 @@ def _shared(batches):
     rows = pa.Table.from_batches(held).combine_chunks()
     h = rows.column("h").to_numpy()
     _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-    hit = pa.array((times[back] > 1) & ~rows.column("doc_id").is_null().to_numpy())
-    yield from rows.filter(hit).select(["doc_id", "th", "h"]).to_batches(max_chunksize=50_000)
+    hit = pa.array((times[back] > 1) & ~rows.column("rk").is_null().to_numpy())
+    yield from rows.filter(hit).select(["rk", "h"]).to_batches(max_chunksize=50_000)
 
 
 def _look_up(window):
@@ -136,23 +126,17 @@ def _look_up(window):
 
 
 def _resolve(batches):
-    """Of a partition by window: the places of all but the first, gathered by text."""
+    """Of a partition by window: the places of all but the first."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     rows = pa.Table.from_batches(held).combine_chunks()
-    h, doc, th, pos = (rows.column(c).to_numpy() for c in ("h", "doc_id", "th", "pos"))
+    h, doc, pos = (rows.column(c).to_numpy() for c in ("h", "doc_id", "pos"))
     later, _ = _later(h.view(np.uint64), doc, pos)
-    doc, th, pos = doc[later], th[later], pos[later]
-    order = np.lexsort((pos, th, doc))
-    doc, th, pos = doc[order], th[order], pos[order]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    packed = [x.astype("<i4").tobytes() for x in np.split(pos, cut[1:])] if len(doc) else []
-    out = pa.Table.from_arrays([pa.array(doc[cut]), pa.array(th[cut]), pa.array(packed, pa.binary())], ["doc_id", "th", "at"])
-    yield from out.to_batches(max_chunksize=20_000)
+    yield from rows.filter(pa.array(later)).select(["doc_id", "rk", "pos"]).to_batches(max_chunksize=100_000)
 
 
-def _remove(window):
+def _remove(window, text):
     import re
 
     # the driver's pattern travels to the workers; the words are those of SPACE_CLASS
@@ -161,15 +145,16 @@ def _remove(window):
     def run(batches):
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, places, copy in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                w = word.findall(text.as_py() or "")
+            texts = batch.column(0).field(text).cast(pa.string())
+            for one, places, copy in zip(texts, batch.column(1), batch.column(2), strict=True):
+                w = word.findall(one.as_py() or "")
                 gone = np.zeros(len(w) + 1, np.int32)
                 if copy.as_py() and len(w) >= window:
                     gone[0] = 1
                 elif places.is_valid:
-                    starts = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in places.as_py()] or [np.zeros(0, np.int32)]))
-                    np.add.at(gone, starts, 1)
-                    np.add.at(gone, starts + window, -1)
+                    starts = np.unique(places.values.to_numpy())
+                    gone[starts] += 1
+                    gone[starts + window] -= 1
                 stays = np.cumsum(gone)[:-1] == 0
                 n_words.append(len(w))
                 n_removed.append(int((~stays).sum()))
@@ -198,27 +183,34 @@ def deduplicate(docs: DataFrame, window: int = 20, key: str = "doc_id", text: st
     """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs[key].cast("long"), F.lit(NO_KEY)).alias("doc_id"), docs[text].cast("string").alias("text"), F.xxhash64(docs[text]).alias("th"))
+    columns = [docs[c] for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("_row"), F.coalesce(docs[key].cast("long"), F.lit(NO_KEY)).alias("doc_id"), F.xxhash64(docs[text]).alias("th"))
+    rows = to_python(rows.withColumn("rk", F.xxhash64("doc_id", "th")))
     with Scratch(spark) as tmp:
-        slim = rows.select("doc_id", "th", "text").where("text is not null")
+        slim = rows.select("doc_id", "th", "rk", F.col("_row")[text].cast("string").alias("text")).where("text is not null")
         # whole copies: only the text's smallest key is parsed
-        heads = keep(slim.groupBy("th").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select(F.col("th").alias("_t"), "head"))
+        heads = slim.groupBy("th").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last")
+        heads = small(heads.select(F.col("th").alias("_t"), "head"), BROADCAST_ROWS)
         single, maybe = bloom.split(slim, "th", heads.select("_t"))
-        parsed = single.unionByName(maybe.join(heads, maybe["th"] == heads["_t"], "left").where("head is null or doc_id = head").select("doc_id", "th", "text"))
+        maybe = maybe.join(heads, maybe["th"] == heads["_t"], "left").where("head is null or doc_id = head")
+        parsed = single.select("doc_id", "rk", "text").unionByName(maybe.select("doc_id", "rk", "text"))
         found = tmp.write(parsed.mapInArrow(_parse(window), SCHEMA), "found")
-        asked = found.where(F.col("kind").isin(PHRASE, KNOWN)).select("h", "doc_id", "th")
-        shared = asked.repartition("h").mapInArrow(_shared, "doc_id long, th long, h long")
-        wanted = tmp.write(shared.groupBy("doc_id", "th").agg(F.collect_list("h").alias("hs")), "wanted")
-        _, texts = bloom.split(parsed, "th", wanted.select("th"))
-        texts = texts.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "hs")
+        asked = found.where(F.col("kind").isin(PHRASE, KNOWN)).select("h", "rk")
+        shared = asked.repartition("h").mapInArrow(_shared, "rk long, h long")
+        wanted = tmp.write(shared.groupBy(F.col("rk").alias("_k")).agg(F.collect_list("h").alias("hs")), "wanted")
+        _, texts = bloom.split(parsed, "rk", wanted.select("_k"))
+        texts = texts.join(wanted, texts["rk"] == wanted["_k"]).select("doc_id", "rk", "text", "hs")
         looked = texts.mapInArrow(_look_up(window), SCHEMA).unionByName(found.where(F.col("kind") == WINDOW))
-        repeats = looked.select("h", "doc_id", "th", "pos").repartition("h").mapInArrow(_resolve, "doc_id long, th long, at binary")
-        repeats = repeats.unionByName(found.where(F.col("kind") == REPEAT).select("doc_id", "th", "at"))
-        gone = keep(repeats.groupBy(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_list("at").alias("_at")))
-    heads = heads.withColumnRenamed("_t", "_t2")
-    clear, touched = bloom.split(rows, "th", gone.select("_t").union(heads.select("_t2")))
-    clear = clear.withColumn("_w", words(F.col("text"))).select("_row.*", F.size("_w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("_w", " ").alias("kept_text"))
-    touched = touched.join(gone, (F.col("doc_id") == F.col("_i")) & (F.col("th") == F.col("_t")), "left").join(heads, F.col("th") == F.col("_t2"), "left")
-    touched = touched.select("_row", "text", "_at", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)).alias("_copy"))
+        repeats = looked.select("h", "doc_id", "rk", "pos").repartition("h").mapInArrow(_resolve, "doc_id long, rk long, pos int")
+        repeats = repeats.unionByName(found.where(F.col("kind") == REPEAT).select("doc_id", "rk", "pos"))
+        gone = keep(repeats.groupBy(F.col("doc_id").alias("_i"), F.col("rk").alias("_k")).agg(F.collect_list("pos").alias("_at")))
+    copied = rows.join(heads.withColumnRenamed("_t", "_t2"), F.col("th") == F.col("_t2"), "left")
+    copied = copied.withColumn("_copy", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False))).drop("_t2", "head", "th")
+    whole, part = copied.where("_copy"), copied.where("not _copy")
+    clear, touched = bloom.split(part, "rk", gone.select("_k"))
+    touched = touched.join(gone, (F.col("doc_id") == F.col("_i")) & (F.col("rk") == F.col("_k")), "left").select("_row", "_at", "_copy")
+    touched = touched.unionByName(whole.select("_row", F.lit(None).cast("array<int>").alias("_at"), "_copy"))
+    clear = clear.withColumn("_w", words(F.col("_row")[text].cast("string"))).select("_row.*", F.size("_w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("_w", " ").alias("kept_text"))
     schema = T.StructType([touched.schema["_row"], *T._parse_datatype_string("n_words long, n_removed long, kept_text string").fields])
-    return clear.unionByName(touched.mapInArrow(_remove(window), schema).select("_row.*", "n_words", "n_removed", "kept_text"))
+    place = [c.lower() for c in docs.columns].index(text.lower())
+    return clear.unionByName(touched.mapInArrow(_remove(window, place), schema).select("_row.*", "n_words", "n_removed", "kept_text"))
