@@ -11,48 +11,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import keep, ranked, text_buffers, word_hashes, word_spans
+from reviewlens.llm.common import _LOWER, keep, ranked, text_buffers, to_python, word_hashes, word_spans
 
 # --- tokens ------------------------------------------------------------------
 
 #: Bytes of text that are tokenized at once, and words whose ids a task remembers; they bound memory, not results.
-SLICE_BYTES = 8 << 20
-REMEMBERED = 1 << 20
+SLICE_BYTES = 4 << 20
+REMEMBERED = 600_000
 
 
 class WordTokens:
-    """Token ids of texts by a tokenizer that drops white space: those of its words, each tokenized once.
+    """Token ids of texts by a tokenizer that lower-cases and drops white space: those of its words.
 
-    Distinct words are joined into long strings, with the end token's string between them.
+    Distinct words are tokenized once, joined into long strings with the end token's string between
+    them. A full stop or comma after an ASCII letter at a word's end is a token of its own, so the
+    word is looked up without it. Words of nothing but small Latin letters need no normalizing and
+    are one piece to the tokenizer, which spares them its slower steps.
     """
 
     def __init__(self, spec: str, between: str = "<|endoftext|>"):
-        from tokenizers import Tokenizer
+        import re
 
-        self.tokenizer, self.between = Tokenizer.from_str(spec), between
-        self.mark = self.tokenizer.token_to_id(between)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.full, self.quick, self.between = Tokenizer.from_str(spec), Tokenizer.from_str(spec), between
+        self.quick.normalizer = normalizers.Sequence([])
+        self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.mark = self.full.token_to_id(between)
+        self.latin = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+        self.stops = {c: self.full.encode(chr(c), add_special_tokens=False).ids for c in b".,"}
         self.forget()
 
     def forget(self) -> None:
         self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        plain = [i for i, w in enumerate(words) if "<|" not in w]
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        for i in set(range(len(words))) - set(plain):
-            out[i] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32)
-        runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        texts = [f" {self.between} ".join(words[i] for i in run) for run in runs]
-        for run, encoded in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, np.uint32)
-            for i, part in zip(run, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
-                out[i] = part[1:] if len(part) and part[0] == self.mark else part
-        return out
+    def _joined(self, tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words``, one after the other, and how many each has."""
+        between, flat, sizes = f" {self.between} ", [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(words), 10_000):
+            runs = [words[i : i + 500] for i in range(a, min(a + 10_000, len(words)), 500)]
+            texts = [between.join([*(b"\n".join(run).decode("utf-8", "replace").split("\n")), ""]) for run in runs]
+            ids = np.concatenate([np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            marks = np.flatnonzero(ids == self.mark)
+            sizes.append(np.diff(marks, prepend=-1) - 1)
+            flat.append(ids[ids != self.mark])
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, w in enumerate(words):
+            kinds[0 if self.latin(w) else 2 if b"<|" in w else 1].append(i)
+        parts = [self._joined(t, [words[i] for i in k]) for t, k in zip((self.quick, self.full), kinds, strict=False)]
+        odd = [np.array(self.full.encode(words[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) for i in kinds[2]]
+        order = np.array([*kinds[0], *kinds[1], *kinds[2]], np.int64)
+        sizes = np.concatenate([parts[0][1], parts[1][1], np.array([len(x) for x in odd], np.int64)])
+        known = np.concatenate([self.known, hashes[order]])
+        place = np.concatenate([self.place, len(self.first) - 1 + np.arange(len(order))])
+        by = np.argsort(known, kind="stable")
+        self.known, self.place = known[by], place[by]
+        self.flat = np.concatenate([self.flat, parts[0][0], parts[1][0], *odd])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def __call__(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a slice, one after the other, and each text's first (n + 1)."""
+        raw = _LOWER[raw]
         start, end, first = word_spans(raw, at)
+        tail = np.zeros(len(start), np.uint8)
+        if len(raw):
+            before = raw[np.maximum(end - 2, 0)]
+            stop = (end - start > 1) & ((raw[end - 1] == 46) | (raw[end - 1] == 44)) & (before >= 97) & (before <= 122)
+            tail[stop] = raw[end[stop] - 1]
+            end = end - stop
         hashes = word_hashes(raw, start, end)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED:
@@ -63,19 +93,23 @@ class WordTokens:
         fresh[inside] = self.known[spot[inside]] != distinct[inside]
         if fresh.any():
             data = raw.tobytes()
-            ids = self._ids([data[a:b].decode("utf-8", "replace") for a, b in zip(start[where[fresh]].tolist(), end[where[fresh]].tolist(), strict=True)])
-            sizes = np.array([len(x) for x in ids], np.int64)
-            known = np.concatenate([self.known, distinct[fresh]])
-            place = np.concatenate([self.place, len(self.first) - 1 + np.arange(len(ids))])
-            order = np.argsort(known, kind="stable")
-            self.known, self.place = known[order], place[order]
-            self.flat = np.concatenate([self.flat, *ids])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        entry = self.place[np.searchsorted(self.known, distinct)][inverse] if len(distinct) else np.zeros(0, np.int64)
+            self._learn(distinct[fresh], [data[a:b] for a, b in zip(start[where[fresh]].tolist(), end[where[fresh]].tolist(), strict=True)])
+        if not len(distinct):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        entry = self.place[np.searchsorted(self.known, distinct)][inverse]
         size = self.first[entry + 1] - self.first[entry]
-        total = np.concatenate([[0], np.cumsum(size)])
-        index = np.arange(total[-1]) + np.repeat(self.first[entry] - total[:-1], size)
-        return self.flat[index], total[first]
+        more = np.zeros(len(size), np.int64)
+        for c, ids in self.stops.items():
+            more[tail == c] = len(ids)
+        total = np.concatenate([[0], np.cumsum(size + more)])
+        out = np.zeros(total[-1], np.uint32)
+        within = np.concatenate([[0], np.cumsum(size)])
+        step = np.arange(within[-1]) - np.repeat(within[:-1], size)
+        out[step + np.repeat(total[:-1], size)] = self.flat[step + np.repeat(self.first[entry], size)]
+        for c, ids in self.stops.items():
+            for k, x in enumerate(ids):
+                out[(total[:-1] + size)[tail == c] + k] = x
+        return out, total[first]
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -94,6 +128,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: st
         spec = f.read()
 
     def run(batches):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         tokens = WordTokens(spec)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -106,7 +143,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: st
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[0])), pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return to_python(rows).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # --- the plan: from counts of lengths to places --------------------------------
