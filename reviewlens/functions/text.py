@@ -99,7 +99,7 @@ def in_directory(path: Column, *directories: str) -> Column:
     clean = F.regexp_replace(path, r"^\./", "")
     hit = F.lit(False)
     for d in directories:
-        d = d.strip("/")
+        d = d.removeprefix("./").strip("/")
         hit = hit | clean.startswith(d + "/") | clean.contains("/" + d + "/")
     return hit
 

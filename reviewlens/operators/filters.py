@@ -67,6 +67,17 @@ def _compiles(pattern: str) -> bool:
     return True
 
 
+def _by_reason(patterns: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
+    """Consecutive patterns of one reason as one alternation, which keeps the CASE small enough for generated code."""
+    out: list[tuple[list[str], str]] = []
+    for pattern, why in patterns:
+        if out and out[-1][1] == why:
+            out[-1][0].append(pattern)
+        else:
+            out.append(([pattern], why))
+    return [("(?i)(?:" + "|".join(f"(?:{p})" for p in ps) + ")", why) for ps, why in out]
+
+
 def reason(rules: Exclusions, file: Column, type_: Column, message: Column, suggestion: Column) -> Column:
     """F9-F13, AGG8: the reason of the first rule that matches, or null.
 
@@ -77,11 +88,10 @@ def reason(rules: Exclusions, file: Column, type_: Column, message: Column, sugg
     ext, name = extension(path), F.lower(basename(path))
     text = F.lower(F.concat_ws(" ", F.coalesce(type_, F.lit("")), F.coalesce(message, F.lit("")), F.coalesce(suggestion, F.lit(""))))
     out = F.when(ext.isin(*rules.documents), "Finding in documentation file")
-    for pattern, why in rules.tests:
-        p = "(?i)" + pattern
-        out = out.when(name.rlike(p) | path.rlike(p), why or "Finding in test file")
-    for pattern, why in rules.texts:
-        hit = text.rlike("(?i)" + pattern)
+    for pattern, why in _by_reason(rules.tests):
+        out = out.when(name.rlike(pattern) | path.rlike(pattern), why or "Finding in test file")
+    for pattern, why in _by_reason(rules.texts):
+        hit = text.rlike(pattern)
         out = out.when(hit & ~ext.isin(*NATIVE) if "memory safety" in why.lower() else hit, why)
     for pattern in dict(DEFAULT_TEXT)["SSRF in client-side code"]:
         out = out.when(ext.isin(*BROWSER) & text.rlike(pattern), "SSRF in client-side code (not exploitable)")

@@ -1,4 +1,581 @@
 """The query catalogue: name -> Spark function, name -> independent oracle SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reviewlens.functions import errors
+from reviewlens.functions.text import code_tokens, context_hash, escape_cell, in_directory, left_truncated, matches_glob
+from reviewlens.operators import cache, context, diff, facts, filters, graph, issues, packing, report, resilience, retrieval, rules
+from reviewlens.plans import adapters as a
+from reviewlens.plans import fixtures, oracles, review
+from reviewlens.sources import replies
+from reviewlens.streaming import tasks
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict = oracles.SQL
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    return filters.mark(a.issues(spark, d))
+
+
+# --- slice 0: files -> lines -> rules -> exclusion -> deduplication -> report ---
+
+
+@query
+def review_severity_report(spark, d):
+    return review.compose()(diff.to_lines(a.files(spark, d))).select("severity", "n", "files")
+
+
+@query
+def rule_scan_documents(spark, d):
+    found = rules.scan(diff.to_lines(a.files(spark, d)))
+    return found.select("review_id", "file", "line", "rule", "type", "severity")
+
+
+@query
+def rule_scan_added_lines(spark, d):
+    lines = a.diff_lines(spark, d).select(F.lit("d").alias("review_id"), F.col("diff_id").alias("file_path"), "pos", "line")
+    return rules.scan(lines).groupBy("file", "rule").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"))
+
+
+@query
+def rule_indent_max(spark, d):
+    f = a.files(spark, d)
+    # the longest line's length, as indentation, gives the rule something to find
+    deep = f.withColumn("content", F.array_join(F.transform(F.split("content", "\n"), lambda x, i: F.concat(F.repeat(F.lit(" "), (i % 40).cast("int")), x)), "\n"))
+    return rules.deepest_indent(diff.to_lines(deep)).select("file", "indent", "line")
+
+
+@query
+def rule_current_file(spark, d):
+    lines = a.diff_lines(spark, d).withColumnRenamed("diff_id", "review_id")
+    return rules.with_current_file(lines).groupBy("current_file").agg(F.count(F.lit(1)).alias("lines"))
+
+
+# --- issues ---
+
+
+@query
+def severity_normalise(spark, d):
+    return a.issues(spark, d).groupBy("raw_severity", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def severity_report(spark, d):
+    return issues.severity_counts(a.issues(spark, d), "review_id")
+
+
+@query
+def severity_report_enum(spark, d):
+    return issues.severity_report(a.issues(spark, d)).select("ord", "severity", "n", "files")
+
+
+@query
+def issue_dedup(spark, d):
+    return issues.deduplicate(a.issues(spark, d)).select("ord", "severity", "file", "line", "type", "message")
+
+
+@query
+def fp_first_match(spark, d):
+    return marked(spark, d).select("ord", F.col("filter_metadata.reason").alias("reason"), "confidence")
+
+
+@query
+def fp_reason_histogram(spark, d):
+    return filters.reason_histogram(marked(spark, d))
+
+
+@query
+def fp_stats(spark, d):
+    return filters.stats(marked(spark, d))
+
+
+@query
+def fp_confidence_threshold(spark, d):
+    i = marked(spark, d).withColumn("confidence", F.when(filters.excluded(), 0.0).otherwise(F.col("ord") % 10 / 10))
+    out = filters.mark_by_confidence(i, 0.5)
+    return out.groupBy(F.col("filter_metadata.stage").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def reviewer_top50_top15(spark, d):
+    i = a.issues(spark, d).withColumn("reviewer", issues.guess_reviewer(F.col("type"), F.col("message")))
+    return issues.top_issues(i).select("reviewer", "nth", "ord", "severity")
+
+
+@query
+def reviewer_guess(spark, d):
+    i = a.issues(spark, d).withColumn("reviewer", issues.guess_reviewer(F.col("type"), F.col("message")))
+    return i.groupBy("reviewer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def file_routing(spark, d):
+    f = a.files(spark, d).select("review_id", F.col("file_path").alias("path"), "ord")
+    focus = f.groupBy("review_id").agg(F.collect_list(F.when(F.col("path").endswith(".java"), F.col("path"))).alias("j"), F.collect_list(F.when(F.col("path").endswith(".py"), F.col("path"))).alias("p"))
+    focus = focus.select("review_id", F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.lit("Security review").alias("key"), F.col("j").alias("paths")), F.struct(F.lit(2).alias("ord"), F.lit("code-quality").alias("key"), F.col("p").alias("paths")))).alias("x")).select("review_id", "x.*")
+    return issues.route_files(focus, f.select("review_id", "path")).groupBy("review_id", "reviewer").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query
+def issue_comments(spark, d):
+    m = marked(spark, d)
+    listed = m.where(F.col("file").endswith(".java") | F.col("file").endswith(".py")).select(F.col("file").alias("path"))
+    return issues.comments(m, listed).select("ord", "path", "line", "side", "body")
+
+
+@query
+def comment_summary(spark, d):
+    return issues.summary_comment(marked(spark, d))
+
+
+@query
+def markdown_report(spark, d):
+    return report.markdown(a.issues(spark, d)).select("review_id", F.sha2("report", 256).alias("report_sha"), F.length("report").alias("n"))
+
+
+@query
+def grouped_report(spark, d):
+    return report.grouped(a.issues(spark, d)).select("review_id", F.sha2("report", 256).alias("report_sha"), "verdict")
+
+
+@query
+def json_result(spark, d):
+    j = report.json_documents(marked(spark, d))
+    v = F.parse_json("document")
+    return j.select("review_id", F.json_array_length(F.get_json_object("document", "$.issues")).alias("issues"), F.variant_get(v, "$.has_critical_flag", "boolean").alias("has_critical"))
+
+
+@query
+def ext_cube_severity_type(spark, d):
+    return issues.cube_severity_type(a.issues(spark, d)).select("severity", "type", "n", "level")
+
+
+@query
+def chunk_outcomes(spark, d):
+    i = a.issues(spark, d)
+    chunks = i.groupBy("file").agg(F.max("review_id").alias("r"), F.min("ord").alias("ord"), F.bool_or(F.col("severity") == "CRITICAL").alias("has_critical"), F.count(F.lit(1)).alias("n"))
+    chunks = chunks.select(F.col("r").alias("review_id"), "ord", F.concat(F.lit("s"), F.col("n")).alias("summary"), "has_critical", F.lit(False).alias("used_fallback"), F.when(F.col("ord") % 3 == 0, "failed").alias("error"))
+    return issues.merge_chunks(chunks)
+
+
+@query
+def entry_totals(spark, d):
+    return issues.totals(a.files(spark, d))
+
+
+@query
+def usage_tokens(spark, d):
+    e = a.table(spark, d, "events")
+    n = F.col("event_id") % 100
+    out = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"token_usage":{"prompt_tokens":'), n, F.lit(',"completion_tokens":5,"total_tokens":0}}')))
+    meta = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit('{"input_tokens":'), n, F.lit(',"output_tokens":7,"total_tokens":'), n + 9, F.lit("}")))
+    return issues.token_usage(e.select(F.concat(F.lit("run"), "user_id").alias("run_id"), out.alias("llm_output"), F.lit(None).cast("string").alias("generation_info"), meta.alias("usage_metadata")))
+
+
+# --- diffs ---
+
+
+@query
+def diff_split(spark, d):
+    whole = a.diffs(spark, d).groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "diff_text"))), lambda x: x["diff_text"]), "\n").alias("diff_text"))
+    return diff.sections(whole.withColumnRenamed("review_id", "diff_id")).select("diff_id", "ord", "file_path")
+
+
+@query
+def diff_line_map(spark, d):
+    return diff.line_map(a.diff_lines(spark, d), "diff_id").select("file_path", "diff_line", "file_line")
+
+
+@query
+def diff_changed_lines(spark, d):
+    return diff.changed_lines(a.diff_lines(spark, d), "diff_id").groupBy("diff_id").agg(F.count(F.lit(1)).alias("n"), F.sum("file_line").alias("total"), F.max("file_line").alias("last"))
+
+
+@query
+def nearest_hunk(spark, d):
+    lines = a.diff_lines(spark, d)
+    points = lines.select("diff_id", F.col("diff_id").alias("file_path"), (F.col("pos") + 1).cast("int").alias("diff_line"))
+    return diff.nearest_hunk(points, diff.hunk_headers(lines, "diff_id"), "diff_id").select("file_path", "diff_line", "hunk_start")
+
+
+@query
+def glob_filter(spark, d):
+    return a.files(spark, d).where(matches_glob(F.col("file_path"), "**/*.java", "src1*/?*.py")).groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def excluded_dirs(spark, d):
+    return a.files(spark, d).where(~in_directory(F.col("file_path"), "src1", "./src2/")).groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def token_cap_limit(spark, d):
+    return diff.accepted(a.files(spark, d), ("**/*.md",), 400, 20).select("review_id", "ord", "file_path")
+
+
+@query
+def token_cap_limit_working_copy(spark, d):
+    return diff.accepted(a.files(spark, d), ("**/*.md",), 400, 20, count_first=True).select("review_id", "ord", "file_path")
+
+
+@query
+def file_diff_concat(spark, d):
+    f = a.files(spark, d).withColumn("file_path", F.regexp_extract("file_path", r"(\.\w+)$", 1))
+    return diff.concatenated(f).select("review_id", "file_path", F.sha2("content", 256).alias("content_sha"))
+
+
+@query
+def relevant_diff(spark, d):
+    f = a.files(spark, d)
+    part = F.left("content", F.greatest(F.length("content") - 200, F.lit(0)))
+    return f.select("file_path", F.length(diff.relevant(F.col("content"), part)).alias("n"))
+
+
+@query
+def comment_budget(spark, d):
+    c = a.table(spark, d, "conversations").select(F.col("conv_id").alias("review_id"), F.col("turn").alias("ord"), F.col("text").alias("body"))
+    return diff.within_budget(c, "e", 200, 600).select("review_id", "ord", F.length("text").alias("n"))
+
+
+# --- packing ---
+
+
+@query
+def chunk_next_fit(spark, d):
+    return packing.next_fit(a.files(spark, d).withColumnRenamed("token_count", "tokens")).select("review_id", "ord", F.col("bin").cast("long").alias("bin"))
+
+
+@query
+def chunk_ffd(spark, d):
+    return packing.chunks(a.files(spark, d))
+
+
+@query
+def hunk_split(spark, d):
+    e = a.diffs(spark, d).select("review_id", "ord", "file_path", F.col("diff_text").alias("content"), F.lit(0).alias("token_count"))
+    return packing.split_oversized(e, 2000, 500).select("file_path", "part", F.length("content").alias("n"), "token_count")
+
+
+@query
+def chunk_compact(spark, d):
+    return packing.compact(packing.chunks(a.files(spark, d))).select("review_id", "chunk", F.length("text").alias("n"))
+
+
+# --- retrieval ---
+
+
+@query
+def code_token_counts(spark, d):
+    return a.table(spark, d, "documents").select("doc_id", F.size(code_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+
+
+@query
+def vocab_top512(spark, d):
+    docs = a.table(spark, d, "documents")
+    return retrieval.vocabulary(retrieval.terms(docs), docs.count())
+
+
+@query
+def tfidf_weights(spark, d):
+    docs = a.table(spark, d, "documents")
+    n, tf = docs.count(), retrieval.terms(docs)
+    return retrieval.weights(tf, retrieval.vocabulary(tf, n), n).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query
+def semantic_search_topk(spark, d):
+    docs = a.table(spark, d, "documents")
+    n, tf = docs.count(), retrieval.terms(docs)
+    index = retrieval.weights(tf, retrieval.vocabulary(tf, n), n)
+    q = index.join(docs.agg(F.min("doc_id").alias("doc_id")), "doc_id").select("term", "weight")
+    return retrieval.search_terms(index, q, 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def related_code(spark, d):
+    docs = a.table(spark, d, "documents")
+    n, tf = docs.count(), retrieval.terms(docs)
+    index = retrieval.weights(tf, retrieval.vocabulary(tf, n), n)
+    first = docs.agg(F.min("doc_id").alias("doc_id"))
+    chunks = docs.select("doc_id", F.col("source").alias("file_path"))
+    own = chunks.join(first, "doc_id").first()["file_path"]
+    return retrieval.related(index, chunks, index.join(first, "doc_id").select("term", "weight"), own, 10, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_topk(spark, d):
+    v = a.table(spark, d, "embeddings")
+    q = v.orderBy("vec_id").first()["embedding"]
+    return retrieval.search_vectors(v, q, 10).select("vec_id", F.round("score", 4).alias("score"))
+
+
+# --- graph ---
+
+
+@query
+def graph_in_degree(spark, d):
+    e = a.part_edges(spark, d)
+    return e.groupBy("dst").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("src").alias("callers"))
+
+
+def _target(e: DataFrame) -> str:
+    return e.groupBy("dst").count().orderBy(F.desc("count"), "dst").first()["dst"]
+
+
+@query
+def graph_callers(spark, d):
+    e = a.part_edges(spark, d)
+    nodes = e.select(F.col("src").alias("id")).distinct()
+    return graph.neighbours(e, nodes, _target(e), "callers")
+
+
+@query
+def graph_callees(spark, d):
+    e = a.part_edges(spark, d)
+    nodes = e.select(F.col("dst").alias("id")).distinct()
+    return graph.neighbours(e, nodes, _target(e), "callees")
+
+
+@query
+def graph_dependents(spark, d):
+    e = a.part_edges(spark, d)
+    return graph.dependents(e, spark.createDataFrame([(_target(e),)], "id string"))
+
+
+@query
+def graph_impact_depth3(spark, d):
+    e = a.part_edges(spark, d)
+    return graph.impact(e, spark.createDataFrame([(_target(e),)], "id string"), 3)
+
+
+@query
+def graph_shortest_path(spark, d):
+    e = a.part_edges(spark, d)
+    start = e.agg(F.min("src")).first()[0]
+    return graph.shortest_path(e, start, _target(e)).agg(F.count(F.lit(1)).alias("steps"))
+
+
+@query
+def graph_stats(spark, d):
+    nodes, edges = a.places(spark, d)
+    return graph.statistics(nodes, edges)
+
+
+@query
+def graph_mermaid(spark, d):
+    nodes, edges = a.places(spark, d)
+    return graph.mermaid_lines(nodes, edges)
+
+
+# --- cache ---
+
+
+@query
+def cache_key(spark, d):
+    return cache.keyed(a.files(spark, d), "m", ["b", "a "], "en", False).select("file_path", "key")
+
+
+def _cached(spark, d):
+    e = cache.keyed(a.files(spark, d), "m", ["b", "a"], "en", False)
+    written = e.where(F.length("content") % 2 == 0).select("key", F.timestamp_seconds(F.lit(1704067200) + F.col("ord") * 60).alias("written_at"))
+    return e, written
+
+
+@query
+def cache_hits(spark, d):
+    e, written = _cached(spark, d)
+    return cache.hits(e, written).select("file_path", "key")
+
+
+@query
+def cache_misses(spark, d):
+    e, written = _cached(spark, d)
+    return cache.misses(e, written).select("file_path", "key")
+
+
+@query
+def cache_evict(spark, d):
+    written = _cached(spark, d)[1]
+    return cache.evicted(written).select("key", F.unix_timestamp("written_at").alias("written"))
+
+
+@query
+def cache_write_back(spark, d):
+    e = cache.keyed(a.files(spark, d), "m", ["b", "a"], "en", False)
+    found = rules.scan(diff.to_lines(a.files(spark, d))).withColumn("ord", F.col("line"))
+    return cache.to_write(e, found).select("key", F.size("issues").alias("issues"))
+
+
+# --- resilience, tasks, streams ---
+
+
+@query
+def breaker_state(spark, d):
+    return resilience.breaker(a.calls(spark, d)).select("caller", "call_id", "calls", F.round("failure_rate", 6).alias("failure_rate"), "open")
+
+
+@query
+def rate_limited(spark, d):
+    return resilience.admitted(a.calls(spark, d).withColumn("ts", F.date_trunc("hour", "ts")), a_second=2).select("caller", "call_id", "nth")
+
+
+@query
+def error_classes(spark, d):
+    text = F.concat(F.lit("call failed: "), F.when(F.col("event_id") % 6 == 0, "429 Too many").when(F.col("event_id") % 6 == 1, "read timed out").when(F.col("event_id") % 6 == 2, "HTTP 503").when(F.col("event_id") % 6 == 3, "insufficient_quota").when(F.col("event_id") % 6 == 4, "Maximum context length is 8k").otherwise("bad input 418"))
+    e = a.table(spark, d, "events").select("event_id", text.alias("m"))
+    return e.groupBy(errors.error_class(F.col("m")).alias("kind"), errors.status_code(F.col("m")).alias("status"), errors.quota_exceeded(F.col("m")).alias("quota"), errors.prompt_too_long(F.col("m")).alias("too_long")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def task_latest_state(spark, d):
+    return tasks.latest_state(a.task_events(spark, d)).select("task_id", "status", "transitions", "updated_at")
+
+
+@query
+def task_idempotent(spark, d):
+    e = a.table(spark, d, "events").select(F.concat(F.lit("k"), "user_id").alias("key"), F.col("event_type").alias("request_hash"), F.col("event_id").alias("ord"))
+    return tasks.idempotent(e).groupBy("key", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def task_routing(spark, d):
+    e = a.table(spark, d, "events")
+    mode = F.when(F.col("event_type") == "error", "MULTI_AGENT").when(F.col("event_type") == "view", "PIPELINE").when(F.col("event_type") == "click", "SIMPLE").otherwise("OTHER")
+    return e.groupBy(tasks.queue(tasks.routing_key(mode)).alias("queue"), tasks.priority(F.col("value") > 100).alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def task_results(spark, d):
+    e = a.table(spark, d, "events").select(F.when(F.col("event_id") % 11 == 0, "  ").otherwise(F.concat(F.lit("t"), F.col("user_id"))).alias("task_id"), F.col("props").alias("payload"))
+    known = a.table(spark, d, "customer").select(F.concat(F.lit("t"), F.col("c_custkey") * 2).alias("task_id"))
+    return tasks.results(e, known).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def task_dead_letters(spark, d):
+    e = a.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("created"), tasks.priority(F.col("value") > 100).alias("priority"))
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    live, late = tasks.split_dead(e, now)
+    return live.select(F.lit("live").alias("what"), "priority").unionByName(late.select(F.lit("dead").alias("what"), "priority")).groupBy("what", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stream(spark, d):
+    return tasks.stream_table(spark, d, "events.parquet", spark.read.parquet(f"{d}/events.parquet").schema)
+
+
+@query
+def stream_tumbling(spark, d):
+    out = tasks.run_to_table(tasks.tumbling(_stream(spark, d)), "reviewlens_tumbling", "complete")
+    return out.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query
+def stream_sliding(spark, d):
+    out = tasks.run_to_table(tasks.sliding(_stream(spark, d)), "reviewlens_sliding", "complete")
+    return out.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
+
+
+@query
+def stream_session(spark, d):
+    out = tasks.run_to_table(tasks.sessions(_stream(spark, d)), "reviewlens_session", "complete")
+    return out.select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n")
+
+
+@query
+def stream_first_seen(spark, d):
+    out = tasks.run_to_table(tasks.first_seen(_stream(spark, d), "event_id", "ts"), "reviewlens_first")
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def text_functions(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return a.table(spark, d, "documents").select("doc_id", F.md5(escape_cell(t)).alias("cell"), left_truncated(t, 40).alias("short"), F.sha2(F.concat(t, context_hash("m", [], "en", True)), 256).alias("h"))
+
+
+# --- code facts and replies: literal inputs ---
+
+
+def _project(spark):
+    files = spark.createDataFrame(fixtures.PROJECT, "file_path string, content string")
+    return files, facts.analyze(files)
+
+
+@query
+def code_facts(spark, d):
+    return _project(spark)[1].where("kind in ('type', 'method', 'call')").select("file_path", "kind", "owner", "name", "type", "detail", "start_line", "end_line")
+
+
+@query
+def most_specific_class(spark, d):
+    f = _project(spark)[1]
+    return facts.most_specific_type(facts.of_kind(f, "method").select("file_path", "ord", "name", "start_line", "end_line"), facts.of_kind(f, "type")).select("file_path", "name", "type_name")
+
+
+@query
+def call_resolution(spark, d):
+    return facts.cross_file_calls(_project(spark)[1]).select("file_path", "caller", "scope", "callee", "target_path")
+
+
+@query
+def code_graph_build(spark, d):
+    return graph.build(_project(spark)[1])[1].select("src", "dst", "type")
+
+
+@query
+def import_edges(spark, d):
+    return graph.build(_project(spark)[1])[1].where("type = 'IMPORTS'").select("src", "dst")
+
+
+@query
+def graph_query_impact(spark, d):
+    nodes, edges = graph.build(_project(spark)[1])
+    return graph.query("impact OrderDao.save", nodes, edges).select("id", "type")
+
+
+@query
+def graph_related(spark, d):
+    nodes, edges = graph.build(_project(spark)[1])
+    return graph.related(nodes, edges, "OrderService").select("relation", "id")
+
+
+@query
+def method_slices(spark, d):
+    files, f = _project(spark)
+    return facts.slices(files, f).select("chunk_id", "granularity", "file_path", "start_line", "end_line", F.md5("content").alias("content"))
+
+
+@query
+def method_complexity(spark, d):
+    files, f = _project(spark)
+    s = facts.slices(files, f).where("granularity = 'METHOD'")
+    return s.select("chunk_id", facts.complexity(F.col("content")).alias("complexity"))
+
+
+@query
+def context_enrichment(spark, d):
+    files, f = _project(spark)
+    entries = files.withColumn("token_count", F.lit(900))
+    changed = spark.createDataFrame([(p, 3) for p, _ in fixtures.PROJECT], "file_path string, file_line int")
+    return context.enrich(entries, context.contexts(f, changed)).select("file_path", "context", "token_count")
+
+
+@query
+def llm_parse(spark, d):
+    r = replies.parse(spark.createDataFrame(fixtures.REPLIES, "reply_id string, text string"))
+    return r.select("reply_id", F.size("issues").alias("issues"), "has_critical", "is_raw")
+
+
+@query
+def llm_parse_loose(spark, d):
+    r = replies.parse(spark.createDataFrame(fixtures.REPLIES, "reply_id string, text string"), "loose")
+    return r.select("reply_id", F.size("issues").alias("issues"), "has_critical", "is_raw")

@@ -1,0 +1,93 @@
+"""Literal inputs for queries that no driver table can feed: sources and model replies."""
+
+from __future__ import annotations
+
+PROJECT = [
+    (
+        "src/shop/OrderController.java",
+        """package shop;
+import shop.service.OrderService;
+public class OrderController {
+    private OrderService orderService;
+    public String handle(String id) {
+        if (id == null || id.isEmpty()) {
+            return "none";
+        }
+        return orderService.process(id);
+    }
+}
+""",
+    ),
+    (
+        "src/shop/service/OrderService.java",
+        """package shop.service;
+import shop.dao.OrderDao;
+public class OrderService extends BaseService {
+    private OrderDao orderDao;
+    public String process(String id) {
+        for (String part : id.split(",")) {
+            validate(part);
+        }
+        int total = 0;
+        total = total + 1;
+        this.count = total;
+        return orderDao.save(id);
+    }
+    private void validate(String id) {
+        while (id.length() > 10 && id != null) {
+            id = id.substring(1);
+        }
+    }
+}
+""",
+    ),
+    (
+        "src/shop/service/BaseService.java",
+        """package shop.service;
+public abstract class BaseService {
+    protected int count;
+    static class Helper {
+        void help() { log("x"); }
+    }
+}
+""",
+    ),
+    (
+        "src/shop/dao/OrderDao.java",
+        """package shop.dao;
+public interface OrderDao {
+    String save(String id);
+}
+""",
+    ),
+    (
+        "src/shop/dao/SqlOrderDao.java",
+        """package shop.dao;
+public class SqlOrderDao implements OrderDao {
+    @Override
+    public String save(String id) {
+        try { return write(id); } catch (Exception e) { return null; }
+    }
+    String write(String id) { return id; }
+}
+""",
+    ),
+    ("src/shop/Broken.java", "class Broken { void x() { "),
+]
+
+REPLIES = [
+    ("object", '{"has_critical": true, "issues": [{"severity": "HIGH", "message": "m", "extra": 1}]}'),
+    ("no_flag", '{"issues": [{"severity": "MEDIUM", "message": "m"}]}'),
+    ("no_issues", '{"has_critical": true}'),
+    ("fenced", '```json\n{"issues": [{"severity": "odd"}]}\n```'),
+    ("prose", 'Here is my review: {"issues": [{"message": "m"}]} Thanks.'),
+    ("several", '{"issues": [{"message": "a"}, {"message": "b"}]}'),
+    ("empty_array", "[]"),
+    ("array", '[{"severity": "ERROR", "message": "m"}]'),
+    ("plain", "Looks good to me."),
+    ("broken", '{"issues": [{"message": '),
+    ("null", None),
+    ("blank", "   "),
+    ("braces", '{"issues": [{"message": "a } in a string"}]}'),
+    ("think", '<think>{"issues": 1}</think>{"issues": [{"message": "m"}]}'),
+]
