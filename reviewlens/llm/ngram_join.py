@@ -13,15 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reviewlens.llm import bloom
-from reviewlens.llm.common import _LOWER, Scratch, grouped, keep, mix, text_buffers, word_hashes, word_spans
+from reviewlens.llm.common import _LOWER, Scratch, grouped, keep, mix, text_buffers, to_python, word_hashes, word_spans
 from reviewlens.llm.packing import slices
 
 #: A shingle in more than this share of the sets of a partition comes last in the order there, and so everywhere.
 HEAVY = 1 / 500
-#: Parts of a list of a heavy shingle: its sets fall into so many, each with a leader of its own.
-PARTS = 32
+#: Sets of the corpus for each part of a heavy shingle's list: no list in one task can hold more than about so many.
+SETS_A_PART = 250_000
 #: Shingles and sets of each block of a home; the blocks of larger homes meet pair by pair.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 2_000
 
@@ -47,8 +48,12 @@ def shingle_sets(raw, at, size):
                 x = mix(x + w)
             short[k] = x[0]
         of, value = np.concatenate([of, few]), np.concatenate([value, short])
-    order = np.lexsort((value, of))
-    of, value = of[order], value[order]
+    if len(few):
+        order = np.argsort(of, kind="stable")
+        of, value = of[order], value[order]
+    border = np.searchsorted(of, np.arange(len(n) + 1))
+    for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
+        value[a:b].sort()
     if len(of):
         new = np.concatenate([[True], (of[1:] != of[:-1]) | (value[1:] != value[:-1])])
         of, value = of[new], value[new]
@@ -107,20 +112,30 @@ def _need(a, b, per):
     return -(-per * (a + b) // (100 + per))
 
 
-def _prefixes(per, heavy):
+def _more(n):
+    """Shingles that a prefix has beyond the shortest exact one: linked sets share at least the fewer of theirs.
+
+    With prefixes longer by m, sets that overlap enough share not one shingle of them but m, which sets that only
+    share a passage rarely do. It is also bounded by the overlap itself.
+    """
+    return 2 + n // 25
+
+
+def _prefixes(per, heavy, parts):
     def run(batches):
         for batch in batches:
             flat, first = _unpack(batch.column(1))
             n = np.diff(first)
             of = np.repeat(np.arange(len(n)), n)
             hot = np.isin(flat, heavy)
-            order = np.lexsort((flat, hot, of))
-            flat, hot = flat[order], hot[order]
-            place = np.arange(len(flat)) - first[of]
-            taken = place < (n - -(-per * n // 100) + 1)[of]
+            # by hash, heavy ones last: a set's shingles are sorted already, so counting gives the places
+            calm = np.concatenate([[0], np.cumsum(~hot)])
+            rank = calm[:-1] - calm[first[of]]
+            place = np.where(hot, np.arange(len(flat)) - first[of] - rank + (calm[first[1:]] - calm[first[:-1]])[of], rank)
+            taken = place < np.minimum(n, n - -(-per * n // 100) + _more(n))[of]
             of, sid = of[taken], batch.column(0).to_numpy()
             hot, flat, place = hot[taken], flat[taken], place[taken]
-            part = np.where(hot, 1 + sid[of] % PARTS, 0).astype(np.int32)
+            part = np.where(hot, 1 + sid[of] % parts, 0).astype(np.int32)
             for a in range(0, len(of), 200_000):
                 b = slice(a, a + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(flat[b].view(np.int64)), pa.array(part[b]), pa.array(sid[of[b]]), pa.array(n[of[b]].astype(np.int32)), pa.array(place[b].astype(np.int32))], ["h", "part", "sid", "n", "place"])
@@ -132,7 +147,7 @@ def _lists(per):
     """Of a partition by shingle and part: the rows of lists that hold two sets or more, with their leader.
 
     A list is sorted by size and cut into blocks where the next set is too large for the one before
-    to link with, or where the positions leave too few shingles for it; a block of one is dropped.
+    to link with; a block of one is dropped.
     """
 
     def run(batches):
@@ -151,16 +166,18 @@ def _lists(per):
         # a heavy shingle's list goes on in other parts, so a set alone in one isn't alone
         shared = (times[back] > 1) | (part > 0)
         lead = sid[begin][back]
-        # positions: no set after place p of n shingles shares more than n - p
-        keeps = shared & (n - place >= _need(n, -(-per * n // 100), per))
-        out = pa.Table.from_arrays([pa.array(x[keeps]) for x in (h, sid, n, place, lead)], ["h", "sid", "n", "place", "lead"])
+        out = pa.Table.from_arrays([pa.array(x[shared]) for x in (h, part, sid, n, place, lead)], ["h", "part", "sid", "n", "place", "lead"])
         yield from out.to_batches(max_chunksize=200_000)
 
     return run
 
 
 def _home_pairs(per):
-    """Of a partition by shingle: pairs of homes with sets that may link, by the sizes and places of their sets."""
+    """Of a partition by shingle: pairs of homes with sets that may share it, and how many shingles each pair has so.
+
+    A list's homes are sorted by their smallest set: past the reach of a home's largest set, the rest
+    is skipped as one block, as are homes whose positions leave too few shingles after this one.
+    """
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -171,27 +188,32 @@ def _home_pairs(per):
         order = np.lexsort((low, h))
         h, home, low, high, left = h[order], home[order], low[order], high[order], left[order]
         end = np.searchsorted(h, h, side="right")
-        found = set()
+        ones, others, size = [], [], 0
         for i in np.flatnonzero(end - np.arange(len(h)) > 1):
-            # sorted by the smallest set: past the reach of home i's largest, all may be skipped
             j = np.arange(i + 1, end[i])
             j = j[: np.searchsorted(low[j], 100 * high[i] // per, side="right")]
             j = j[100 * high[j] >= per * low[i]]
-            j = j[np.minimum(left[i], left[j]) >= _need(low[i], low[j], per)]
-            a = home[i]
-            found.update((a, b) if a < b else (b, a) for b in home[j].tolist() if a != b)
-            if len(found) > 500_000:
-                yield _pairs(found)
-                found = set()
-        if found:
-            yield _pairs(found)
+            j = j[np.minimum(left[i], left[j]) + _more(np.minimum(high[i], high[j])) - 1 >= _need(low[i], low[j], per)]
+            j = j[home[j] != home[i]]
+            if len(j):
+                ones.append(np.minimum(home[j], home[i]))
+                others.append(np.maximum(home[j], home[i]))
+                size += len(j)
+                if size > 1_000_000:
+                    yield _counted(ones, others)
+                    ones, others, size = [], [], 0
+        if size:
+            yield _counted(ones, others)
 
     return run
 
 
-def _pairs(found):
-    found = sorted(found)
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+def _counted(ones, others):
+    both = np.stack([np.concatenate(ones), np.concatenate(others)], axis=1)
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    both = both[order]
+    at = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1)]))
+    return pa.RecordBatch.from_arrays([pa.array(both[at, 0].copy()), pa.array(both[at, 1].copy()), pa.array(np.diff(np.append(at, len(both))).astype(np.int64))], ["a", "b", "c"])
 
 
 def meet(tokens, sides, per):
@@ -289,11 +311,12 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
 
 def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: ``id``, ``th`` (a hash of the text), ``n_shingles``, ``component_id``.
+    """A row for each row of ``docs``: ``id``, ``th`` (a hash of the text), ``n_shingles``, ``component_id``, ``group``.
 
     A text's set holds its distinct shingles of ``size`` words, A-Z lower-cased; a shorter text is one
     shingle. Two rows link when 100 times their intersection is at least ``per`` times their union,
-    and always when their sets are equal; ``component_id`` is the smallest key that links reach.
+    and always when their sets are equal; ``component_id`` is the smallest key that links reach;
+    ``group`` is equal within a component alone, and null without words.
 
     Rows without words link with nothing: their component is their own key. Null keys join
     components, which take their smallest key that is not null (null if there is none). Repeated
@@ -301,45 +324,79 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
     candidate is capped, and large homes meet in blocks.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].cast("string").alias("text"))
+    rows = to_python(docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].cast("string").alias("text")))
     with Scratch(spark) as tmp:
         sets = tmp.write(rows.mapInArrow(_sets(size), "id long, th long, n long, sid long, tokens binary"), "sets")
         kept = sets.where("tokens is not null")
         # bounded: at most (mean set size / HEAVY) shingles can be in more than HEAVY of a partition's sets
         heavy = kept.select("tokens").mapInArrow(_frequent, "h long").distinct()
         heavy = np.array(sorted(r["h"] for r in heavy.collect()), np.int64).view(np.uint64)
-        prefixes = kept.select("sid", "tokens").mapInArrow(_prefixes(per, heavy), "h long, part int, sid long, n int, place int")
-        lists = tmp.write(prefixes.repartition("h", "part").mapInArrow(_lists(per), "h long, sid long, n long, place long, lead long"), "lists")
+        prefixes = kept.select("sid", "tokens").mapInArrow(_prefixes(per, heavy, 1 + kept.count() // SETS_A_PART), "h long, part int, sid long, n int, place int")
+        lists = tmp.write(prefixes.repartition("h", "part").mapInArrow(_lists(per), "h long, part int, sid long, n long, place long, lead long"), "lists")
+        # a set goes to the leader with which it shares most, if they share enough to link; else it is its own home
         votes = lists.groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
-        home = votes.groupBy("sid").agg(F.min(F.struct(-F.col("c"), "lead")).alias("x"), F.max("n").alias("n")).select("sid", F.col("x.lead").alias("lead"), "n")
-        home = keep(home)
-        # a leader whose home is elsewhere hands its sets on to that home
-        up = home.select(F.col("sid").alias("lead"), F.col("lead").alias("next")).where("lead != next")
-        home = home.join(up, "lead", "left").select("sid", F.coalesce("next", "lead").alias("home"), "n")
+        strong = (F.col("lead") != F.col("sid")) & (F.col("c") >= 2 + F.floor(F.col("n") / 25))
+        home = votes.groupBy("sid").agg(F.min(F.when(strong, F.struct(-F.col("c"), "lead"))).alias("x"), F.max("n").alias("n"))
+        home = keep(home.select("sid", F.coalesce("x.lead", "sid").alias("lead"), "n"))
+        # leaders hand their sets on: those of a list's parts to the first of them, others to their own leader
+        heads = lists.where("part > 0").select("h", "lead").distinct()
+        heads = heads.join(heads.groupBy("h").agg(F.min("lead").alias("next")), "h").where("lead != next").groupBy("lead", "next").agg(F.count(F.lit(1)).alias("c"))
+        for up in (heads.groupBy("lead").agg(F.max_by("next", F.struct("c", -F.col("next"))).alias("next")), home.select(F.col("sid").alias("lead"), F.col("lead").alias("next")).where("lead != next")):
+            home = home.join(up, "lead", "left").select("sid", F.coalesce("next", "lead").alias("lead"), "n")
+        home = home.withColumnRenamed("lead", "home")
         home = tmp.write(home, "home")
         at = lists.select("h", "sid", "place").join(home, "sid")
         at = at.groupBy("h", "home").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"))
-        pairs = at.repartition("h").mapInArrow(_home_pairs(per), "a long, b long").distinct()
+        pairs = at.repartition("h").mapInArrow(_home_pairs(per), "a long, b long, c long")
+        pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"))
         # homes in blocks of bounded size
-        weight = home.groupBy("home").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("m"))
+        weight = home.groupBy("home").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("m"), F.min("n").alias("low"))
         weight = weight.withColumn("k", F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("m") / BLOCK_SETS)).cast("int"))
         weight = tmp.write(weight, "weight")
-        alone = weight.where("m > 1").select(F.col("home").alias("a"), F.col("home").alias("b"))
-        ka, kb = weight.select(F.col("home").alias("a"), F.col("k").alias("ka")), weight.select(F.col("home").alias("b"), F.col("k").alias("kb"))
-        meetings = pairs.union(alone).join(ka, "a").join(kb, "b")
+        alone = weight.where("m > 1").select(F.col("home").alias("a"), F.col("home").alias("b"), F.col("k").alias("ka"), F.col("k").alias("kb"))
+        ka = weight.select(F.col("home").alias("a"), F.col("k").alias("ka"), F.col("low").alias("la"))
+        kb = weight.select(F.col("home").alias("b"), F.col("k").alias("kb"), F.col("low").alias("lb"))
+        low = F.least("la", "lb")
+        need = F.ceil(per * (F.col("la") + F.col("lb")) / (100 + per))
+        pairs = pairs.join(ka, "a").join(kb, "b").where(F.col("c") >= F.least(F.lit(2) + F.floor(low / 25), need))
+        meetings = alone.union(pairs.select("a", "b", "ka", "kb"))
         meetings = meetings.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("kb") - 1))).where("a != b or i <= j")
         meetings = tmp.write(meetings.select("a", "b", "i", "j", F.xxhash64("a", "b", "i", "j").alias("meeting")), "meetings")
         sides = meetings.select("meeting", F.col("a").alias("home"), F.col("i").alias("block"), F.lit(0).alias("side"), F.col("a").alias("lead"))
         sides = sides.union(meetings.where("a != b or i != j").select("meeting", F.col("b").alias("home"), F.col("j").alias("block"), F.lit(1).alias("side"), F.col("a").alias("lead")))
         members = home.join(weight.select("home", "k"), "home").select("home", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int").alias("block"), "sid")
-        guests = members.join(sides, ["home", "block"]).select("sid", "meeting", "side", "lead")
-        _, needed = bloom.split(kept.select("sid", "tokens"), "sid", home.select("sid"))
+        guests = tmp.write(members.join(sides, ["home", "block"]).select("sid", "meeting", "side", "lead"), "guests")
+        _, needed = bloom.split(kept.select("sid", "tokens"), "sid", guests.select("sid").distinct())
+        # copies that several tasks kept are one set, before it goes to its meetings
+        needed = needed.groupBy("sid").agg(F.first("tokens").alias("tokens"))
         there = needed.join(guests, "sid").select("meeting", "side", "lead", "sid", "tokens")
         met = there.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_meetings(per), "a long, b long")
         links = keep(met.distinct())
         slim = keep(sets.select("id", "th", "n", "sid"))
     roots = keep(components(links))
-    slim = slim.join(roots, slim["sid"] == roots["node"], "left").select("id", "th", "n", F.coalesce("root", "sid").alias("root"))
-    linked = slim.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    out = slim.join(linked, slim["root"] == linked["r"], "left")
-    return out.select("id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    slim = slim.join(roots, slim["sid"] == roots["node"], "left").select("id", "th", "n", F.coalesce("root", "sid").alias("group"))
+    linked = slim.where("group is not null").groupBy(F.col("group").alias("r")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    out = slim.join(linked, slim["group"] == linked["r"], "left")
+    return out.select("id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "group")
+
+
+def keep_one(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest key, of equal keys the smallest hash of the text.
+
+    Rows without words all stay. Repeated rows are copies of each other, so one of them stays. Rows
+    that go are few; a Bloom filter of them lets most others pass without a shuffle.
+    """
+    labels = keep(link(docs, size, per, key, text).select("id", "th", "group"))
+    worded = labels.where("group is not null")
+    first = worded.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("x"))
+    many = worded.groupBy("group", "id", "th").agg(F.count(F.lit(1)).alias("times"))
+    many = many.join(first, "group").where("not (id <=> x.id and th <=> x.th) or times > 1")
+    row = lambda i, t: F.xxhash64(i, t)
+    gone = keep(many.select(row(F.col("id"), F.col("th")).alias("_g"), (F.col("id").eqNullSafe(F.col("x.id")) & F.col("th").eqNullSafe(F.col("x.th"))).alias("_one")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), row(docs[key].cast("long"), F.xxhash64(docs[text])).alias("_k"))
+    clear, maybe = bloom.split(rows, "_k", gone.select("_g"))
+    maybe = maybe.join(gone, F.col("_k") == F.col("_g"), "left")
+    stay = maybe.where("_g is null")
+    # of repeated rows that stay, the first
+    one = maybe.where("_one").withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_k"))).where("_n = 1")
+    return clear.select("_row.*").union(stay.select("_row.*")).union(one.select("_row.*"))
