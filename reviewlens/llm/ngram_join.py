@@ -21,6 +21,8 @@ from reviewlens.llm.packing import slices
 
 #: A shingle in more than this share of the sets of a partition comes last in the order there, and so everywhere.
 HEAVY = 1 / 500
+#: Bytes of text whose shingles are hashed at once; bounds memory, not results.
+SLICE = 3 << 19
 #: Sets of the corpus for each part of a heavy shingle's list: no list in one task can hold more than about so many.
 SETS_A_PART = 250_000
 #: Shingles and sets of each block of a home; the blocks of larger homes meet pair by pair.
@@ -64,7 +66,7 @@ def _sets(size):
     def run(batches):
         seen = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 value, first = shingle_sets(*text_buffers(part.column(2)), size)
                 n = np.diff(first)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value))])
