@@ -156,3 +156,11 @@ def within_budget(comments: DataFrame, marker: str, each: int = 200, most: int =
     own = comments.where(F.contains("body", F.lit(marker))).withColumn("text", F.left("body", F.lit(each)))
     total = F.sum(F.length("text")).over(Window.partitionBy("review_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     return own.withColumn("_total", total).where(F.col("_total") <= most).drop("_total")
+
+
+def diff_context(entries: DataFrame, request: str) -> DataFrame:
+    """GR8: ``summary`` gives the files of each review with their tokens; any other request the content of the file it names."""
+    if request.strip() == "summary":
+        line = F.concat(F.lit("- "), "file_path", F.lit(" ("), F.col("token_count"), F.lit(" tokens)"))
+        return entries.groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return entries.where(F.col("file_path") == request.strip()).select("review_id", F.col("content").alias("text"))

@@ -69,6 +69,20 @@ def top_issues(issues: DataFrame, most: int = MOST_ISSUES, each: int = MOST_A_RE
     return top.withColumn("nth", nth).where(F.col("nth") <= each)
 
 
+def reviewer_sections(issues: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Each review's text of its top issues by reviewer, as JSON, cut to ``MOST_SECTION`` characters.
+
+    ``issues`` as from ``top_issues``; ``summaries`` (``reviewer``, ``nth_reviewer``, ``summary``) gives the order.
+    """
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", F.struct("severity", "file", "line", "type", "message").alias("i")))), lambda x: x["i"])
+    by = summaries.join(issues.groupBy("reviewer").agg(listed.alias("issues")), "reviewer", "left")
+    empty = F.array().cast(by.schema["issues"].dataType)
+    found = F.coalesce("issues", empty)
+    text = F.concat(F.lit("\n["), "reviewer", F.lit("]"), F.to_json(F.struct("summary", F.size(found).alias("issue_count"), found.alias("issues"))), F.lit("\n"))
+    whole = by.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth_reviewer", text.alias("t")))), lambda x: x["t"]), "").alias("section"))
+    return whole.select(F.when(F.length("section") > MOST_SECTION, F.concat(F.left("section", F.lit(MOST_SECTION)), F.lit("\n...(truncated)"))).otherwise(F.col("section")).alias("section"))
+
+
 def guess_reviewer(type_: Column, message: Column) -> Column:
     """The reviewer whose words stand in type or message."""
     text = F.concat_ws("\n", F.lower(F.coalesce(type_, F.lit(""))), F.lower(F.coalesce(message, F.lit(""))))

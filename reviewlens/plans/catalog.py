@@ -579,3 +579,27 @@ def llm_parse(spark, d):
 def llm_parse_loose(spark, d):
     r = replies.parse(spark.createDataFrame(fixtures.REPLIES, "reply_id string, text string"), "loose")
     return r.select("reply_id", F.size("issues").alias("issues"), "has_critical", "is_raw")
+
+
+@query
+def reviewer_section_text(spark, d):
+    i = a.issues(spark, d).withColumn("reviewer", issues.guess_reviewer(F.col("type"), F.col("message")))
+    names = spark.createDataFrame([(r, k, f"{r} done") for k, r in enumerate(issues.REVIEWERS)], "reviewer string, nth_reviewer int, summary string")
+    return issues.reviewer_sections(issues.top_issues(i), names).select(F.length("section").alias("n"), F.endswith("section", F.lit("...(truncated)")).alias("cut"))
+
+
+@query
+def diff_context_summary(spark, d):
+    return diff.diff_context(a.files(spark, d), "summary").select("review_id", F.md5("text").alias("text"))
+
+
+@query
+def wrapped_errors(spark, d):
+    r = spark.createDataFrame(fixtures.WRAPPED, "reply_id string, text string")
+    return r.select("reply_id", errors.wrapped_error(F.col("text")).alias("error"))
+
+
+@query
+def retry_delays(spark, d):
+    e = a.table(spark, d, "events").select(F.col("event_id").alias("attempt_id"), (F.col("event_id") % 5).alias("attempt"), F.element_at(F.array(F.lit("timeout"), F.lit("server"), F.lit("client")), (F.col("user_id") % 3 + 1).cast("int")).alias("kind"))
+    return e.groupBy("attempt", "kind", errors.retry_delay(F.col("attempt"), F.col("kind")).alias("seconds")).agg(F.count(F.lit(1)).alias("n"))

@@ -91,3 +91,15 @@ REPLIES = [
     ("braces", '{"issues": [{"message": "a } in a string"}]}'),
     ("think", '<think>{"issues": 1}</think>{"issues": [{"message": "m"}]}'),
 ]
+
+WRAPPED = [
+    ("business", '{"success": false, "code": 500, "msg": "no quota"}'),
+    ("message", '{"success": false, "message": "down"}'),
+    ("error", '{"error": {"message": "bad key"}}'),
+    ("plain_error", '{"error": "bad"}'),
+    ("with_content", '{"error": "bad", "content": []}'),
+    ("fine", '{"success": true}'),
+    ("text", "not JSON"),
+    ("broken", '{"error": '),
+    ("null", None),
+]

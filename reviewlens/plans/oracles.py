@@ -161,3 +161,21 @@ code as (select *, regexp_replace(regexp_replace(case when m = 0 then ' ' || c e
 h as (select file_path, diff_line, unnest(list_filter([case when regexp_matches(code, '{SECRET}') or regexp_matches(code, 'AKIA[0-9A-Z]{{16}}') or regexp_matches(code, 'gh[ps]_[A-Za-z0-9_]{{36,}}') then 'R2' end,
  case when m in (1, 2) and regexp_matches(added, '(?i)(password\\s*=\\s*"[^"]+"|api_?key\\s*=\\s*"[^"]+"|secret\\s*=\\s*"[^"]+"|token\\s*=\\s*"[^"]{{16,}}")') then 'R6' end], lambda z: z is not null)) as rule from code)
 select file_path as file, rule, count(*) as n, min(diff_line)::int as first_line from h group by 1, 2"""
+SQL["diff_context_summary"] = f"""with {V_FILES} select review_id, md5(string_agg('- ' || file_path || ' (' || token_count || ' tokens)', chr(10) order by ord)) as text from v_files group by 1"""
+SQL["wrapped_errors"] = """select * from (values ('business', 'business error (500): no quota'), ('message', 'business error (unknown): down'), ('error', 'error: bad key'), ('plain_error', 'error: bad'), ('with_content', null), ('fine', null), ('text', null), ('broken', null), ('null', null)) v(reply_id, error)"""
+SQL["retry_delays"] = """select event_id % 5 as attempt, case user_id % 3 when 0 then 'timeout' when 1 then 'server' else 'client' end as kind,
+ case when event_id % 5 >= 3 or user_id % 3 = 0 then null when user_id % 3 = 1 then least(30.0, 2.0 * 2 ** (event_id % 5)) else 2.0 end::double as seconds, count(*) as n from events group by 1, 2, 3"""
+
+# Expected rows of the literal project, worked out by hand from its sources.
+SQL["import_edges"] = """select * from (values ('file:src/shop/OrderController.java', 'file:src/shop/service/OrderService.java'), ('file:src/shop/service/OrderService.java', 'file:src/shop/dao/OrderDao.java')) v(src, dst)"""
+SQL["call_resolution"] = """select * from (values ('src/shop/OrderController.java', 'handle', 'orderService', 'process', 'src/shop/service/OrderService.java'),
+ ('src/shop/service/OrderService.java', 'process', 'orderDao', 'save', 'src/shop/dao/OrderDao.java')) v(file_path, caller, scope, callee, target_path)"""
+SQL["most_specific_class"] = """select 'src/shop/' || f as file_path, name, type_name from (values ('OrderController.java', 'handle', 'OrderController'), ('service/OrderService.java', 'process', 'OrderService'), ('service/OrderService.java', 'validate', 'OrderService'),
+ ('service/BaseService.java', 'help', 'Helper'), ('dao/OrderDao.java', 'save', 'OrderDao'), ('dao/SqlOrderDao.java', 'save', 'SqlOrderDao'), ('dao/SqlOrderDao.java', 'write', 'SqlOrderDao')) v(f, name, type_name)"""
+SQL["method_complexity"] = """select 'method:' || m as chunk_id, c::int as complexity from (values ('OrderController.handle(String)', 3), ('OrderService.process(String)', 2), ('OrderService.validate(String)', 3), ('Helper.help()', 1),
+ ('OrderDao.save(String)', 1), ('SqlOrderDao.save(String)', 2), ('SqlOrderDao.write(String)', 1)) v(m, c)"""
+SQL["graph_query_impact"] = """select * from (values ('method:src/shop/OrderController.java:OrderController.handle(String)', 'METHOD'), ('method:src/shop/service/OrderService.java:OrderService.process(String)', 'METHOD')) v(id, type)"""
+SQL["graph_related"] = """select * from (values ('contains', 'method:src/shop/service/OrderService.java:OrderService.process(String)'), ('contains', 'method:src/shop/service/OrderService.java:OrderService.validate(String)'),
+ ('parent', 'class:src/shop/service/BaseService.java:BaseService'), ('dependency', 'class:src/shop/service/BaseService.java:BaseService')) v(relation, id)"""
+SQL["llm_parse_loose"] = """select * from (values ('object', 1, true, false), ('no_flag', 1, false, false), ('no_issues', 0, true, false), ('fenced', 1, false, false), ('prose', 1, false, false), ('several', 2, false, false), ('empty_array', 0, null, false), ('array', 1, null, false),
+ ('plain', 0, null, true), ('broken', 0, null, true), ('null', 0, false, false), ('blank', 0, false, false), ('braces', 1, false, false), ('think', 1, false, false)) v(reply_id, issues, has_critical, is_raw)"""
