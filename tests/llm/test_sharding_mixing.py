@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ def test_ranked_numbers_a_hot_group_in_order(spark):
     df = spark.range(20_000).select(F.when(F.col("id") < 15_000, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), "id", F.xxhash64("id").alias("h"))
     out = ranked(df, ["g"], ["id"], "r", "h", count="n", per_bucket=500).toPandas()
     for _, part in out.groupby("g"):
-        part = part.assign(u=part.h.astype("uint64") >> 1).sort_values(["u", "id"])
+        part = part.assign(u=part.h.to_numpy("int64").view("uint64") >> np.uint64(1)).sort_values(["u", "id"])
         assert part.r.tolist() == list(range(len(part)))
         assert set(part.n) == {len(part)}
 
