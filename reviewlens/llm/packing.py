@@ -215,9 +215,13 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 20, small: int = 8
     large = sorted((x for x in counts if capacity // small < x < capacity), reverse=True)
     total = sum(counts[x] for x in large)
     if total:
-        queues: list[list[list[int]]] = [[]]  # of each group: length, next rank, items left
-        per, room = -(-total // groups), -(-total // groups)
+        queues: list[list[list[int]]] = []  # of each group: length, next rank, items left
+        per, room = -(-total // groups), 0
         for x in large:
+            if 2 * counts[x] >= per:  # frequent enough to be a group, which no rounding touches
+                queues.append([[x, 0, counts[x]]])
+                room = 0
+                continue
             left, rank = counts[x], 0
             while left:
                 if not room:
@@ -226,15 +230,6 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 20, small: int = 8
                 n = min(left, room)
                 queues[-1].append([x, rank, n])
                 left, rank, room = left - n, rank + n, room - n
-        queues = [q for q in queues if q]
-        # groups of one size are one group
-        merged: list[list[list[int]]] = []
-        for q in queues:
-            if merged and merged[-1][0][0] == q[0][0]:
-                merged[-1] += q
-            else:
-                merged.append(q)
-        queues = merged
         for pattern, times in configurations([q[0][0] for q in queues], [sum(r[2] for r in q) for q in queues], capacity):
             slots = []  # for each slot: its runs of (length, rank, items)
             for g, many in enumerate(pattern):
