@@ -335,15 +335,17 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
         heavy = np.array(sorted(r["h"] for r in heavy.collect()), np.int64).view(np.uint64)
         prefixes = kept.select("sid", "tokens").mapInArrow(_prefixes(per, heavy, 1 + kept.count() // SETS_A_PART), "h long, part int, sid long, n int, place int")
         lists = tmp.write(prefixes.repartition("h", "part").mapInArrow(_lists(per), "h long, part int, sid long, n long, place long, lead long"), "lists")
-        # a set goes to the leader with which it shares most, if they share enough to link; else it is its own home
+        # a set goes to the leader with which it shares most, if more than chance; else it is its own home
         votes = lists.groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
-        strong = (F.col("lead") != F.col("sid")) & (F.col("c") >= 2 + F.floor(F.col("n") / 25))
+        strong = (F.col("lead") != F.col("sid")) & (F.col("c") >= 2 + F.floor(F.col("n") / 100))
         home = votes.groupBy("sid").agg(F.min(F.when(strong, F.struct(-F.col("c"), "lead"))).alias("x"), F.max("n").alias("n"))
         home = keep(home.select("sid", F.coalesce("x.lead", "sid").alias("lead"), "n"))
         # leaders hand their sets on: those of a list's parts to the first of them, others to their own leader
         heads = lists.where("part > 0").select("h", "lead").distinct()
         heads = heads.join(heads.groupBy("h").agg(F.min("lead").alias("next")), "h").where("lead != next").groupBy("lead", "next").agg(F.count(F.lit(1)).alias("c"))
-        for up in (heads.groupBy("lead").agg(F.max_by("next", F.struct("c", -F.col("next"))).alias("next")), home.select(F.col("sid").alias("lead"), F.col("lead").alias("next")).where("lead != next")):
+        first = heads.groupBy("lead").agg(F.max_by("next", F.struct("c", -F.col("next"))).alias("next"))
+        own = home.select(F.col("sid").alias("lead"), F.col("lead").alias("next")).where("lead != next")
+        for up in (first, own, own):
             home = home.join(up, "lead", "left").select("sid", F.coalesce("next", "lead").alias("lead"), "n")
         home = home.withColumnRenamed("lead", "home")
         home = tmp.write(home, "home")
