@@ -42,4 +42,23 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(k.n_removed, 0)::bigint a
 from d left join kept k on d.doc_id = k.doc_id
 """
 
-ORACLE_SQL = {"op3_url_filter": OP3, "op9_substrings": OP9}
+# Pages of these tables hold one article each, whose only inline element is <b>; what is cut off inside a tag is no text.
+OP2 = r"""
+with a as (select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<[^>]*$', '') as t from pages),
+b as (select page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') as t from a),
+c as (select page_id, url, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;?', '&', 'g') as t from b)
+select page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) as text, length(trim(regexp_replace(t, '\s+', ' ', 'g')))::bigint as n_chars from c
+"""
+
+OP5 = r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, md5(case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[p:p + 3], ' ') end) as h
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as p from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.h = b.h and a.doc_id <> b.doc_id group by 1, 2),
+links as materialized (select x, y from pairs join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+reach as (select doc_id, doc_id as other from d union select reach.doc_id, links.y from reach join links on links.x = reach.other)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(reach.other) as component_id from d join reach using (doc_id) left join n using (doc_id) group by d.doc_id
+"""
+
+ORACLE_SQL = {"op2_html_text": OP2, "op3_url_filter": OP3, "op5_ngram_join": OP5, "op9_substrings": OP9}
