@@ -98,7 +98,8 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text; no words for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_CLASS))
 
 
 def n_words(text: Column) -> Column:

@@ -31,9 +31,9 @@ def repeated_words(w: Column) -> Column:
             (F.get(p, k).bitwiseAND(mask) == x.bitwiseAND(mask)) & (_window(h, F.get(p, k).bitwiseAND(F.bitwise_not(mask)).cast("int")) == _window(h, x.bitwiseAND(F.bitwise_not(mask)).cast("int"))),
             F.lit(False),
         )
-        packed = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: _window(h, i).bitwiseAND(mask).bitwiseOR(i.cast("long"))))
+        packed = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: _window(h, i).bitwiseAND(mask).bitwiseOR(i.cast("long"))))
         twice = let(packed, lambda p: F.filter(p, lambda x, k: same(p, x, k - 1) | same(p, x, k + 1)))
-        starts = F.array_sort(F.transform(twice, lambda x: x.bitwiseAND(F.bitwise_not(mask))))
+        starts = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.bitwise_not(mask))))
         gained = let(starts, lambda s: F.transform(s, lambda x, k: F.least(F.lit(WINDOW).cast("long"), F.coalesce(x - F.get(s, k - 1), F.lit(WINDOW).cast("long")))))
         return F.aggregate(gained, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -42,6 +42,9 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < WINDOW + 1, F.lit(0).cast("long")).otherwise(many)
 
 
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_upper")
+
+
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``n_lines``, ``n_digits``, ``n_upper`` (long).
 
@@ -52,7 +55,7 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     both = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
     line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
-    out = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_upper").withColumns({"_w": both, "_l": line})
+    out = docs.drop(*STATISTICS).withColumns({"_w": both, "_l": line})
     return out.withColumns(
         {
             "n_words": F.col("_w.n"),
@@ -209,5 +212,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """Adds the statistics, ``base_failed``, ``rule`` (0: none fired) and ``kept`` to every row."""
-    out = with_stats(docs.drop("base_failed", "rule", "kept"), text).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    added = [*STATISTICS, "base_failed", "rule", "kept"]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c.lower() not in added]).alias("_row"), docs[text].alias("_text"))
+    out = with_stats(rows, "_text").withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).select("_row.*", *added)
