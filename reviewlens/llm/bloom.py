@@ -19,15 +19,15 @@ def _bit(key: Column, lane: int) -> Column:
 
 
 def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
-    """A blocked Bloom filter as a table: ``block`` and eight words of 64 bits; a key sets one bit in each."""
+    """A blocked Bloom filter as a table: ``_at`` and eight words of 64 bits; a key sets one bit in each."""
     at = [F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col(key), i)) for i in range(LANES)]
-    return listed.groupBy(block_of(F.col(key), blocks).alias("block")).agg(*[F.bit_or(x).alias(f"w{i}") for i, x in enumerate(at)])
+    return listed.groupBy(block_of(F.col(key), blocks).alias("_at")).agg(*[F.bit_or(x).alias(f"_w{i}") for i, x in enumerate(at)])
 
 
 def in_bloom(key: Column) -> Column:
     found = F.lit(True)
     for i in range(LANES):
-        found = found & (F.call_function("shiftright", F.col(f"w{i}"), _bit(key, i)).bitwiseAND(F.lit(1)) == 1)
+        found = found & (F.call_function("shiftright", F.col(f"_w{i}"), _bit(key, i)).bitwiseAND(F.lit(1)) == 1)
     return F.coalesce(found, F.lit(False))
 
 
@@ -49,6 +49,6 @@ def split(df: DataFrame, key: str, among: DataFrame) -> tuple[DataFrame, DataFra
     blocks = min(BROADCAST_BLOCKS, blocks_for(listed.count()))
     bits = F.broadcast(bloom(listed, "_key", blocks))
     probed = df.withColumn("_block", F.coalesce(block_of(F.col(key), blocks), F.lit(0)))
-    probed = probed.join(bits, probed["_block"] == bits["block"], "left").withColumn("_maybe", in_bloom(F.col(key)) & F.col(key).isNotNull())
-    probed = probed.drop("_block", "block", *[f"w{i}" for i in range(LANES)])
+    probed = probed.join(bits, probed["_block"] == bits["_at"], "left").withColumn("_maybe", in_bloom(F.col(key)) & F.col(key).isNotNull())
+    probed = probed.drop("_block", "_at", *[f"_w{i}" for i in range(LANES)])
     return probed.where(~F.col("_maybe")).drop("_maybe"), probed.where("_maybe").drop("_maybe")

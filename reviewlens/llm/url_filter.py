@@ -50,8 +50,8 @@ def listed_among(pages: DataFrame, listed: DataFrame, key: str = "canonical") ->
     if blocks <= BROADCAST_BLOCKS:
         bits = F.broadcast(bits)
     probed = pages.withColumn("_block", block_of(F.coalesce(F.col(key), F.lit("")), blocks))
-    probed = probed.join(bits, probed["_block"] == bits["block"], "left").withColumn("_maybe", in_bloom(F.col(key)))
-    probed = probed.drop("_block", "block", *[f"w{i}" for i in range(LANES)])
+    probed = probed.join(bits, probed["_block"] == bits["_at"], "left").withColumn("_maybe", in_bloom(F.col(key)))
+    probed = probed.drop("_block", "_at", *[f"_w{i}" for i in range(LANES)])
     # rows that the filter clears don't enter the join: their keys would only travel
     clear = probed.where(~F.col("_maybe")).drop("_maybe").withColumn("listed", F.lit(False))
     maybe = probed.where("_maybe").drop("_maybe")
@@ -80,9 +80,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Dat
     an empty host and path, no rule, and is allowed unless the list holds the empty string. Columns
     with the added names are replaced; rows are never dropped or merged.
     """
-    pages = pages.drop("host", "path", "rule", "verdict", "canonical")
-    pages = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "canonical": F.coalesce(canonical(F.col(url)), F.lit(""))})
+    columns = [pages[c] for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(F.struct(*columns).alias("_row"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), F.coalesce(canonical(pages[url]), F.lit("")).alias("canonical"))
     name, action = rule_of(F.col("host"), F.col("path"), rules)
-    judged = listed_among(pages, listed).withColumn("rule", name)
     verdict = F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow"))
-    return judged.withColumn("verdict", verdict).drop("canonical", "listed")
+    return listed_among(rows, listed).select("_row.*", "host", "path", name.alias("rule"), verdict.alias("verdict"))

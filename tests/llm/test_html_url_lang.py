@@ -86,9 +86,11 @@ def judge(url):
 
 
 def test_url_rules(spark):
-    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    got = url_filter.filter_urls(pages, RULES, spark.createDataFrame([("h",)], "c string")).collect()
-    assert len(got) == len(URLS)
+    pages = spark.createDataFrame([(k, u, 1, "w", "r", "m") for k, u in enumerate(URLS)], "page_id long, url string, block int, w0 string, listed string, canonical string")
+    out = url_filter.filter_urls(pages, RULES, spark.createDataFrame([("h",)], "c string"))
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    got = out.collect()
+    assert len(got) == len(URLS) and {(r["block"], r["w0"], r["listed"], r["canonical"]) for r in got} == {(1, "w", "r", "m")}
     for r in got:
         host, path, rule, verdict = judge(URLS[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
