@@ -75,17 +75,33 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def to_python(df: DataFrame) -> DataFrame:
-    """``df``, whose texts go to Python workers: batches are bounded by bytes, so that long texts can't fill a worker."""
+def in_python(df: DataFrame, run, schema) -> DataFrame:
+    """``df.transform(in_python, run, schema)`` in bounded memory.
+
+    Batches are bounded by bytes, so that long texts can't fill a worker, and a worker hands its free
+    memory back at a task's end, as Spark keeps it for later tasks beside the JVM's own.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(name, None)
     if not now or not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(lean, schema)
 
 
 #: Bytes of an Arrow batch of texts, unless a single row has more.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 # --- columns ---------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.common import _LOWER, keep, text_buffers, to_python
+from reviewlens.llm.common import _LOWER, in_python, keep, text_buffers
 from reviewlens.llm.packing import slices
 
 #: Bytes that the network reads as one sequence; a text is cut into such sequences, the last padded.
@@ -205,4 +205,4 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
                 score = np.where(any_letter, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], ["_row", "lang_pred", "score"])
 
-    return to_python(rows).mapInArrow(run, T.StructType([rows.schema["_row"], *fields])).select("_row.*", "lang_pred", "score")
+    return rows.transform(in_python, run, T.StructType([rows.schema["_row"], *fields])).select("_row.*", "lang_pred", "score")

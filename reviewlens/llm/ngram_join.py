@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reviewlens.llm import bloom
-from reviewlens.llm.common import _LOWER, Scratch, grouped, keep, mix, text_buffers, to_python, word_hashes, word_spans
+from reviewlens.llm.common import _LOWER, Scratch, grouped, in_python, keep, mix, text_buffers, word_hashes, word_spans
 from reviewlens.llm.packing import slices
 
-#: A shingle in more than this share of the sets of a partition comes last in the order there, and so everywhere.
+#: A shingle in about this share of all sets, by counts over all of them, comes last in the order.
 HEAVY = 1 / 500
 #: Bytes of text whose shingles are hashed at once; bounds memory, not results.
 SLICE = 3 << 19
@@ -92,7 +92,7 @@ def _unpack(column):
 
 
 def _frequent(batches):
-    """The shingles of more than ``HEAVY`` of a partition's sets, so that none of more than that of all sets is missed."""
+    """The shingles of more than ``HEAVY`` of a partition's sets, with how many hold them: any of more than that of all sets is among some partition's."""
     held, n = [], 0
     for batch in batches:
         flat, first = _unpack(batch.column(0))
@@ -105,8 +105,8 @@ def _frequent(batches):
     value, times = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
     value, back = np.unique(value, return_inverse=True)
     total = np.bincount(back, times).astype(np.int64)
-    hot = total > max(8, n * HEAVY)
-    yield pa.RecordBatch.from_arrays([pa.array(value[hot].view(np.int64))], ["h"])
+    hot = total > max(2, n * HEAVY)
+    yield pa.RecordBatch.from_arrays([pa.array(value[hot].view(np.int64)), pa.array(total[hot])], ["h", "c"])
 
 
 def _need(a, b, per):
@@ -326,15 +326,16 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
     candidate is capped, and large homes meet in blocks.
     """
     spark = docs.sparkSession
-    rows = to_python(docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].cast("string").alias("text")))
+    rows = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].cast("string").alias("text"))
     with Scratch(spark) as tmp:
-        sets = tmp.write(rows.mapInArrow(_sets(size), "id long, th long, n long, sid long, tokens binary"), "sets")
+        sets = tmp.write(rows.transform(in_python, _sets(size), "id long, th long, n long, sid long, tokens binary"), "sets")
         kept = sets.where("tokens is not null")
-        # bounded: at most (mean set size / HEAVY) shingles can be in more than HEAVY of a partition's sets
-        heavy = kept.select("tokens").mapInArrow(_frequent, "h long").distinct()
+        # bounded: at most (2 * mean set size / HEAVY) shingles can be in half of HEAVY of all sets
+        n_sets = kept.count()
+        heavy = kept.select("tokens").transform(in_python, _frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > max(8, n_sets * HEAVY / 2))
         heavy = np.array(sorted(r["h"] for r in heavy.collect()), np.int64).view(np.uint64)
-        prefixes = kept.select("sid", "tokens").mapInArrow(_prefixes(per, heavy, 1 + kept.count() // SETS_A_PART), "h long, part int, sid long, n int, place int")
-        lists = tmp.write(prefixes.repartition("h", "part").mapInArrow(_lists(per), "h long, part int, sid long, n long, place long, lead long"), "lists")
+        prefixes = kept.select("sid", "tokens").transform(in_python, _prefixes(per, heavy, 1 + n_sets // SETS_A_PART), "h long, part int, sid long, n int, place int")
+        lists = tmp.write(prefixes.repartition("h", "part").transform(in_python, _lists(per), "h long, part int, sid long, n long, place long, lead long"), "lists")
         # a set goes to the leader with which it shares most, if more than chance; else it is its own home
         votes = lists.groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
         strong = (F.col("lead") != F.col("sid")) & (F.col("c") >= 2 + F.floor(F.col("n") / 100))
@@ -351,7 +352,7 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
         home = tmp.write(home, "home")
         at = lists.select("h", "sid", "place").join(home, "sid")
         at = at.groupBy("h", "home").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"))
-        pairs = at.repartition("h").mapInArrow(_home_pairs(per), "a long, b long, c long")
+        pairs = at.repartition("h").transform(in_python, _home_pairs(per), "a long, b long, c long")
         pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"))
         # homes in blocks of bounded size
         weight = home.groupBy("home").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("m"), F.min("n").alias("low"))
@@ -374,7 +375,7 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
         # copies that several tasks kept are one set, before it goes to its meetings
         needed = needed.groupBy("sid").agg(F.first("tokens").alias("tokens"))
         there = needed.join(guests, "sid").select("meeting", "side", "lead", "sid", "tokens")
-        met = there.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_meetings(per), "a long, b long")
+        met = there.repartition("meeting").sortWithinPartitions("meeting").transform(in_python, _meetings(per), "a long, b long")
         links = keep(met.distinct())
         slim = keep(sets.select("id", "th", "n", "sid"))
     roots = keep(components(links))

@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import _LOWER, keep, ranked, text_buffers, to_python, word_hashes, word_spans
+from reviewlens.llm.common import _LOWER, in_python, keep, ranked, text_buffers, word_hashes, word_spans
 
 # --- tokens ------------------------------------------------------------------
 
 #: Bytes of text that are tokenized at once, and words whose ids a task remembers; they bound memory, not results.
-SLICE_BYTES = 4 << 20
-REMEMBERED = 600_000
+SLICE_BYTES = 2 << 20
+REMEMBERED = 400_000
 
 
 class WordTokens:
@@ -32,12 +32,12 @@ class WordTokens:
     def __init__(self, spec: str, between: str = "<|endoftext|>"):
         import re
 
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.full, self.quick, self.between = Tokenizer.from_str(spec), Tokenizer.from_str(spec), between
-        self.quick.normalizer = normalizers.Sequence([])
+        self.full, self.between = Tokenizer.from_str(spec), between
+        self.quick = Tokenizer(self.full.model)  # one model in memory
+        self.quick.add_special_tokens([between])
         self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.mark = self.full.token_to_id(between)
         self.latin = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
         self.stops = {c: self.full.encode(chr(c), add_special_tokens=False).ids for c in b".,"}
         self.forget()
@@ -53,9 +53,9 @@ class WordTokens:
             runs = [words[i : i + 500] for i in range(a, min(a + 10_000, len(words)), 500)]
             texts = [between.join([*(b"\n".join(run).decode("utf-8", "replace").split("\n")), ""]) for run in runs]
             ids = np.concatenate([np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-            marks = np.flatnonzero(ids == self.mark)
-            sizes.append(np.diff(marks, prepend=-1) - 1)
-            flat.append(ids[ids != self.mark])
+            mark = tokenizer.token_to_id(self.between)
+            sizes.append(np.diff(np.flatnonzero(ids == mark), prepend=-1) - 1)
+            flat.append(ids[ids != mark])
         return np.concatenate(flat), np.concatenate(sizes)
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
@@ -133,7 +133,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: st
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         tokens = WordTokens(spec)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES // 2):
                 ids, first = tokens(*text_buffers(part.column(1)))
                 keys, out = part.column(0), []
                 for i in range(part.num_rows):
@@ -143,7 +143,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: st
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[0])), pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return to_python(rows).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.transform(in_python, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # --- the plan: from counts of lengths to places --------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.llm import bloom
-from reviewlens.llm.common import BROADCAST_ROWS, Scratch, keep, small, text_buffers, to_python, window_hashes, word_hashes, word_spans, words
+from reviewlens.llm.common import BROADCAST_ROWS, Scratch, in_python, keep, small, text_buffers, window_hashes, word_hashes, word_spans, words
 from reviewlens.llm.packing import slices
 
 GRAM = 6
@@ -185,7 +185,7 @@ def deduplicate(docs: DataFrame, window: int = 20, key: str = "doc_id", text: st
     docs = docs.drop("n_words", "n_removed", "kept_text")
     columns = [docs[c] for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("_row"), F.coalesce(docs[key].cast("long"), F.lit(NO_KEY)).alias("doc_id"), F.xxhash64(docs[text]).alias("th"))
-    rows = to_python(rows.withColumn("rk", F.xxhash64("doc_id", "th")))
+    rows = rows.withColumn("rk", F.xxhash64("doc_id", "th"))
     with Scratch(spark) as tmp:
         slim = rows.select("doc_id", "th", "rk", F.col("_row")[text].cast("string").alias("text")).where("text is not null")
         # whole copies: only the text's smallest key is parsed
@@ -194,14 +194,14 @@ def deduplicate(docs: DataFrame, window: int = 20, key: str = "doc_id", text: st
         single, maybe = bloom.split(slim, "th", heads.select("_t"))
         maybe = maybe.join(heads, maybe["th"] == heads["_t"], "left").where("head is null or doc_id = head")
         parsed = single.select("doc_id", "rk", "text").unionByName(maybe.select("doc_id", "rk", "text"))
-        found = tmp.write(parsed.mapInArrow(_parse(window), SCHEMA), "found")
+        found = tmp.write(parsed.transform(in_python, _parse(window), SCHEMA), "found")
         asked = found.where(F.col("kind").isin(PHRASE, KNOWN)).select("h", "rk")
-        shared = asked.repartition("h").mapInArrow(_shared, "rk long, h long")
+        shared = asked.repartition("h").transform(in_python, _shared, "rk long, h long")
         wanted = tmp.write(shared.groupBy(F.col("rk").alias("_k")).agg(F.collect_list("h").alias("hs")), "wanted")
         _, texts = bloom.split(parsed, "rk", wanted.select("_k"))
         texts = texts.join(wanted, texts["rk"] == wanted["_k"]).select("doc_id", "rk", "text", "hs")
-        looked = texts.mapInArrow(_look_up(window), SCHEMA).unionByName(found.where(F.col("kind") == WINDOW))
-        repeats = looked.select("h", "doc_id", "rk", "pos").repartition("h").mapInArrow(_resolve, "doc_id long, rk long, pos int")
+        looked = texts.transform(in_python, _look_up(window), SCHEMA).unionByName(found.where(F.col("kind") == WINDOW))
+        repeats = looked.select("h", "doc_id", "rk", "pos").repartition("h").transform(in_python, _resolve, "doc_id long, rk long, pos int")
         repeats = repeats.unionByName(found.where(F.col("kind") == REPEAT).select("doc_id", "rk", "pos"))
         gone = keep(repeats.groupBy(F.col("doc_id").alias("_i"), F.col("rk").alias("_k")).agg(F.collect_list("pos").alias("_at")))
     copied = rows.join(heads.withColumnRenamed("_t", "_t2"), F.col("th") == F.col("_t2"), "left")
@@ -213,4 +213,4 @@ def deduplicate(docs: DataFrame, window: int = 20, key: str = "doc_id", text: st
     clear = clear.withColumn("_w", words(F.col("_row")[text].cast("string"))).select("_row.*", F.size("_w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("_w", " ").alias("kept_text"))
     schema = T.StructType([touched.schema["_row"], *T._parse_datatype_string("n_words long, n_removed long, kept_text string").fields])
     place = [c.lower() for c in docs.columns].index(text.lower())
-    return clear.unionByName(touched.mapInArrow(_remove(window, place), schema).select("_row.*", "n_words", "n_removed", "kept_text"))
+    return clear.unionByName(touched.transform(in_python, _remove(window, place), schema).select("_row.*", "n_words", "n_removed", "kept_text"))
