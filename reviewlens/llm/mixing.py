@@ -54,7 +54,7 @@ def balance(cells: DataFrame, sources: DataFrame, most: int = 60, close: float =
         }
     )
     start = F.when(F.col("_a") == 0, F.lit(0.0)).when(F.col("target") <= 0, F.lit(float("-inf"))).when(F.col("done"), F.col("hi")).otherwise(F.lit(0.0))
-    state = keep(state.withColumn("lam", start))
+    state = keep(state.withColumn("lam", start).coalesce(1))  # a row for each source: one file an iteration
     for _ in range(most):
         x = F.col("size") / F.col("_mean")
         rate = F.least(F.lit(float(MOST_COPIES)), F.exp(F.col("lam") * x))
@@ -69,7 +69,7 @@ def balance(cells: DataFrame, sources: DataFrame, most: int = 60, close: float =
         inside = (F.col("_df") > 0) & (step > F.col("lo")) & (step < F.col("hi"))
         over = F.col("done") | (F.abs(miss) <= close * F.col("target")) | (F.col("hi") - F.col("lo") <= 1e-15 * F.abs(F.col("lam")))
         state = state.withColumns({"done": over, "lam": F.when(over, F.col("lam")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)})
-        state = keep(state.drop("_f", "_df"))
+        state = keep(state.drop("_f", "_df").coalesce(1))
         if not state.where(~F.col("done")).limit(1).count():
             break
     return state
