@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import html_text, language, mixing, ngram_join, packing, quality, sharding, substrings, url_filter
+from reviewlens.llm import html_text, language, media, mixing, ngram_join, packing, quality, sharding, substrings, url_filter
 from reviewlens.llm.common import table
 
 #: Fixed values of the URL query: (action, host, path).
@@ -51,6 +51,13 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"), 4, 85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a recording: its chroma fingerprint, its class, and for every twentieth its best alignment."""
+    prints = media.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", media.tones)
+    done = media.align(prints)
+    return done.select(F.col("id").alias("vec_id"), "frames", F.crc32(F.array_join("fingerprint", ",")).alias("print_crc32"), "class_id", "match_id", "offset", "bit_error")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     import public_tokenizers
@@ -83,4 +90,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "rate")
 
 
-ALL = [op1_sharding, op2_html_text, op3_url_filter, op4_quality, op5_ngram_join, op7_packing, op8_language, op9_substrings, op10_mixing]
+ALL = [op1_sharding, op2_html_text, op3_url_filter, op4_quality, op5_ngram_join, op6_media, op7_packing, op8_language, op9_substrings, op10_mixing]
