@@ -110,17 +110,18 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 20) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """GR5: the edges of a shortest path over all types, in order; no rows where there is none.
 
-    A frontier loop: every newly reached node keeps its smallest predecessor, so a level is one join
-    and one aggregate; the path is read back from the levels.
+    A frontier loop without a bound, until the goal is met or nothing new is reached: every newly
+    reached node keeps its smallest predecessor, so a level is one join and one aggregate; the path is
+    read back from the levels. What was seen is cut from its lineage every eighth level.
     """
     spark = edges.sparkSession
-    step = edges.groupBy("src", "dst").agg(F.min(F.struct("type", "line")).alias("e"))
+    step = _cut(edges.groupBy("src", "dst").agg(F.min(F.struct("type", "line")).alias("e")))
     seen = spark.createDataFrame([(start,)], "id string")
     frontier, levels, found = seen, [], start == goal
-    while not found and len(levels) < most:
+    while not found:
         out = step.join(frontier.withColumnRenamed("id", "src"), "src").join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti")
         level = _cut(out.groupBy("dst").agg(F.min(F.struct("src", "e")).alias("via")).select("dst", "via.src", F.col("via.e.type").alias("type"), F.col("via.e.line").alias("line")))
         levels.append(level)
@@ -129,6 +130,8 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 20) -> Da
         if not found and not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)
+        if not len(levels) % 8:
+            seen = _cut(seen)
     path, at = [], goal
     if found:
         for k, level in reversed(list(enumerate(levels))):

@@ -98,6 +98,13 @@ def test_impact_with_cycles_and_paths(spark):
     assert all(x["dst"] == y["src"] for x, y in zip(path, path[1:], strict=False))
 
 
+def test_a_path_of_more_than_twenty_edges(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}", "CALLS", k) for k in range(22)] + [("n3", "n1", "CALLS", -1)], "src string, dst string, type string, line int")
+    path = graph.shortest_path(edges, "n0", "n22").orderBy("step").collect()
+    assert [(r["src"], r["dst"], r["line"]) for r in path] == [(f"n{k}", f"n{k + 1}", k) for k in range(22)]
+    assert graph.shortest_path(edges, "n20", "n0").count() == 0
+
+
 def test_tfidf_unit_norm_and_small_corpora(spark):
     docs = spark.createDataFrame([(1, "class OrderService { processOrder(); }"), (2, "HTTPServer parseXML user_id 42"), (3, ""), (4, "order order process")], "doc_id long, text string")
     tf = retrieval.terms(docs)
