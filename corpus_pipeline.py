@@ -39,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus in sequences of at most 4096 tokens: a row for each piece of a document."""
+    """The corpus in sequences of at most 4096 tokens: a row for each piece of a document, with its token ids."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096)

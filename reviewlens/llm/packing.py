@@ -122,10 +122,30 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         a = b
 
 
+def id_bytes(spec: str, end: int) -> int:
+    """Bytes that hold any id of a tokenizer: 2, or 4 if there are ids past 65 535."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end, *Tokenizer.from_str(spec).get_vocab().values()) < 1 << 16 else 4
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` with its ``ids`` of 2 bytes as ids of 4; on disk and on the way they take half."""
+
+    def run(batches):
+        for batch in batches:
+            k = batch.schema.get_field_index("ids")
+            ids = [np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes() for x in batch.column(k)]
+            yield batch.set_column(k, "ids", pa.array(ids, pa.binary()))
+
+    return df.transform(in_python, run, df.schema)
+
+
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: str, end: int = 1) -> DataFrame:
-    """A row for each piece of each document: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``."""
+    """A row for each piece of each document: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``ids`` (of ``id_bytes`` each, little-endian)."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
+    width = id_bytes(spec, end)
 
     def run(batches):
         import os
@@ -138,12 +158,12 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: st
                 keys, out = part.column(0), []
                 for i in range(part.num_rows):
                     own = np.append(ids[first[i] : first[i + 1]], np.uint32(end)).astype("<u4")
-                    out += [(i, k, s, len(own[s : s + capacity]), zlib.crc32(own[s : s + capacity])) for k, s in enumerate(range(0, len(own), capacity))]
+                    out += [(i, k, s, len(x), zlib.crc32(x), x.astype(f"<u{width}").tobytes()) for k, s in enumerate(range(0, len(own), capacity)) for x in [own[s : s + capacity]]]
                 rows = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[0])), pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[0])), pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:5]], pa.array(rows[5], pa.binary())], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.transform(in_python, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.transform(in_python, run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 # --- the plan: from counts of lengths to places --------------------------------
@@ -300,9 +320,10 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 20, small: int = 8
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", seed: int = 31) -> DataFrame:
-    """Pack all rows into sequences of at most ``capacity`` tokens: a row for each piece of a document.
+    """Pack all rows into sequences of at most ``capacity`` tokens: a row for each piece of a document, with its token ids.
 
-    A document is its ids and the end token; only longer ones are cut, into pieces of ``capacity``.
+    ``ids`` holds them as 32-bit little-endian numbers, of which ``ids_crc32`` is the checksum; a
+    sequence is the ``ids`` of its ``sequence_id`` joined in order of ``offset``. A document is its ids and the end token; only longer ones are cut, into pieces of ``capacity``.
     The lengths' counts, at most ``capacity`` rows, come to the driver and return as a table of places
     (bounded by the different lengths); pieces meet their place by length and by rank among the
     pieces of that length, in order of a seeded hash. ``sequence_id`` and ``offset`` follow.
@@ -316,8 +337,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_
     schema = "_length long, _from long, _to long, _bin long, _each long, _offset long"
     places = F.broadcast(spark.createDataFrame(plan(counts, capacity), schema))
     pieces = pieces.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32"))
-    at = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank", "_h")
+    # ids travel with their piece: a bucket of 4096 tokens a piece is about 8 MB, 16 MB with ids of 4 bytes
+    at = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank", "_h", per_bucket=1000)
     out = at.join(places, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
     out = out.withColumn("sequence_id", F.expr("_bin + (_rank - _from) div _each")).withColumn("offset", F.col("_offset") + F.pmod(nth, F.col("_each")) * F.col("length"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    out = out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+    with open(tokenizer, encoding="utf-8") as f:
+        return widened(out) if id_bytes(f.read(), 1) == 2 else out

@@ -117,3 +117,27 @@ def test_packing_odd_rows(spark):
             at += n
         assert at <= 512
     assert packing.pack(none(spark), VOCABULARY, 512).count() == 0
+
+
+def test_packed_sequences_hold_the_token_ids(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(VOCABULARY)
+    docs = odd(spark)
+    got = packing.pack(docs, VOCABULARY, 512).collect()
+    want = Counter((r["doc_id"], tuple([*tk.encode(r["text"] or "", add_special_tokens=False).ids, 1])) for r in docs.collect())
+    sequences: dict[int, np.ndarray] = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        at = sequences.setdefault(r["sequence_id"], np.zeros(0, np.uint32))
+        assert len(at) == r["offset"]
+        sequences[r["sequence_id"]] = np.concatenate([at, ids])
+    # every document read back from the sequences
+    pieces: dict[tuple, list] = {}
+    for r in got:
+        part = sequences[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        pieces.setdefault((r["doc_id"], r["start"]), []).append(tuple(part.tolist()))
+    assert Counter(x for v in pieces.values() for p in v for x in p) == Counter(x for (_, ids), n in want.items() for x in ids * n)
+    whole = Counter((doc, p) for (doc, start), v in pieces.items() if start == 0 for p in v)
+    assert whole == Counter({k: n for k, n in Counter((doc, ids[:512]) for (doc, ids), n in want.items() for _ in range(n)).items()})
