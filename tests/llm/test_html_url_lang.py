@@ -60,6 +60,22 @@ def test_equal_articles_on_neighbours_stay(spark):
     assert len(got) == 9 and all(r["text"] == "same text" and r["n_chars"] == 9 for r in got)
 
 
+PAGE = "<div>Site name</div><p>{}</p><p>{}</p><div>Imprint</div>"
+LONG = " ".join(f"w{k}" for k in range(80))
+
+
+def test_unmarked_copies_keep_their_text(spark):
+    copies = [(k, f"http://h/a/{k:02}", PAGE.format("same story", LONG)) for k in range(30)]
+    near = [(30 + k, f"http://h/b/{k:02}", PAGE.format(f"near story {k}", LONG[::-1])) for k in range(30)]
+    alone = [(60 + k, f"http://alone/{k}", PAGE.format("same story", LONG)) for k in range(3)]
+    rows = [*copies, *near, *alone, (70, "http://h/c", PAGE.format("another", "thing"))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == f"same story {LONG}" for k in range(30))
+    assert all(got[30 + k] == f"near story {k} {LONG[::-1]}" for k in range(30))
+    assert all(got[60 + k] == f"Site name same story {LONG} Imprint" for k in range(3)) and got[70] == "another thing"
+
+
 def test_html_odd_rows(spark):
     rows = [(None, None, None, "a", 1), (1, "x", "<p>" + "long " * 200_000, "b", 2), (1, "x", "<p>" + "long " * 200_000, "b", 2), (2, "http://h", "<" * 50, None, None)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, _row string, _host int"))
