@@ -76,6 +76,22 @@ def test_unmarked_copies_keep_their_text(spark):
     assert all(got[60 + k] == f"Site name same story {LONG} Imprint" for k in range(3)) and got[70] == "another thing"
 
 
+def test_mates_do_not_depend_on_partitions(spark):
+    rng = random.Random(5)
+    rows = [(k, f"http://h{rng.randrange(9)}/{rng.randrange(20)}", PAGE.format(f"story {k if rng.random() < 0.6 else 0}", f"text {k % 7}")) for k in range(150)]
+    pages = spark.createDataFrame([*rows, (150, "http://two/1", PAGE.format("a", "b")), (151, "http://two/2", PAGE.format("c", "d"))], "page_id long, url string, html string")
+    seen, old = [], {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for n in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            seen.append({r["page_id"]: r["text"] for r in html_text.extract(pages).collect()})
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert seen[0] == seen[1] and seen[1][150] == "a b" and seen[1][151] == "c d"
+
+
 def test_html_odd_rows(spark):
     rows = [(None, None, None, "a", 1), (1, "x", "<p>" + "long " * 200_000, "b", 2), (1, "x", "<p>" + "long " * 200_000, "b", 2), (2, "http://h", "<" * 50, None, None)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, _row string, _host int"))
