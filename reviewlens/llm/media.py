@@ -82,12 +82,20 @@ def fingerprints(recordings: DataFrame, key: str, column: str, decode, rate: int
     return in_python(recordings.select(recordings[key].cast("long").alias("id"), recordings[column].alias("x")), run, "id long, frames long, fingerprint array<long>")
 
 
+#: An alignment of two classes is reported from so many equal integers at one offset on, and up to this share of differing bits.
+VOTES, BIT_ERROR = 3, 0.35
+
+
 def align(prints: DataFrame, every: int = 20) -> DataFrame:
-    """Adds ``class_id``, ``match_id``, ``offset``, ``bit_error``: equal fingerprints are one class, the smallest id.
+    """Adds ``class_id``, ``match_id``, ``offset``, ``bit_error``, ``matches``: equal fingerprints are one class, the smallest id.
 
     Queries are the rows whose id is divisible by ``every``, against all others, by class. Equal
     integers vote for the offset of their frames; the recording of the most votes at one offset, then
     the smaller id, is the match, and the error is the share of differing bits where both overlap.
+    ``matches`` holds every class that aligns at its own best offset (most votes, then the nearest to
+    0) with at least ``VOTES`` votes and at most ``BIT_ERROR``: ``bit_error``, ``match_id``, ``offset``,
+    ``votes``, the lowest error first; empty if none does, null for rows that are no queries. The match
+    of the most votes is given even where it reaches neither.
     Copies are never paired: votes are counted between classes alone. Null ids and recordings without
     frames match nothing; so do queries without an equal integer.
     """
@@ -97,14 +105,19 @@ def align(prints: DataFrame, every: int = 20) -> DataFrame:
     frames = classes.select("_h", "class_id", F.posexplode("print").alias("at", "x"))
     asked = classes.where("query is not null").select(F.col("_h").alias("q"), F.posexplode("print").alias("q_at", "x"))
     votes = asked.join(frames, "x").where("q != _h").groupBy("q", "_h", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("q").agg(F.min(F.struct(-F.col("n"), "class_id", F.abs("offset"), "offset", "_h")).alias("b")).select("q", "b.class_id", "b.offset", "b._h")
+    per = votes.groupBy("q", "_h", "class_id").agg(F.min(F.struct(-F.col("n"), F.abs("offset"), "offset")).alias("b")).select("q", "_h", "class_id", (-F.col("b.col1")).alias("n"), "b.offset")
+    first = per.groupBy("q").agg(F.min(F.struct(-F.col("n"), "class_id")).alias("b")).select(F.col("q").alias("_q"), F.col("b.class_id").alias("_first"))
+    best = per.join(first, F.col("q") == F.col("_q")).drop("_q").withColumn("_top", F.col("class_id") == F.col("_first")).where((F.col("n") >= VOTES) | F.col("_top"))
     a, b = classes.select(F.col("_h").alias("q"), F.col("print").alias("pa")), classes.select("_h", F.col("print").alias("pb"))
     both = best.join(a, "q").join(b, "_h")
     here, there = F.greatest(-F.col("offset"), F.lit(0)), F.greatest(F.col("offset"), F.lit(0))
     n = F.least(F.size("pa") - here, F.size("pb") - there)
     wrong = F.aggregate(F.zip_with(F.slice("pa", here + 1, n), F.slice("pb", there + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    found = both.select(F.col("q").alias("_q"), F.col("class_id").alias("match_id"), "offset", (wrong / (32.0 * n)).alias("bit_error"))
+    found = both.select(F.col("q").alias("_q"), F.col("class_id").alias("match_id"), "offset", (wrong / (32.0 * n)).alias("bit_error"), F.col("n").alias("votes"), "_top")
+    reached = (F.col("votes") >= VOTES) & (F.col("bit_error") <= BIT_ERROR)
+    top = [F.max(F.when(F.col("_top"), F.col(c))).alias(c) for c in ("match_id", "offset", "bit_error")]
+    found = found.groupBy("_q").agg(*top, F.array_sort(F.collect_list(F.when(reached, F.struct("bit_error", "match_id", "offset", "votes")))).alias("matches"))
     out = prints.join(classes.select(F.col("_h").alias("_c"), "class_id"), F.col("_h") == F.col("_c"), "left")
     asks = F.when(F.col("id") % every == 0, F.col("_h"))
     out = out.withColumn("_a", asks)
-    return out.where("_a is not null").join(found, F.col("_a") == F.col("_q"), "left").drop("_q").unionByName(out.where("_a is null"), allowMissingColumns=True).drop("_h", "_c", "_a")
+    return out.where("_a is not null").join(found, F.col("_a") == F.col("_q"), "left").drop("_q").withColumn("matches", F.coalesce("matches", F.array().cast(found.schema["matches"].dataType))).unionByName(out.where("_a is null"), allowMissingColumns=True).drop("_h", "_c", "_a")

@@ -52,10 +52,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector as a recording: its chroma fingerprint, its class, and for every twentieth its best alignment."""
+    """Every vector as a recording: its chroma fingerprint, its class, and for every twentieth its alignments."""
     prints = media.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", media.tones)
     done = media.align(prints)
-    return done.select(F.col("id").alias("vec_id"), "frames", F.crc32(F.array_join("fingerprint", ",")).alias("print_crc32"), "class_id", "match_id", "offset", "bit_error")
+    return done.select(F.col("id").alias("vec_id"), "frames", F.crc32(F.array_join("fingerprint", ",")).alias("print_crc32"), "class_id", "match_id", "offset", "bit_error", "matches")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,24 @@ def test_alignment_equals_brute_force(spark):
         want = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in pairs) / (32 * len(pairs))
         assert abs(got[q]["bit_error"] - want) < 1e-12
     assert media.align(prints.limit(0)).count() == 0
+
+
+def test_every_alignment_is_reported(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=120).tolist()
+    rows = [(20, base), (1, base[:60]), (2, base[30:100]), (3, base[70:]), (4, base[:60]), (5, rng.normal(size=64).tolist())]
+    prints = media.fingerprints(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", media.tones)
+    got = {r["id"]: r for r in media.align(prints).collect()}
+    p = {r["id"]: r["fingerprint"] for r in prints.collect()}
+    want = {}
+    for k in (1, 2, 3, 5):
+        counts = [(-sum(0 <= i + off < len(p[k]) and p[20][i] == p[k][i + off] for i in range(len(p[20]))), abs(off), off) for off in range(-130, 131)]
+        n, _, off = min(counts)
+        pairs = [(x, p[k][i + off]) for i, x in enumerate(p[20]) if 0 <= i + off < len(p[k])]
+        error = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in pairs) / (32 * len(pairs))
+        if -n >= media.VOTES and error <= media.BIT_ERROR:
+            want[k] = (off, -n, round(error, 9))
+    assert set(want) >= {1, 2, 3}
+    found = got[20]["matches"]
+    assert len(found) == len(want) and {m["match_id"]: (m["offset"], m["votes"], round(m["bit_error"], 9)) for m in found} == want
+    assert [m["bit_error"] for m in found] == sorted(m["bit_error"] for m in found) and got[1]["matches"] is None
