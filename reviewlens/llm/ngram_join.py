@@ -322,8 +322,9 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
 
     Rows without words link with nothing: their component is their own key. Null keys join
     components, which take their smallest key that is not null (null if there is none). Repeated
-    rows are one set. Texts of any length are whole. All links are found: no list, group or
-    candidate is capped, and large homes meet in blocks.
+    rows are one set. Texts of any length are whole. Only components are computed, neither link pairs
+    nor a row's number of links: sets that are already in one component are not compared again. All
+    components are whole: no list, group or candidate is capped, and large homes meet in blocks.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].cast("string").alias("text"))
