@@ -62,3 +62,31 @@ def test_every_alignment_is_reported(spark):
     found = got[20]["matches"]
     assert len(found) == len(want) and {m["match_id"]: (m["offset"], m["votes"], round(m["bit_error"], 9)) for m in found} == want
     assert [m["bit_error"] for m in found] == sorted(m["bit_error"] for m in found) and got[1]["matches"] is None
+
+
+def test_a_frame_that_all_recordings_share_is_counted_in_bounded_parts(spark, monkeypatch):
+    """Silence gives one integer for every frame: each pair of recordings has all pairs of its frames."""
+    silent = [(k, [0.0] * (40 + k)) for k in range(0, 60, 3)]
+    prints = media.fingerprints(spark.createDataFrame(silent, "vec_id long, embedding array<double>"), "vec_id", "embedding", media.tones)
+    whole = {r["id"]: r for r in media.align(prints).collect()}
+    monkeypatch.setattr(media, "PAIRS", 50)
+    monkeypatch.setattr(media, "BLOCK_FRAMES", 60)
+    parts = {r["id"]: r for r in media.align(prints).collect()}
+    assert whole == parts and set(whole) == {k for k, _ in silent}
+    assert len(whole[0]["matches"]) == len(silent) - 1 and whole[0]["match_id"] == 3 and whole[0]["offset"] == 0
+
+
+def test_odd_recordings(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(20, [inf, nan, -inf, None] * 20, 1), (20, [inf, nan, -inf, None] * 20, 1), (1, [1.0, 0.0, -1.0, 0.0] * 20, 2), (2, [], 3), (3, None, 4), (None, [1.0, 0.0, -1.0, 0.0] * 20, 5)]
+    prints = media.fingerprints(spark.createDataFrame(rows, "vec_id long, embedding array<double>, frames int"), "vec_id", "embedding", media.tones)
+    got = media.align(prints).collect()
+    assert len(got) == len(rows) and [r["class_id"] for r in got if r["frames"]] == [1] * 4
+    assert all(r["matches"] == [] for r in got if r["id"] == 20) and all(r["matches"] is None for r in got if r["id"] != 20)
+
+
+def test_prints_do_not_depend_on_what_stands_beside(spark):
+    rng = np.random.default_rng(9)
+    xs = [media.tones(rng.normal(0, 0.15, n)) for n in (64, 70, 64, 64, 5, 64, 700)]
+    for x, p in zip(xs, media.prints_of(xs, 4000), strict=True):
+        assert (media.prints_of([x], 4000)[0] == p).all()
