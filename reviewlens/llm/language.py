@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 from reviewlens.llm.common import _LOWER, in_python, keep, text_buffers
 from reviewlens.llm.packing import slices
 
-#: Bytes that the network reads as one sequence; a text is cut into such sequences, the last padded.
-STEPS = 32
-#: Sequences that run together.
-TOGETHER = 2048
+#: Bytes of a sequence in training. In prediction a text is read as a whole up to ``INNER`` bytes, and a longer one in
+#: runs of so many, each with the ``CONTEXT`` bytes before and after it, from where either direction's state comes.
+STEPS, INNER, CONTEXT = 32, 512, 32
+#: Positions that are held at once, and texts or runs that are read together.
+POSITIONS, TOGETHER = 1 << 19, 2048
 
 
 @dataclass
@@ -35,11 +36,13 @@ def _gate(x):
     return np.clip(x * np.float32(0.25) + np.float32(0.5), 0, 1)
 
 
-def _run(net, seq, way, tape=None):
+def _run(net, seq, way, inside, tape=None):
     """The states (steps, sequences, h) of one direction over ``seq`` (steps, sequences); ``tape`` takes what training needs.
 
-    Gates are piecewise linear: update z, reset r, candidate k; h' = k + z (h - k).
+    Gates are piecewise linear: update z, reset r, candidate k; h' = k + z (h - k). ``inside``: which
+    places hold text; elsewhere the state is nothing, so a text begins and ends as if it stood alone.
     """
+    whole = inside.all(axis=1)
     n = net.b.shape[1]
     e, u, b = net.e[way], net.u[way], net.b[way]
     h = np.zeros((seq.shape[1], n), np.float32)
@@ -55,6 +58,8 @@ def _run(net, seq, way, tape=None):
         if tape is not None:
             tape.append((t, h, zr, g, inner, pre, k))
         h = k + g[:, :n] * (h - k)
+        if not whole[t]:
+            h *= inside[t][:, None]
         states[t] = h
     return states
 
@@ -68,7 +73,7 @@ def _learn_step(net, seq, mask, goal):
     """Loss and gradients of one batch by backpropagation through time; every position has its text's label."""
     n = net.b.shape[1]
     tapes = ([], [])
-    states = [_run(net, seq, way, tapes[way]) for way in (0, 1)]
+    states = [_run(net, seq, way, mask, tapes[way]) for way in (0, 1)]
     both = np.concatenate(states, axis=2)
     p = _soft(both @ net.v + net.c)
     weight = (mask / mask.sum())[:, :, None]
@@ -81,7 +86,7 @@ def _learn_step(net, seq, mask, goal):
     for way in (0, 1):
         dh = np.zeros((seq.shape[1], n), np.float32)
         for t, h, zr, g, inner, pre, k in reversed(tapes[way]):
-            dh = dh + back[t, :, way * n : (way + 1) * n]
+            dh = (dh + back[t, :, way * n : (way + 1) * n]) * mask[t][:, None]
             z, r = g[:, :n], g[:, n:]
             dk = dh * (1 - z) * (np.abs(pre) < 1)
             dg = np.concatenate([dh * (h - k), dk * inner], axis=1) * (0.25 * (np.abs(zr) < 2))
@@ -132,32 +137,42 @@ def pooled(net: Network, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The label probabilities of each text of a batch: the mean over all its positions."""
     raw = _LOWER[raw]
     size = np.diff(at)
-    many = -(-size // STEPS)
+    many = -(-size // INNER)
     text = np.repeat(np.arange(len(size)), many)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    start = at[text] + nth * STEPS
-    left = np.minimum(STEPS, at[text + 1] - start)
     total = np.zeros((len(size), len(net.labels)))
-    padded = np.concatenate([raw, np.zeros(STEPS, np.uint8)])
-    steps = np.arange(STEPS)
+    padded = np.concatenate([np.zeros(CONTEXT, np.uint8), raw, np.zeros(INNER + CONTEXT, np.uint8)])
     n = net.b.shape[1]
-    for a in range(0, len(text), TOGETHER):
-        b = slice(a, a + TOGETHER)
-        mask = steps[:, None] < left[b][None, :]
-        seq = np.where(mask, padded[start[b][None, :] + steps[:, None]], 0)
-        x = _run(net, seq, 0) @ net.v[:n]
-        x += _run(net, seq, 1) @ net.v[n:]
+    # by length, so that those read together need few steps past their ends
+    length = np.minimum(INNER, size[text] - nth * INNER)
+    order = np.argsort(-length, kind="stable")
+    text, nth, length = text[order], nth[order], length[order]
+    a = 0
+    while a < len(text):
+        b = slice(a, a + min(TOGETHER, max(1, POSITIONS // (int(length[a]) + 2 * CONTEXT))))
+        # texts that no run cuts need no steps outside them
+        out = CONTEXT if (size[text[b]] > INNER).any() else 0
+        steps = np.arange(-out, length[a] + out)[:, None]
+        place = nth[b] * INNER + steps
+        inside = (place >= 0) & (place < size[text[b]])
+        seq = np.where(inside, padded[at[text[b]] + place + CONTEXT], 0)
+        own = slice(out, len(steps) - out)
+        mask = inside[own] & (steps[own] < length[b])
+        x = _run(net, seq, 0, inside)[own] @ net.v[:n]
+        x += _run(net, seq, 1, inside)[own] @ net.v[n:]
         x += net.c
+        x -= x.max(axis=2, keepdims=True)
         np.exp(x, out=x)
         x *= (mask / x.sum(axis=2))[:, :, None]
         sums = x.sum(axis=0)
         for k in range(sums.shape[1]):
             total[:, k] += np.bincount(text[b], sums[:, k], minlength=len(size))
+        a = b.stop
     return total / np.maximum(size, 1)[:, None]
 
 
-#: Bounds of the training sample: texts of each label, characters of each, and labels.
-TEXTS, CHARACTERS, LABELS = 400, 400, 64
+#: Bounds of the training sample: texts of each label, characters of each, and texts in all, which many labels share.
+TEXTS, CHARACTERS, SAMPLE = 400, 400, 40_000
 
 
 def held_out(key):
@@ -169,15 +184,22 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """A network from a sample of the labelled rows that aren't held out; None where there are none.
 
     The sample is bounded: of each label about ``TEXTS`` rows, those of the lowest hash of their key,
-    of each row a passage of ``CHARACTERS`` around a hashed place; at most ``LABELS`` labels, the most
-    frequent ones.
+    of each row a passage of ``CHARACTERS`` around a hashed place. Every label is learned; more than 100
+    share ``SAMPLE`` rows evenly, and more than ``SAMPLE`` labels are an error.
     """
     rows = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("l")).where(~held_out(F.col("k")) & F.col("l").isNotNull() & F.col("t").isNotNull() & (F.col("t") != ""))
-    counts = keep(rows.groupBy(F.col("l").alias("_l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_l").limit(LABELS))
+    counts = keep(rows.groupBy(F.col("l").alias("_l")).agg(F.count(F.lit(1)).alias("n")))
+    labels = counts.count()
+    if labels > SAMPLE:
+        raise ValueError(f"{labels} labels are more than the {SAMPLE} texts of the sample")
+    texts = max(1, min(TEXTS, SAMPLE // max(1, labels)))
     h = F.shiftrightunsigned(F.xxhash64("k", F.lit(3)), 11).cast("double") / float(1 << 53)
-    near = rows.join(F.broadcast(counts), F.col("l") == F.col("_l")).withColumn("h", h).where(F.col("h") * F.col("n") < TEXTS)
+    near = rows.join(F.broadcast(counts), F.col("l") == F.col("_l")).withColumn("h", h)
+    # about so many of each label, and never none: a label's row of the lowest hash is among them
+    least = keep(near.groupBy("_l").agg(F.min("h").alias("_h")).withColumnRenamed("_l", "_l2"))
+    near = near.join(F.broadcast(least), F.col("l") == F.col("_l2")).where((F.col("h") * F.col("n") < texts) | (F.col("h") == F.col("_h")))
     place = F.pmod(F.xxhash64("k", F.lit(4)), F.greatest(F.length("t") - CHARACTERS, F.lit(1))).cast("int")
-    sample = near.select("h", "k", "l", F.substring("t", place + 1, F.lit(CHARACTERS)).alias("t")).orderBy("h", "k", "t").limit(2 * TEXTS * LABELS).collect()
+    sample = near.select("h", "k", "l", F.substring("t", place + 1, F.lit(CHARACTERS)).alias("t")).orderBy("h", "k", "t").limit(2 * texts * max(1, labels)).collect()
     if not sample:
         return None
     return fit([r["t"].encode() for r in sample], [r["l"] for r in sample])

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.llm import bloom, html_text, language, url_filter
+from reviewlens.llm.common import text_buffers
 
 from .helpers import none, odd
 
@@ -192,8 +194,39 @@ def test_language_odd_rows(spark):
 
 def test_whole_texts_are_pooled():
     net = language.fit([b"aaaa bbbb", b"zzzz yyyy"], ["a", "z"], rounds=60)
-    from reviewlens.llm.common import text_buffers
-    import pyarrow as pa
-
     p = language.pooled(net, *text_buffers(pa.array(["aaaa " * 50 + "zzzz " * 5000, "aaaa", "", None])))
     assert p[0].argmax() == 1 and p[1].argmax() == 0 and p[0].sum() == pytest.approx(1, abs=1e-5) and p[2].sum() == 0
+
+
+def test_runs_are_read_with_what_stands_beside_them():
+    """Against the network read position by position over the whole text, state carried from end to end."""
+    rng = np.random.default_rng(2)
+    pool = {"a": b"the cat sat on a mat and ", "z": b"der hund lag auf dem bett "}
+    net = language.fit(list(pool.values()), list(pool), rounds=120)
+    texts = [(pool["a"] * 30)[:512], (pool["z"] * 30)[:333], b"x", bytes(rng.integers(97, 122, 500).astype(np.uint8))]
+    got = language.pooled(net, *text_buffers(pa.array([t.decode() for t in texts])))
+    n = net.b.shape[1]
+    for t, p in zip(texts, got, strict=True):
+        seq = np.frombuffer(t, np.uint8)
+        states = []
+        for way in (0, 1):
+            h, out = np.zeros(n), np.zeros((len(seq), n))
+            for i in range(len(seq)) if way == 0 else range(len(seq) - 1, -1, -1):
+                x, y = net.e[way][seq[i]], h @ net.u[way]
+                g = np.clip(0.25 * (x[: 2 * n] + y[: 2 * n]) + 0.5, 0, 1)
+                k = np.clip(x[2 * n :] + g[n:] * (y[2 * n :] + net.b[way]), -1, 1)
+                h = k + g[:n] * (h - k)
+                out[i] = h
+            states.append(out)
+        x = np.concatenate(states, axis=1) @ net.v + net.c
+        x = np.exp(x - x.max(axis=1, keepdims=True))
+        want = (x / x.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert np.abs(want - p).max() < 1e-4
+
+
+def test_every_label_is_learned(spark):
+    docs = spark.range(2100).selectExpr("id as doc_id", "concat('w', repeat(chr(97 + id % 20), 5), ' ', repeat(chr(97 + cast(id % 70 / 20 as int)), 9)) as text", "concat('l', id % 70) as lang")
+    net = language.learn(docs)
+    assert len(net.labels) == 70
+    rare = docs.unionByName(spark.createDataFrame([(99_999_999 + k, "q q q", "rare") for k in range(2)], docs.schema))
+    assert "rare" in language.learn(rare).labels
