@@ -173,9 +173,10 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, most: int
     """Patterns (how many of each size) and how often to use each, whole numbers, short of the demand only by the rounding.
 
     The linear program over all patterns is solved by column generation: the simplex method over one
-    basis, each new pattern found as the unbounded knapsack of the highest dual value.
+    basis, each new pattern found as the unbounded knapsack of the highest dual value. Stopped after
+    ``most`` patterns the last basis still meets the demand, with more bins than need be.
     """
-    k = len(sizes)
+    k, each = len(sizes), np.array(sizes)
     basis = [[capacity // s if i == j else 0 for j in range(k)] for i, s in enumerate(sizes)]
     need = np.array(demand, float)
     for _ in range(most):
@@ -184,11 +185,9 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, most: int
         value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
         low = min(sizes)
         for c in range(low, capacity + 1):
-            best, pick = value[c - 1], -1
-            for i, s in enumerate(sizes):
-                if s <= c and value[c - s] + dual[i] > best + 1e-12:
-                    best, pick = value[c - s] + dual[i], i
-            value[c], choice[c] = best, pick
+            worth = np.where(each <= c, value[c - each] + dual, 0)
+            i = int(worth.argmax())
+            value[c], choice[c] = (worth[i], i) if worth[i] > value[c - 1] + 1e-12 else (value[c - 1], -1)
         if value[capacity] <= 1 + 1e-7:
             break
         pattern, c = [0] * k, capacity
@@ -211,14 +210,41 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, most: int
 Place = tuple[int, int, int, int, int, int]
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 20, small: int = 8) -> list[Place]:
+def bins_of(places: list[Place]) -> int:
+    return max((first + -(-(end - rank) // each) for _, rank, end, first, each, _ in places), default=0)
+
+
+#: (groups, the share of a bin that a configuration may leave empty), tried in this order.
+SCHEMES = ((20, 1.0), (60, 1.0), (20, 0.005), (60, 0.005), (0, 1.0))
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[Place]:
+    """The grouped plan of the fewest bins among ``SCHEMES``; the first that fills all bins ends the search.
+
+    Rounding up costs about one part in the groups of the bins, which more groups lower; where a
+    configuration of rounded lengths would leave much of its bins empty, its items go best-fit with
+    the small ones instead, and without any group all do, so best fit alone is never better.
+    """
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best: list[Place] | None = None
+    for groups, waste in SCHEMES:
+        found = grouped_plan(counts, capacity, groups, waste=waste)
+        if best is None or bins_of(found) < bins_of(best):
+            best = found
+        if bins_of(best) <= least:
+            break
+    return best or []
+
+
+def grouped_plan(counts: dict[int, int], capacity: int, groups: int = 20, small: int = 8, waste: float = 1.0) -> list[Place]:
     """Places for ``counts[length]`` items of each length: (length, first rank, end rank, first bin, items a bin, offset).
 
     Item ``r`` of a length, first rank <= r < end rank, goes to bin ``first bin + (r - first rank) // items``
     at ``offset + (r - first rank) % items * length``. Lengths above ``capacity / small`` fall into
     groups of equal cardinality, each rounded up to its largest; the few sizes are packed by optimal
-    configurations, actual items take the places, longest first, and all others go best-fit by
-    decreasing length. Work and result depend on the number of different lengths, never of items.
+    configurations that leave at most ``waste`` of a bin empty, actual items take the places, longest first, and all others go best-fit by
+    decreasing length; without ``groups`` all items do. Work and result depend on the number of
+    different lengths, never of items.
     """
     places: list[Place] = []
     free: dict[int, list[tuple[int, int, int]]] = {}  # room left: runs of alike bins (first bin, bins, offset)
@@ -232,7 +258,7 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 20, small: int = 8
                 free[room] = []
             free[room].append((first, n, offset))
 
-    large = sorted((x for x in counts if capacity // small < x < capacity), reverse=True)
+    large = sorted((x for x in counts if capacity // small < x < capacity), reverse=True) if groups else []
     total = sum(counts[x] for x in large)
     if total:
         queues: list[list[list[int]]] = []  # of each group: length, next rank, items left
@@ -250,7 +276,10 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 20, small: int = 8
                 n = min(left, room)
                 queues[-1].append([x, rank, n])
                 left, rank, room = left - n, rank + n, room - n
-        for pattern, times in configurations([q[0][0] for q in queues], [sum(r[2] for r in q) for q in queues], capacity):
+        sizes = [q[0][0] for q in queues]
+        for pattern, times in configurations(sizes, [sum(r[2] for r in q) for q in queues], capacity):
+            if capacity - sum(n * x for n, x in zip(pattern, sizes, strict=True)) > waste * capacity:
+                continue
             slots = []  # for each slot: its runs of (length, rank, items)
             for g, many in enumerate(pattern):
                 for _ in range(many):
@@ -289,8 +318,9 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 20, small: int = 8
                 rest.setdefault(x, []).append((rank, n))
     else:
         rest = {}
+    rounded = set(large)
     for x in counts:
-        if x not in large:
+        if x not in rounded:
             rest[x] = [(0, counts[x])]
     for x in sorted(rest, reverse=True):
         for rank, n in rest[x]:
