@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of the filter that may be broadcast: 64 bytes of bits each, so 8 MB. More are joined by shuffle.
+#: Blocks of the filter that may be broadcast: 64 bytes of bits each, so 8 MB. ``split`` makes no larger filter.
 BROADCAST_BLOCKS = 1 << 17
 LANES = 8
 
@@ -48,7 +48,7 @@ def split(df: DataFrame, key: str, among: DataFrame) -> tuple[DataFrame, DataFra
     listed = among.toDF("_key").where("_key is not null")
     blocks = min(BROADCAST_BLOCKS, blocks_for(listed.count()))
     bits = F.broadcast(bloom(listed, "_key", blocks))
-    probed = df.withColumn("_block", F.coalesce(block_of(F.col(key), blocks), F.lit(0)))
-    probed = probed.join(bits, probed["_block"] == bits["_at"], "left").withColumn("_maybe", in_bloom(F.col(key)) & F.col(key).isNotNull())
-    probed = probed.drop("_block", "_at", *[f"_w{i}" for i in range(LANES)])
-    return probed.where(~F.col("_maybe")).drop("_maybe"), probed.where("_maybe").drop("_maybe")
+    probed = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), df[key].alias("_key"))
+    probed = probed.withColumn("_block", F.coalesce(block_of(F.col("_key"), blocks), F.lit(0)))
+    probed = probed.join(bits, probed["_block"] == bits["_at"], "left").withColumn("_maybe", in_bloom(F.col("_key")) & F.col("_key").isNotNull())
+    return probed.where(~F.col("_maybe")).select("_row.*"), probed.where("_maybe").select("_row.*")

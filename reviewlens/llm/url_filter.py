@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.bloom import BROADCAST_BLOCKS, LANES, block_of, bloom, blocks_for, in_bloom
+from reviewlens.llm.bloom import BROADCAST_BLOCKS, block_of, bloom, blocks_for, in_bloom
 from reviewlens.llm.common import keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Tasks over which a listed URL's rows spread in the exact join.
+SALTS = 16
+
 #: Parameters that tell only where a visitor came from.
 TRACKING = r"^(utm_[^=]*|ref)(=|$)"
 
+
 def _rest(url: Column) -> Column:
     at = F.instr(url, "://")
     return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
@@ -37,25 +41,28 @@ def canonical(url: Column) -> Column:
 
 
 def listed_among(pages: DataFrame, listed: DataFrame, key: str = "canonical") -> DataFrame:
-    """``pages`` with ``listed`` (boolean): whether ``key`` is in the one-column table ``listed``.
+    """``pages`` with ``listed`` (boolean, replaced if there): whether ``key`` is in the one-column table ``listed``.
 
     The filter, 16 bits or more for each listed key, clears most rows; the rows it passes meet the
     list itself in an exact join, which removes its false positives. Null keys are not listed;
     repeated keys in the list count once; either table may be empty.
     """
-    pages = pages.drop("listed")
+    pages = pages.select(F.struct(*[pages[c] for c in pages.columns if c.lower() != "listed"]).alias("_row"), pages[key].alias("_key"))
     listed = keep(listed.toDF("_listed").where("_listed is not null").distinct())
     blocks = blocks_for(listed.count())
     bits = bloom(listed, "_listed", blocks)
     if blocks <= BROADCAST_BLOCKS:
         bits = F.broadcast(bits)
-    probed = pages.withColumn("_block", block_of(F.coalesce(F.col(key), F.lit("")), blocks))
-    probed = probed.join(bits, probed["_block"] == bits["_at"], "left").withColumn("_maybe", in_bloom(F.col(key)))
-    probed = probed.drop("_block", "_at", *[f"_w{i}" for i in range(LANES)])
+    probed = pages.withColumn("_block", block_of(F.coalesce(F.col("_key"), F.lit("")), blocks))
+    probed = probed.join(bits, probed["_block"] == bits["_at"], "left").withColumn("_maybe", in_bloom(F.col("_key"))).select("_row", "_key", "_maybe")
     # rows that the filter clears don't enter the join: their keys would only travel
-    clear = probed.where(~F.col("_maybe")).drop("_maybe").withColumn("listed", F.lit(False))
-    maybe = probed.where("_maybe").drop("_maybe")
-    hits = maybe.join(listed, maybe[key] == listed["_listed"], "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
+    clear = probed.where(~F.col("_maybe")).select("_row.*", F.lit(False).alias("listed"))
+    maybe = probed.where("_maybe").select("_row", "_key")
+    # a key that very many rows have meets the list in several tasks
+    maybe = maybe.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    salted = listed.withColumn("_nth", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = maybe.join(salted, (F.col("_key") == F.col("_listed")) & (F.col("_salt") == F.col("_nth")), "left")
+    hits = hits.select("_row.*", F.col("_listed").isNotNull().alias("listed"))
     return clear.unionByName(hits)
 
 
