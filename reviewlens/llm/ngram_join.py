@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reviewlens.llm import bloom
 from reviewlens.llm.common import _LOWER, Scratch, grouped, in_python, keep, mix, text_buffers, word_hashes, word_spans
@@ -292,14 +291,14 @@ def _meetings(per):
     return run
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node``, ``root`` (its component's smallest node) for all nodes of ``links`` (``a``, ``b``).
 
     Every edge to a larger neighbour moves to the smallest one known, then every edge to a smaller
     neighbour does, until nothing moves: all edges are then stars around the roots.
     """
     edges = keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    for _ in range(most):
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
@@ -389,8 +388,8 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
 def keep_one(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the smallest key, of equal keys the smallest hash of the text.
 
-    Rows without words all stay. Repeated rows are copies of each other, so one of them stays. Rows
-    that go are few; a Bloom filter of them lets most others pass without a shuffle.
+    Rows without words all stay. Repeated rows are copies of each other, so one of them stays: of rows
+    of one key and text that differ in other columns, the one of the smallest hash. Rows that go are few; a Bloom filter of them lets most others pass without a shuffle.
     """
     labels = keep(link(docs, size, per, key, text).select("id", "th", "group"))
     worded = labels.where("group is not null")
@@ -403,6 +402,6 @@ def keep_one(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id",
     clear, maybe = bloom.split(rows, "_k", gone.select("_g"))
     maybe = maybe.join(gone, F.col("_k") == F.col("_g"), "left")
     stay = maybe.where("_g is null")
-    # of repeated rows that stay, the first
-    one = maybe.where("_one").withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_k"))).where("_n = 1")
+    # of repeated rows that stay, one: combined before the shuffle, however many there are
+    one = maybe.where("_one").groupBy("_k").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return clear.select("_row.*").union(stay.select("_row.*")).union(one.select("_row.*"))
