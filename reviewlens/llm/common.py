@@ -31,12 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (local tests)."""
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it; on one machine alone a temporary one where none is set.
+
+    Checkpoints made here go when the last table that reads them does.
+    """
+    spark._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         made = spark.sparkContext.getCheckpointDir()
         if made:
             return made
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="reviewlens-")
         spark.sparkContext.setCheckpointDir(path)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -141,6 +147,26 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
+def in_order(df: DataFrame, order: list, out: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Number all rows from 0 in the order ``order``: adds ``out`` (long), and for each of ``sums`` the sum over the rows before (double).
+
+    A sort by ranges, in which ties of one key alone stay together; each range numbers its own rows, and
+    the ranges' counts and sums, one row for each, carry on from one to the next. No task sees all rows.
+    Rows equal in ``order`` are numbered in any order. Columns ``_m`` and ``_p`` and those ending in ``_0`` must not clash.
+    """
+    sums = sums or {}
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    rows = keep(rows.withColumn("_p", F.shiftright("_m", 33)).withColumn("_m", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))))
+    per = rows.groupBy(F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"{s}_0") for s, c in sums.items()])
+    before = Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_q", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), *[F.coalesce(F.sum(f"{s}_0").over(before), F.lit(0.0)).alias(f"{s}_0") for s in sums])
+    # as many rows as ranges: thousands
+    rows = rows.join(F.broadcast(per), F.col("_p") == F.col("_q"))
+    inside = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({out: (F.col("_n") + F.col("_m")).cast("long"), **{s: F.col(f"{s}_0") + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for s, c in sums.items()}})
+    return rows.drop("_m", "_p", "_q", "_n", *[f"{s}_0" for s in sums])
+
+
 def _same(left: DataFrame, group: list[str]) -> Column:
     on = F.lit(True)
     for i, g in enumerate(group):
@@ -152,17 +178,15 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, spread:
     """Number the rows of each group from 0 in the order ``spread`` (as unsigned), then ``order``.
 
     ``spread`` names a column of evenly spread longs (a hash). The rows of a group fall into buckets
-    by ``spread``, about ``per_bucket`` rows each, so no group however large meets in one task (no ``group``: all rows are one); the
+    by ``spread``, about ``per_bucket`` rows each, so no group however large meets in one task, unless its rows
+    have few different hashes (rows of one key); the
     buckets' counts, far fewer than the rows, give each bucket its first number. ``count``: a name
     for the group's number of rows. Adds ``out``; other columns starting with ``_`` must not clash.
     """
     names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
     share = F.shiftrightunsigned(F.col(spread), 11).cast("double") / float(1 << 53)
-    if group:
-        sizes = small(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).select(*names, "_size"), BROADCAST_ROWS)
-        keyed = df.join(sizes, _same(df, group), "inner").drop(*[f"_g{i}" for i in range(len(group))])
-    else:
-        keyed = df.withColumn("_size", F.lit(df.count()).cast("long"))
+    sizes = small(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).select(*names, "_size"), BROADCAST_ROWS)
+    keyed = df.join(sizes, _same(df, group), "inner").drop(*[f"_g{i}" for i in range(len(group))])
     keyed = keyed.withColumn("_b", F.floor(share * F.ceil(F.col("_size") / per_bucket)).cast("long"))
     counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))

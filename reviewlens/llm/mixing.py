@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reviewlens.llm.common import BROADCAST_ROWS, keep, n_words, ranked, small
+from reviewlens.llm.common import BROADCAST_ROWS, in_order, keep, n_words, ranked, small
 
 #: No document is taken more often.
 MOST_COPIES = 2
@@ -20,26 +20,27 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     The weights repeat over the sources in code point order, null last. A target stops at twice its
     source's size and the excess is shared anew by weight, until none is above: the level at which
     the capped targets sum to the whole is the highest that the sources, by cap per weight, reach.
-    One row for each source: windows over this table stay small however many documents there are.
+    One row for each source, sorted by ranges twice, so that millions of sources (hosts) spread too.
     """
     each = F.array(*[F.lit(float(w)) for w in weights])
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    out = sources.withColumn("_w", F.element_at(each, F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1)).withColumn("_cap", F.col("source_size") * float(MOST_COPIES))
-    rising = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("_cap").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("_w").over(rising.rowsBetween(0, Window.unboundedFollowing))
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = out.withColumn("_mu", (F.sum("source_size").over(every) * share - before) / after).withColumn("_level", F.max("_mu").over(every))
-    return out.withColumn("target", F.greatest(F.lit(0.0), F.least(F.col("_cap"), F.col("_level") * F.col("_w")))).drop("_w", "_cap", "_mu", "_level")
+    out = in_order(sources, [F.col("source").asc_nulls_last()], "_nth")
+    out = out.withColumn("_w", F.element_at(each, (F.pmod("_nth", F.lit(len(weights))) + 1).cast("int"))).withColumn("_cap", F.col("source_size") * float(MOST_COPIES))
+    out = in_order(out, [F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last()], "_nth", {"_caps": F.col("_cap"), "_ws": F.col("_w")})
+    size, weight = out.agg(F.sum("source_size"), F.sum("_w")).first()
+    left = F.col("_ws") * -1.0 + (weight or 0.0)
+    level = out.agg(F.max(((size or 0) * share - F.col("_caps")) / left)).first()[0]
+    return out.withColumn("target", F.greatest(F.lit(0.0), F.least(F.col("_cap"), F.lit(level) * F.col("_w")))).drop("_w", "_cap", "_caps", "_ws", "_nth")
 
 
-def balance(cells: DataFrame, sources: DataFrame, most: int = 60, close: float = 1e-9) -> DataFrame:
+def balance(cells: DataFrame, sources: DataFrame, close: float = 1e-9) -> DataFrame:
     """Solve for each source's ``lam``: its documents' rates min(2, exp(lam * size / mean size)) take ``target`` words.
 
     ``cells``: ``source``, ``size`` and ``n``, the number of its documents of that size. The rates are
     those nearest to 1 in relative entropy, at most 2, that meet the constraint; ``lam`` is the dual
     variable. Each iteration is one distributed aggregation of the dual's gradient and curvature over
-    the cells, and one Newton step for every source, halved into its bracket where it would leave it.
+    the cells, and one Newton step for every source, halved into its bracket where it would leave it;
+    they go on until all sources are solved. ``lam`` is given to 12 digits, which sums in another order
+    don't change.
     Sources without words have rate 1 and take nothing; a target of 0 has rate 0.
     """
     moments = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("_a"), (F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("_mean"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("_least"))
@@ -54,8 +55,9 @@ def balance(cells: DataFrame, sources: DataFrame, most: int = 60, close: float =
         }
     )
     start = F.when(F.col("_a") == 0, F.lit(0.0)).when(F.col("target") <= 0, F.lit(float("-inf"))).when(F.col("done"), F.col("hi")).otherwise(F.lit(0.0))
-    state = keep(state.withColumn("lam", start).coalesce(1))  # a row for each source: one file an iteration
-    for _ in range(most):
+    state = keep(state.withColumn("lam", start))
+    files = 1 + state.count() // 1_000_000  # a row for each source: few files an iteration
+    while True:
         x = F.col("size") / F.col("_mean")
         rate = F.least(F.lit(float(MOST_COPIES)), F.exp(F.col("lam") * x))
         here = small(state.select(F.col("source").alias("_src"), "lam", "_mean", "done"), BROADCAST_ROWS)
@@ -69,10 +71,11 @@ def balance(cells: DataFrame, sources: DataFrame, most: int = 60, close: float =
         inside = (F.col("_df") > 0) & (step > F.col("lo")) & (step < F.col("hi"))
         over = F.col("done") | (F.abs(miss) <= close * F.col("target")) | (F.col("hi") - F.col("lo") <= 1e-15 * F.abs(F.col("lam")))
         state = state.withColumns({"done": over, "lam": F.when(over, F.col("lam")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)})
-        state = keep(state.drop("_f", "_df").coalesce(1))
+        state = keep(state.drop("_f", "_df").coalesce(files))
         if not state.where(~F.col("done")).limit(1).count():
             break
-    return state
+    # 12 digits: far finer than a word, far coarser than what the order of a sum moves
+    return state.withColumn("lam", F.when(F.abs("lam") < float("inf"), F.format_string("%.11e", "lam").cast("double")).otherwise(F.col("lam")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, source: str = "source", key: str = "doc_id", text: str = "text", size: str | None = None, seed: int = 29) -> DataFrame:

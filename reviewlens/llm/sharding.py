@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import ranked
+from reviewlens.llm.common import in_order, ranked
 
 
 def interleave(docs: DataFrame, shards: int = 16, source: str = "source", key: str = "doc_id", seed: int = 17) -> DataFrame:
@@ -16,15 +16,15 @@ def interleave(docs: DataFrame, shards: int = 16, source: str = "source", key: s
     differ by at most one. Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in the shard).
 
     Null sources are a source of their own; null keys and repeated rows are dealt like any others;
-    equal places are ordered by source, hash and key, and rows equal in these are interchangeable.
+    equal places, as all sources of one row have, are ordered by source, hash and key, and rows equal
+    in these are interchangeable. The sort is by ranges of all four, so many small sources spread.
     An empty table gives an empty one. Columns named ``shard`` or ``slot`` are replaced.
     """
     docs = docs.drop("shard", "slot")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[source].alias("_s"), docs[key].alias("_k"), F.xxhash64(F.lit(seed), docs[key]).alias("_h"))
     inside = ranked(rows, ["_s"], ["_k"], "_rank", "_h", count="_of")
-    place = (F.col("_rank") + F.lit(0.5)) / F.col("_of")
-    inside = inside.withColumn("_place", F.shiftleft((place * float(1 << 53)).cast("long"), 11))
-    # all rows are spread by place, which the fractions make even
-    whole = ranked(inside, [], [F.col("_s").asc_nulls_last(), "_h", "_k"], "_at", "_place", count="_total")
-    whole = whole.withColumn("shard", F.expr(f"int((_at * {shards}) div _total)"))
-    return whole.select("_row.*", "shard", F.expr(f"_at - (shard * _total + {shards - 1}) div {shards}").alias("slot"))
+    inside = inside.withColumn("_place", (F.col("_rank") + F.lit(0.5)) / F.col("_of"))
+    whole = in_order(inside, ["_place", F.col("_s").asc_nulls_last(), "_h", "_k"], "_at")
+    total = whole.count()
+    whole = whole.withColumn("shard", F.expr(f"int((_at * {shards}) div {max(1, total)})"))
+    return whole.select("_row.*", "shard", F.expr(f"_at - (shard * bigint({total}) + {shards - 1}) div {shards}").alias("slot"))
