@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reviewlens.functions.text import cache_key, context_hash
 
@@ -22,8 +21,8 @@ def fresh(cache: DataFrame, now, hours: int = HOURS) -> DataFrame:
 
 
 def hits(entries: DataFrame, cache: DataFrame) -> DataFrame:
-    """JN1: entries with their cached issues. Equal files share a key, so the cache side is one row a key."""
-    return entries.join(cache.dropDuplicates(["key"]), "key")
+    """JN1: entries with their cached issues. Equal files share a key, so the cache side is one row a key: the newest."""
+    return entries.join(latest(cache), "key")
 
 
 def misses(entries: DataFrame, cache: DataFrame) -> DataFrame:
@@ -48,5 +47,6 @@ def to_write(entries: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def latest(writes: DataFrame) -> DataFrame:
-    """The last write of each key."""
-    return writes.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("written_at")))).where("_n = 1").drop("_n")
+    """The last write of each key, a maximum that is combined before the shuffle; of equal times the one of the largest hash."""
+    row = F.struct(*[F.col(c) for c in writes.columns])
+    return writes.groupBy("key").agg(F.max_by(row, F.struct("written_at", F.xxhash64(*writes.columns))).alias("_m")).select("_m.*")

@@ -246,6 +246,11 @@ def indexes(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return where, faces, parent
 
 
+def methods_of(facts: DataFrame) -> DataFrame:
+    """AGG13: class to the names of its methods, in order of name."""
+    return of_kind(facts, "method").groupBy(F.col("owner").alias("class_name")).agg(F.sort_array(F.collect_set("name")).alias("methods"))
+
+
 def call_targets(facts: DataFrame) -> DataFrame:
     """JN8, JN9: the path of each call's target: by scope as a class, by the scope's field type, by scope with a usual suffix.
 

@@ -44,7 +44,7 @@ class Exclusions:
     """An ordered list: document extensions, (test pattern, reason), (text pattern, reason)."""
 
     documents: tuple[str, ...] = DOCUMENTS
-    tests: tuple[tuple[str, str], ...] = tuple((re.escape(e).replace("\\_", "_") + "$", "Finding in test file") for e in TEST_ENDINGS)
+    tests: tuple[tuple[str, str], ...] = tuple((re.escape(e) + "$", "Finding in test file") for e in TEST_ENDINGS)
     texts: tuple[tuple[str, str], ...] = field(default=tuple((p, d) for d, ps in DEFAULT_TEXT for p in ps))
 
     def with_rules(self, rules: list[dict]) -> Exclusions:

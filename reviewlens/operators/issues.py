@@ -179,6 +179,18 @@ def parse_error_text(errors: DataFrame) -> DataFrame:
     return errors.groupBy("file_path").agg(F.array_join(F.slice(ordered, 1, 3), "; ").alias("parse_error"))
 
 
+def severity_maps(issues: DataFrame) -> DataFrame:
+    """§2.9 maps: for each review its counts by severity, as a map that holds the severities it has."""
+    by = issues.groupBy("review_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("review_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("counts"))
+
+
+def merged_maps(first: Column, second: Column) -> Column:
+    """§2.9 maps: two maps of counts added up."""
+    total = F.map_zip_with(F.coalesce(first, F.create_map().cast("map<string,bigint>")), F.coalesce(second, F.create_map().cast("map<string,bigint>")), lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+    return total
+
+
 def cube_severity_type(issues: DataFrame) -> DataFrame:
     """Extension: counts over every combination of severity and type, with totals."""
     return issues.cube("severity", "type").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import insort
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,22 +18,46 @@ MOST_FILES, MOST_CHARS, MOST_TOKENS, SOFT_TOKENS, CHARS_A_TOKEN = 10, 60_000, 12
 BATCH_TOKENS = 6_000
 
 
+def next_bins(tokens: np.ndarray, budget: int, used: int = 0, number: int = 0) -> tuple[np.ndarray, int, int]:
+    """PK6: the batch of each of some entries in order, going on from a batch that holds ``used``; then the last one's use and number.
+
+    A batch ends where its sum passes the budget, found in the running sums; it holds an entry of any size if it has none yet.
+    """
+    total = np.concatenate([[0], np.cumsum(tokens)]) + used
+    out, start, base = np.zeros(len(tokens), np.int64), 0, 0
+    while start < len(tokens):
+        over = max(start, int(np.searchsorted(total, base + budget, side="right")) - 1)
+        end = over if total[over] > base else over + 1
+        end = min(max(end, start), len(tokens))
+        out[start:end] = number
+        if end < len(tokens):
+            number, base = number + 1, total[end]
+        start = end
+    return out, int(total[-1] - base), number
+
+
 def next_fit(entries: DataFrame, budget: int = BATCH_TOKENS, key: str = "review_id") -> DataFrame:
     """PK6: prompt batches in order: a new batch where the next entry would overflow a batch that has any.
 
-    A fold over each review's (order, tokens) pairs, which are its narrow columns only; the batch
-    numbers are joined back by unpacking the fold, so contents never enter the aggregate.
+    A review's entries lie sorted in one partition and pass as a stream with one batch's use carried
+    along, so a review of any length needs no more memory than a slice of it; contents never travel.
     """
-    items = F.array_sort(F.collect_list(F.struct("ord", "file_path", "tokens")))
-    start = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<ord:bigint,file_path:string,tokens:bigint,bin:bigint>>").alias("out"))
+    slim = entries.select(F.col(key).cast("string").alias(key), F.col("ord").cast("long").alias("ord"), "file_path", F.col("tokens").cast("long").alias("tokens"))
 
-    def step(a, x):
-        over = (a["used"] > 0) & (a["used"] + x["tokens"] > budget)
-        b = a["bin"] + F.when(over, 1).otherwise(0)
-        return F.struct(b.alias("bin"), F.when(over, x["tokens"]).otherwise(a["used"] + x["tokens"]).cast("long").alias("used"), F.array_append(a["out"], F.struct(x["ord"].cast("long").alias("ord"), x["file_path"].alias("file_path"), x["tokens"].cast("long").alias("tokens"), b.alias("bin"))).alias("out"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, used, number = None, 0, 0
+        for frame in frames:
+            bins = np.zeros(len(frame), np.int64)
+            keys = frame[key].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    if keys[a] != last:
+                        last, used, number = keys[a], 0, 0
+                    bins[a:b], used, number = next_bins(frame.tokens.to_numpy()[a:b], budget, used, number)
+            yield frame.assign(bin=bins)
 
-    folded = entries.groupBy(key).agg(items.alias("items")).select(key, F.aggregate("items", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(key, F.explode("out").alias("x")).select(key, "x.ord", "x.file_path", "x.tokens", "x.bin")
+    return slim.repartition(key).sortWithinPartitions(key, "ord").mapInPandas(run, f"{key} string, ord long, file_path string, tokens long, bin long")
 
 
 def weight(content: Column, tokens: Column) -> Column:
@@ -42,28 +69,35 @@ def pack_list(items: list[tuple[int, int]], most_files: int, most_chars: int, mo
     """PK2: the bin of each (chars, tokens), given heaviest first.
 
     An item goes to the least filled bin under the soft target that can hold it, else to the least
-    filled one that can, else to a new one.
+    filled one that can, else to a new one. Bins under the target are less filled than all others, so
+    that is the first that can in order of (tokens, number); full ones leave the order.
     """
-    bins: list[list[int]] = []  # tokens, chars, files
-    out = []
+    order: list[tuple[int, int, int, int]] = []  # tokens, number, chars, files
+    out, bins = [], 0
     for chars, tokens in items:
-        able = [(b[0], k) for k, b in enumerate(bins) if b[2] < most_files and b[1] + chars <= most_chars and b[0] + tokens <= most_tokens]
-        soft = [x for x in able if x[0] < soft_tokens]
-        if soft or able:
-            k = min(soft or able)[1]
+        at = None
+        for k, (t, _, c, _) in enumerate(order):
+            if t + tokens > most_tokens:
+                break
+            if c + chars <= most_chars:
+                at = k
+                break
+        if at is None:
+            t, number, c, n = 0, bins, 0, 0
+            bins += 1
         else:
-            bins.append([0, 0, 0])
-            k = len(bins) - 1
-        bins[k][0] += tokens
-        bins[k][1] += chars
-        bins[k][2] += 1
-        out.append(k)
+            t, number, c, n = order.pop(at)
+        out.append(number)
+        if n + 1 < most_files:
+            insort(order, (t + tokens, number, c + chars, n + 1))
     return out
 
 
-def chunks(entries: DataFrame, most_files: int = MOST_FILES, most_chars: int = MOST_CHARS, most_tokens: int = MOST_TOKENS, soft_tokens: int = SOFT_TOKENS) -> DataFrame:
+def chunks(entries: DataFrame, most_files: int = MOST_FILES, most_chars: int = MOST_CHARS, most_tokens: int = MOST_TOKENS, soft_tokens: int = SOFT_TOKENS, reviews: DataFrame | None = None) -> DataFrame:
     """PK1, PK2: chunk numbers of a review's entries; one chunk where all fits, by first fit of decreasing weight otherwise.
 
+    Reviews (``review_id``) without any entry have one empty chunk, if ``reviews`` names them.
+
     Greedy packing is sequential within a review, so it runs once for each, over lengths only:
     contents stay behind and join again by (review, order).
     """
@@ -77,54 +111,58 @@ def chunks(entries: DataFrame, most_files: int = MOST_FILES, most_chars: int = M
         pdf = pdf.iloc[(-heavy.to_numpy()).argsort(kind="stable")]
         return pdf.assign(chunk=pack_list(list(zip(pdf.chars.tolist(), pdf.tokens.tolist(), strict=True)), most_files, most_chars, most_tokens, soft_tokens))
 
-    return slim.groupBy("review_id").applyInPandas(run, "review_id string, ord long, file_path string, chars long, tokens long, chunk int")
+    out = slim.groupBy("review_id").applyInPandas(run, "review_id string, ord long, file_path string, chars long, tokens long, chunk int")
+    if reviews is None:
+        return out
+    empty = reviews.select("review_id").distinct().join(entries.select("review_id"), "review_id", "left_anti")
+    return out.unionByName(empty.withColumn("chunk", F.lit(0)), allowMissingColumns=True)
 
 
 _HEADER = re.compile(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@(.*)")
 
 
+def runs(sizes: list[int], room: int) -> list[tuple[int, int]]:
+    """Cuts of a sequence into runs of at most ``room`` in all, one item at least in each: (begin, end)."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    out, a = [], 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + room, side="right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
 def split_hunk(hunk: str, most: int) -> list[str]:
-    """PK4, W4: pieces of at most ``most`` characters, a line at least each, with headers that keep all line numbers."""
-    head, *body = hunk.splitlines(keepends=True) or [""]
-    m = _HEADER.match(head.rstrip("\n"))
-    if not m or not body:
+    """PK4, W4: pieces of at most ``most`` characters, a line at least each, with headers that keep all line numbers.
+
+    A piece's numbers follow from how many lines of the old and of the new file lie before its cut.
+    """
+    lines = hunk.splitlines(keepends=True)
+    m = _HEADER.match(lines[0].rstrip("\n")) if lines else None
+    if m is None or len(lines) == 1:
         return [hunk]
-    old, new, pieces, held, size = int(m[1]), int(m[2]), [], [], len(head)
+    body = lines[1:]
+    before = {side: np.concatenate([[0], np.cumsum([x[0] not in other for x in body])]) for side, other in (("old", "+\\"), ("new", "-\\"))}
 
-    def close():
-        nonlocal old, new, held, size
-        olds = sum(x[0] not in "+\\" for x in held)
-        news = sum(x[0] not in "-\\" for x in held)
-        pieces.append(f"@@ -{old},{olds} +{new},{news} @@{m[3]}\n" + "".join(held))
-        old, new, held, size = old + olds, new + news, [], len(head)
+    def header(a: int, b: int) -> str:
+        spans = [f"{sign}{int(m[g]) + before[side][a]},{before[side][b] - before[side][a]}" for sign, g, side in (("-", 1, "old"), ("+", 2, "new"))]
+        return f"@@ {' '.join(spans)} @@{m[3]}\n"
 
-    for line in body:
-        if held and size + len(line) > most:
-            close()
-        held.append(line)
-        size += len(line)
-    close()
-    return pieces
+    return [header(a, b) + "".join(body[a:b]) for a, b in runs([len(x) for x in body], most - len(lines[0]))]
 
 
 def split_entry(content: str, tokens: int, most_chars: int = MOST_CHARS, most_tokens: int = MOST_TOKENS) -> list[str]:
     """PK3: an entry over the budget as groups of whole hunks under its header, hunks over it cut; whole without hunks."""
-    most = min(most_chars, most_tokens * CHARS_A_TOKEN)
     if len(content) <= most_chars and tokens <= most_tokens:
         return [content]
-    parts = re.split(r"(?m)^(?=@@ )", content)
-    head, hunks = ("", parts) if parts[0].startswith("@@ ") else (parts[0], parts[1:])
-    if not hunks:
+    at = [m.start() for m in re.finditer(r"(?m)^@@ ", content)]
+    if not at:
         return [content]
-    room = max(1, most - len(head))
-    pieces = [p for h in hunks for p in (split_hunk(h, room) if len(h) > room else [h])]
-    out, held = [], ""
-    for p in pieces:
-        if held and len(held) + len(p) > room:
-            out.append(head + held)
-            held = ""
-        held += p
-    return [*out, head + held]
+    head = content[: at[0]]
+    room = max(1, min(most_chars, most_tokens * CHARS_A_TOKEN) - len(head))
+    hunks = [content[a:b] for a, b in zip(at, [*at[1:], len(content)], strict=True)]
+    pieces = [p for h in hunks for p in (split_hunk(h, room) if len(h) > room else (h,))]
+    return [head + "".join(pieces[a:b]) for a, b in runs([len(p) for p in pieces], room)]
 
 
 def split_oversized(entries: DataFrame, most_chars: int = MOST_CHARS, most_tokens: int = MOST_TOKENS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -39,23 +40,35 @@ def json_documents(issues: DataFrame) -> DataFrame:
     return seen.groupBy("review_id").agg(F.to_json(F.struct(listed.alias("issues"), F.coalesce(F.bool_or(F.col("severity") == "CRITICAL"), F.lit(False)).alias("has_critical_flag"))).alias("document"))
 
 
-def post(comments: DataFrame, send_batch: Callable[[list[dict]], None], send_one: Callable[[dict], None]) -> None:
-    """SNK3: comments go in one batch for each partition, one by one where the batch fails; single failures are skipped."""
+def post(comments: DataFrame, send_batch: Callable[[list[dict]], None], send_one: Callable[[dict], None], most: int = 50) -> DataFrame:
+    """SNK3: comments go in batches, one by one where a batch fails; single failures are skipped.
 
-    def run(rows) -> None:
-        batch = [r.asDict() for r in rows]
-        if not batch:
-            return
+    What became of each is returned: (``ord``, ``outcome``): ``batch``, ``single`` or ``skipped``. Comments are
+    sent when the result is computed; write it down, as computing it again sends again.
+    """
+
+    def sent(send, what) -> bool:
         try:
-            send_batch(batch)
+            send(what)
         except Exception:  # noqa: BLE001  the boundary's errors decide the way, not the job
-            for comment in batch:
-                try:
-                    send_one(comment)
-                except Exception:  # noqa: BLE001
-                    continue
+            return False
+        return True
+
+    def run(frames):
+        for frame in frames:
+            for a in range(0, len(frame), most):
+                part = frame.iloc[a : a + most]
+                rows = part.to_dict("records")
+                whole = sent(send_batch, rows)
+                yield pd.DataFrame({"ord": part.ord, "outcome": ["batch" if whole else "single" if sent(send_one, r) else "skipped" for r in rows]})
+
+    return comments.mapInPandas(run, "ord long, outcome string")
+
 
-    comments.foreachPartition(run)
+def timed(action: Callable[[], object], clock: Callable[[], float]) -> tuple[object, float]:
+    """SNK8: what an action gives, and the seconds that it took."""
+    began = clock()
+    return action(), clock() - began
 
 
 def metered(issues: DataFrame, name: str = "issues") -> tuple[DataFrame, Observation]:

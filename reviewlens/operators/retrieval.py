@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,17 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.text import code_tokens
+from reviewlens.operators.facts import analyze, searchable, slices
+from reviewlens.sources.shared import written
 
 # Fixed values.
 VOCABULARY, LEAST_FREQUENCY, SMALL_CORPUS, EMBED_BATCH = 512, 2, 10, 2048
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for a row; named in a lambda as a column, the optimizer may put its whole expression there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def counted(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """AGG10 within the row: (``ident``, ``counts``): of each term of a document how often (``tf``) and of how many tokens (``len``).
+
+    Tokens are sorted and runs of equal ones counted, so no (document, term) pair is ever shuffled.
+    """
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        entry = lambda s, k, a: F.struct(F.get(t, a).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - a).cast("long").alias("tf"), F.size(t).cast("long").alias("len"))
+        return _let(starts, lambda s: F.transform(s, lambda a, k: entry(s, k, a)))
+
+    return docs.select(ident, _let(F.sort_array(code_tokens(F.coalesce(F.col(text), F.lit("")))), runs).alias("counts"))
+
+
 def terms(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """AGG10: (``ident``, ``term``, ``tf``, ``len``): counts of each document's tokens, and how many it has in all."""
-    tokens = docs.select(F.col(ident), code_tokens(F.col(text)).alias("_t"))
-    # counting within the row keeps repeated tokens out of the shuffle
-    each = tokens.select(ident, F.size("_t").alias("len"), F.explode("_t").alias("term"))
-    return each.groupBy(ident, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    """AGG10: (``ident``, ``term``, ``tf``, ``len``): a row for each document and term."""
+    return counted(docs, ident, text).select(ident, F.explode("counts").alias("c")).select(ident, "c.term", "c.tf", "c.len")
 
 
 def vocabulary(tf: DataFrame, n_docs: int, size: int = VOCABULARY) -> DataFrame:
@@ -32,22 +51,45 @@ def vocabulary(tf: DataFrame, n_docs: int, size: int = VOCABULARY) -> DataFrame:
     return f.orderBy(F.desc("cf"), "term").limit(size)
 
 
-def weights(tf: DataFrame, vocab: DataFrame, n_docs: int, ident: str = "doc_id") -> DataFrame:
+#: Terms of a vocabulary that may go into the plan of the weights.
+MOST_TERMS = 4096
+
+
+def weights(docs: DataFrame, vocab: DataFrame, n_docs: int, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """RET2, AGG11: (``ident``, ``term``, ``weight``): tf / len * (ln((N + 1) / (df + 1)) + 1), of unit length for each document.
 
-    The vocabulary has at most ``VOCABULARY`` rows, so it is broadcast. The norm is an aggregate
-    joined back on the document, by which both sides are already dealt.
+    The vocabulary, ``VOCABULARY`` rows unless asked for more and at most ``MOST_TERMS``, comes to the
+    driver and goes into the plan as a literal; counting, weighing and the norm stay within a
+    document's row, so this is one projection over the texts without a shuffle.
+    """
+    known = {r["term"]: math.log((n_docs + 1) / (r["df"] + 1)) + 1 for r in vocab.select("term", "df").limit(MOST_TERMS + 1).collect()}
+    if len(known) > MOST_TERMS:
+        raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms")
+    names = sorted(known)
+    idf = F.map_from_arrays(F.array(*[F.lit(t) for t in names]).cast("array<string>"), F.array(*[F.lit(known[t]) for t in names]).cast("array<double>"))
+    own = counted(docs, ident, text).select(ident, F.filter("counts", lambda c: c["term"].isin(names)).alias("counts"))
+    raw = F.transform("counts", lambda c: F.struct(c["term"].alias("term"), (c["tf"] / c["len"] * F.element_at(idf, c["term"])).alias("w")))
+    unit = lambda x: _let(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e["w"] * e["w"])), lambda n: F.transform(x, lambda e: F.struct(e["term"].alias("term"), F.when(n > 0, e["w"] / n).otherwise(0.0).alias("weight"))))
+    return own.select(ident, F.explode(_let(raw, unit)).alias("e")).select(ident, "e.term", "e.weight")
+
+
+def index_project(files: DataFrame, size: int = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """RET5: a project's files (``file_path``, ``content``) to its chunks by method, type and file, their vocabulary and weights.
+
+    Chunks of one id, as equal classes of two files give, are told apart by their path. The parts are
+    written down before what reads them twice; ``search_terms`` and ``related`` answer from the weights.
     """
-    idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
-    raw = tf.join(F.broadcast(vocab.select("term", "df")), "term").select(ident, "term", (F.col("tf") / F.col("len") * idf).alias("w"))
-    norm = raw.groupBy(ident).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, ident).select(ident, "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight"))
+    found = written(analyze(files), "facts")
+    chunks = searchable(slices(files, found)).withColumn("chunk_id", F.concat_ws("@", "chunk_id", "file_path"))
+    chunks = written(chunks, "chunks")
+    vocab = vocabulary(terms(chunks, "chunk_id"), chunks.count(), size)
+    return chunks, vocab, weights(chunks, vocab, chunks.count(), "chunk_id")
 
 
 def search_terms(index: DataFrame, query: DataFrame, k: int, ident: str = "doc_id") -> DataFrame:
     """RET6, T1 over sparse weights: the ``k`` documents of the highest cosine with ``query`` (``term``, ``weight``); none without shared terms.
 
-    Only postings of the query's terms meet, at most ``VOCABULARY`` of them, so the query is broadcast.
+    Only postings of the query's terms meet, as many as a vocabulary has at most, so the query is broadcast.
     """
     q = F.broadcast(query.select("term", F.col("weight").alias("q")))
     hits = index.join(q, "term").groupBy(ident).agg(F.sum(F.col("weight") * F.col("q")).alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.operators import filters, issues, rules
+from reviewlens.sources.readers import parsed
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -41,6 +42,16 @@ def compose(names: list[str] | tuple[str, ...] | None = None, registry: dict[str
     return run
 
 
+def stages_of(text: str) -> list[str]:
+    """§2.12: the stage names of a JSON or YAML text: ``{"pipeline": {"stages": [...]}}``, each a name or ``{"name": ..., "enabled": ...}``; none where it is broken."""
+    try:
+        listed = (parsed(text).get("pipeline") or {}).get("stages") or []
+    except Exception:  # noqa: BLE001  a broken file means the default pipeline
+        return []
+    named = [{"name": s} if isinstance(s, str) else s for s in listed]
+    return [s["name"] for s in named if isinstance(s, dict) and s.get("name") and s.get("enabled", True)]
+
+
 def merged(*parts: DataFrame) -> DataFrame:
     """Static and reviewed issues, cached and fresh ones, or those of chunks, in one frame."""
     out = parts[0]

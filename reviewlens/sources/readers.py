@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from reviewlens.functions.errors import error_class
 from reviewlens.functions.text import basename, matches_glob
+from reviewlens.sources.shared import written
 
 PAGE = 100
 #: Folders that a project scan leaves out, and the most bytes of a guarded read.
@@ -20,69 +20,43 @@ PRUNED = ("target", "build", ".git")
 MOST_BYTES = 100_000
 
 
-class PullRequestFiles(DataSource):
-    """SRC2, SRC5: a pull request's files as ``spark.read.format("pull_request_files")``.
+def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC2, SRC5: the pages that a fetcher left in a folder as ``1.json``, ``2.json`` and so on: (``page``, ``body``)."""
+    page = F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("int")
+    return spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(page.alias("page"), F.col("value").alias("body"))
 
-    Options: ``pages``, a folder of JSON pages named ``1.json``, ``2.json`` and so on (what a fetcher
-    leaves there), and ``max_files``. One partition a page; pages after a short one aren't read.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "pull_request_files"
-
-    def schema(self) -> str:
-        return "page int, ord int, file_path string, status string, patch string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PageReader(self.options)
-
-
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
-
-
-class _PageReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.folder, self.most = options["pages"], int(options.get("max_files", 10**9))
 
-    def partitions(self) -> list[InputPartition]:
-        pages = -(-self.most // PAGE)
-        there = sorted(int(f[:-5]) for f in os.listdir(self.folder) if f.endswith(".json"))
-        return [_Page(n) for n in there if n <= pages] or [_Page(1)]
+def pull_request_files(pages: DataFrame, max_files: int) -> DataFrame:
+    """SRC2, SRC5: a pull request's files: (``page``, ``ord`` from 0, ``file_path``, ``status``, ``patch``), at most ``max_files``.
 
-    def _rows(self, number: int) -> list[dict]:
-        try:
-            with open(f"{self.folder}/{number}.json", encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return []
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        if any(len(self._rows(n)) < PAGE for n in range(1, partition.number)):
-            return
-        for k, r in enumerate(self._rows(partition.number)):
-            n = (partition.number - 1) * PAGE + k
-            if n < self.most:
-                yield partition.number, n, r.get("filename"), r.get("status"), r.get("patch")
-
-
-def pull_request_files(spark: SparkSession, folder: str, max_files: int) -> DataFrame:
-    spark.dataSource.register(PullRequestFiles)
-    return spark.read.format("pull_request_files").option("pages", folder).option("max_files", max_files).load()
+    A page of fewer than ``PAGE`` files is the last one, as is a missing or a broken one; what lies after it doesn't count. Which
+    that is is one aggregate over the pages' numbers, so every page is read once or twice and by any task.
+    """
+    files = F.from_json("body", "array<struct<filename:string,status:string,patch:string>>")
+    read = pages.where(F.col("page") <= -(-max_files // PAGE)).select("page", files.alias("files"))
+    full = read.where(F.size("files") >= PAGE).agg(F.array_sort(F.collect_set("page")).alias("p"))
+    # pages 1, 2, ... without a gap are full; as many numbers as pages
+    upto = full.select(F.size(F.filter("p", lambda x, i: x == i + 1)).alias("n")).first()["n"]
+    each = read.where(F.col("page") <= upto + 1).select("page", F.posexplode("files").alias("k", "f"))
+    out = each.select("page", ((F.col("page") - 1) * PAGE + F.col("k")).cast("long").alias("ord"), F.col("f.filename").alias("file_path"), "f.status", "f.patch")
+    return out.where(F.col("ord") < max_files)
 
 
 def exported_diffs(spark: SparkSession, path: str) -> DataFrame:
     """SRC7: diffs exported from a working copy or between refs, one file each: (``diff_id``, ``diff_text``)."""
-    return spark.read.option("wholetext", True).text(path).select(basename(F.input_file_name()).alias("diff_id"), F.col("value").alias("diff_text"))
+    return spark.read.text(path, wholetext=True).select(basename(F.input_file_name()).alias("diff_id"), F.col("value").alias("diff_text"))
 
 
 def project_files(spark: SparkSession, root: str, extension: str = "java") -> DataFrame:
-    """SRC8: a project's source files: (``file_path``, ``content``), without build folders and generated files."""
+    """SRC8: the source files under a folder: (``file_path``, ``content``)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", True).load(root)
     path = F.substring_index("path", root.rstrip("/") + "/", -1)
-    out = files.select(path.alias("file_path"), F.decode("content", "UTF-8").alias("content"))
+    return project_sources(files.select(path.alias("file_path"), F.decode("content", "UTF-8").alias("content")), extension)
+
+
+def project_sources(files: DataFrame, extension: str = "java") -> DataFrame:
+    """SRC8: of ``files`` those of a project's sources, without build folders and generated files."""
+    out = files.where(F.col("file_path").endswith("." + extension))
     for d in PRUNED:
         out = out.where(~F.col("file_path").startswith(d + "/") & ~F.contains("file_path", F.lit(f"/{d}/")))
     return out.where(~F.contains(F.left("content", F.lit(500)), F.lit("@Generated")))
@@ -96,16 +70,28 @@ def guarded(files: DataFrame, allowed: DataFrame, most: int = MOST_BYTES) -> Dat
 
 def load_rules(path: str | None, fallback: list[dict] | None = None) -> list[dict]:
     """SRC10: exclusion rules from a JSON or YAML file; the fallback where it is missing or can't be read."""
-    if not path or not os.path.exists(path):
+    try:
+        with open(path or "", encoding="utf-8") as f:
+            return rules_of(f.read(), fallback)
+    except OSError:
         return fallback or []
+
+
+def parsed(text: str) -> dict:
+    """A JSON or YAML document as a mapping; YAML only where its package is installed."""
     try:
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
-        if path.endswith(".json"):
-            return json.loads(text).get("exclusion_rules", fallback or [])
+        found = json.loads(text)
+    except ValueError:
         import yaml
 
-        return (yaml.safe_load(text) or {}).get("exclusion_rules", fallback or [])
+        found = yaml.safe_load(text)
+    return found if isinstance(found, dict) else {}
+
+
+def rules_of(text: str, fallback: list[dict] | None = None) -> list[dict]:
+    """SRC10: the exclusion rules of a JSON or YAML text; the fallback where it has none or is broken."""
+    try:
+        return parsed(text).get("exclusion_rules", fallback or [])
     except Exception:  # noqa: BLE001  a broken rule file must not stop a review
         return fallback or []
 
@@ -133,23 +119,27 @@ def _merged(base: dict, over: dict) -> dict:
     return base | {k: _merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items() if v is not None}
 
 
-def load_settings(project: dict | None, home: dict | None) -> Settings:
-    """The defaults, overlaid by the project's settings or, only where there are none, the home folder's."""
-    given = project if project is not None else home or {}
+def load_settings(project: dict | None, home: dict | None, defaults: dict | None = None) -> Settings:
+    """The defaults, overlaid by the project's settings or, only where there are none, the home folder's; nested keys one by one."""
+    given = _merged(defaults or {}, project if project is not None else home or {})
     known = Settings.__dataclass_fields__
     plain = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in known and k != "extra"}
     return Settings(**plain, extra=_merged({}, {k: v for k, v in given.items() if k not in known}))
 
 
 class VectorTable:
-    """SRC14: vectors as a Parquet table: add, count, search, delete. An absent table is an empty one."""
+    """SRC14: vectors as a Parquet table: add, count, search, delete. An absent table is an empty one.
+
+    Adding and deleting append; a vector's row of the highest version counts, so an added id replaces
+    its old vector. ``compact`` leaves those rows alone.
+    """
 
-    SCHEMA = "chunk_id string, embedding array<float>"
+    SCHEMA = "chunk_id string, embedding array<float>, version long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def read(self) -> DataFrame:
+    def _all(self) -> DataFrame:
         try:
             return self.spark.read.schema(self.SCHEMA).parquet(self.path)
         except Exception as e:  # noqa: BLE001
@@ -157,8 +147,27 @@ class VectorTable:
                 raise
             return self.spark.createDataFrame([], self.SCHEMA)
 
+    def _append(self, rows: DataFrame) -> None:
+        version = (self._all().agg(F.max("version")).first()[0] or 0) + 1
+        rows.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        rows = self._all()
+        if rows.agg(F.max("version")).first()[0] in (None, 1):
+            return rows.where("embedding is not null").select("chunk_id", "embedding")
+        last = rows.groupBy("chunk_id").agg(F.max_by("embedding", "version").alias("embedding"))
+        return last.where("embedding is not null")
+
     def add(self, vectors: DataFrame) -> None:
-        vectors.select("chunk_id", "embedding").write.mode("append").parquet(self.path)
+        """Of several vectors of one id in a call, one is kept."""
+        self._append(vectors.groupBy("chunk_id").agg(F.max("embedding").cast("array<float>").alias("embedding")))
+
+    def delete(self, ids: DataFrame) -> None:
+        self._append(ids.select("chunk_id", F.lit(None).cast("array<float>").alias("embedding")).distinct())
+
+    def compact(self) -> None:
+        rows = written(self.read().withColumn("version", F.lit(1).cast("long")), "vectors")
+        rows.write.mode("overwrite").parquet(self.path)
 
     def count(self) -> int:
         return self.read().count()
@@ -175,7 +184,8 @@ class VectorTable:
 def review(chunks: DataFrame, reviewer_fn: Callable[[str, str], str], reviewers: tuple[str, ...] = ("security", "logic", "quality"), parallel: int = 3) -> DataFrame:
     """SRC17, ST11: an injected model call for every chunk and reviewer: (``review_id``, ``chunk``, ``reviewer``, ``ord``, ``reply``, ``error``).
 
-    ``parallel`` tasks at a time; a failure is its row's error. Replies keep the chunks' order by ``ord``.
+    ``parallel`` tasks at a time, 1 where calls share a tool session; a failure is its row's error, and
+    ``kind`` its class. Replies keep the chunks' order by ``ord``.
     """
     each = chunks.withColumn("reviewer", F.explode(F.array(*[F.lit(r) for r in reviewers]))).select("review_id", "chunk", "reviewer", "text")
     each = each.withColumn("ord", F.concat_ws("/", "review_id", F.lpad(F.col("chunk").cast("string"), 6, "0"), "reviewer"))
@@ -190,7 +200,8 @@ def review(chunks: DataFrame, reviewer_fn: Callable[[str, str], str], reviewers:
                     out.append((r.review_id, r.chunk, r.reviewer, r.ord, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["review_id", "chunk", "reviewer", "ord", "reply", "error"])
 
-    return each.repartition(parallel).mapInPandas(run, "review_id string, chunk int, reviewer string, ord string, reply string, error string")
+    out = each.repartition(parallel).mapInPandas(run, "review_id string, chunk int, reviewer string, ord string, reply string, error string")
+    return out.withColumn("kind", F.when(F.col("error").isNotNull(), error_class(F.col("error"))))
 
 
 def with_retry(call: Callable, classify: Callable[[Exception], str], sleep: Callable[[float], None], retries: int = 3, base: float = 2.0, most: float = 30.0, jitter: Callable[[], float] = lambda: 1.0):

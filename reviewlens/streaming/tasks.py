@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from reviewlens.sources.shared import folder
+
 TASK = "task_id string, request_id string, mode string, hotfix boolean, project_dir string, created_at bigint, diff_entries array<struct<file_path:string,content:string,token_count:int>>, allowed_files array<string>"
 # Minutes until a message is dead, and the states of a task.
 TASK_MINUTES, RESULT_MINUTES, SESSION_MINUTES = 10, 60, 10
@@ -168,12 +170,23 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "10 minutes")
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All that is there now, through the stream into a memory table."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    q = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that is there now, through the stream into a Parquet table of the shared folder.
+
+    A batch is one folder, overwritten if it is run again, so each row counts once; in complete mode
+    the last batch is the table. State and progress lie beside them. Runs never share a folder.
+    """
+    spark = stream.sparkSession
+    root, last = folder(spark, name), []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+        last.append(number)
+
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{root}-state").trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*([f"{root}/batch={last[-1]}"] if mode == "complete" else [f"{root}/batch={n}" for n in sorted(set(last))]))
 
 
 def stream_table(spark, folder: str, name: str, schema: StructType) -> DataFrame:

@@ -110,7 +110,7 @@ def test_tfidf_unit_norm_and_small_corpora(spark):
     tf = retrieval.terms(docs)
     assert {r["term"] for r in tf.where("doc_id = 2").collect()} == {"http", "server", "parse", "xml", "user", "id", "42"}
     vocab = retrieval.vocabulary(tf, 4)
-    w = retrieval.weights(tf, vocab, 4)
+    w = retrieval.weights(docs, vocab, 4)
     norms = {r["doc_id"]: r["n"] for r in w.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()}
     assert all(abs(n - 1) < 1e-9 for n in norms.values()) and set(norms) == {1, 2, 4}
     q = w.where("doc_id = 1").select("term", "weight")

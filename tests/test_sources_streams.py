@@ -9,8 +9,40 @@ from reviewlens.streaming import tasks
 def test_pages_stop_after_a_short_one(spark, tmp_path):
     for page, n in ((1, 100), (2, 30), (3, 100)):
         (tmp_path / f"{page}.json").write_text(json.dumps([{"filename": f"f{page}-{k}", "status": "modified", "patch": "@@"} for k in range(n)]))
-    assert readers.pull_request_files(spark, str(tmp_path), 1000).count() == 130
-    assert readers.pull_request_files(spark, str(tmp_path), 110).count() == 110
+    pages = readers.listing_pages(spark, str(tmp_path))
+    assert readers.pull_request_files(pages, 1000).count() == 130
+    assert [r["ord"] for r in readers.pull_request_files(pages, 110).orderBy("ord").collect()] == list(range(110))
+    (tmp_path / "2.json").unlink()
+    assert readers.pull_request_files(readers.listing_pages(spark, str(tmp_path)), 1000).count() == 100
+    (tmp_path / "1.json").write_text("broken")
+    assert readers.pull_request_files(readers.listing_pages(spark, str(tmp_path)), 1000).count() == 0
+
+
+def test_exported_diffs(spark, tmp_path):
+    (tmp_path / "a.diff").write_text("diff --git a/x b/x\n+1\n")
+    assert [tuple(r) for r in readers.exported_diffs(spark, str(tmp_path)).collect()] == [("a.diff", "diff --git a/x b/x\n+1\n")]
+
+
+def test_texts_of_rules_settings_and_stages(tmp_path):
+    from reviewlens.plans import review
+
+    (tmp_path / "r.json").write_text('{"exclusion_rules": [{"description": "d"}]}')
+    assert readers.load_rules(str(tmp_path / "r.json")) == [{"description": "d"}]
+    assert readers.load_rules(str(tmp_path / "none.json"), [{"description": "f"}]) == [{"description": "f"}]
+    assert readers.rules_of("{", [{"description": "f"}]) == [{"description": "f"}]
+    s = readers.load_settings({"llm": {"model": "m"}, "max_files": 3}, {"max_files": 9}, {"llm": {"model": "x", "url": "u"}, "language": "de"})
+    assert (s.max_files, s.language, s.extra) == (3, "de", {"llm": {"model": "m", "url": "u"}})
+    assert review.stages_of('{"pipeline": {"stages": ["a", {"name": "b", "enabled": false}, {"name": "c"}, 3]}}') == ["a", "c"]
+    assert review.stages_of("{") == []
+
+
+def test_poll():
+    states, slept = iter([{"s": 0}, {"s": 0}, {"s": 1}]), []
+    assert readers.poll(lambda: next(states), lambda x: x["s"], lambda: len(slept), slept.append, 10, 2) == {"s": 1} and slept == [2, 2]
+    import pytest
+
+    with pytest.raises(TimeoutError):
+        readers.poll(dict, bool, lambda: len(slept), slept.append, 3, 1)
 
 
 def test_project_scan_and_guard(spark, tmp_path):
@@ -29,6 +61,12 @@ def test_vector_table(spark, tmp_path):
     assert t.count() == 0 and t.search([1.0], 3).count() == 0
     t.add(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [1.0])], "chunk_id string, embedding array<float>"))
     assert [r["chunk_id"] for r in t.search([0.6, 0.8], 2).collect()] == ["b", "a"]
+    t.add(spark.createDataFrame([("a", [0.0, 1.0])], "chunk_id string, embedding array<float>"))
+    t.delete(spark.createDataFrame([("c",), ("none",)], "chunk_id string"))
+    assert t.count() == 2 and [r["chunk_id"] for r in t.search([0.6, 0.8], 1).collect()] == ["b"]
+    assert {r["chunk_id"]: list(r["embedding"]) for r in t.read().collect()}["a"] == [0.0, 1.0]
+    t.compact()
+    assert t.count() == 2
     t.clear()
     assert t.count() == 0
 
