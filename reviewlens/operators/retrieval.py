@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.text import code_tokens
 from reviewlens.operators.facts import analyze, searchable, slices
-from reviewlens.sources.shared import written
+from reviewlens.sources.shared import spread, written
 
 # Fixed values.
 VOCABULARY, LEAST_FREQUENCY, SMALL_CORPUS, EMBED_BATCH = 512, 2, 10, 2048
@@ -33,7 +33,7 @@ def counted(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
         entry = lambda s, k, a: F.struct(F.get(t, a).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - a).cast("long").alias("tf"), F.size(t).cast("long").alias("len"))
         return _let(starts, lambda s: F.transform(s, lambda a, k: entry(s, k, a)))
 
-    return docs.select(ident, _let(F.sort_array(code_tokens(F.coalesce(F.col(text), F.lit("")))), runs).alias("counts"))
+    return spread(docs.select(ident, text)).select(ident, _let(F.sort_array(code_tokens(F.coalesce(F.col(text), F.lit("")))), runs).alias("counts"))
 
 
 def terms(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

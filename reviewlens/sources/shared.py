@@ -13,6 +13,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/reviewlens-{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer splits than there are cores, as one small file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again."""
     path = folder(df.sparkSession, name)
