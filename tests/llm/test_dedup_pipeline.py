@@ -145,3 +145,68 @@ def test_lower_case_is_ascii_only(spark):
     docs = spark.createDataFrame([(1, "The Quick brown FOX É"), (2, "the quick BROWN fox É"), (3, "the quick brown fox é")], "doc_id long, text string")
     got = {r["id"]: r["component_id"] for r in ngram_join.link(docs, 5, 80).collect()}
     assert got == {1: 1, 2: 1, 3: 3} and "É".translate(LOWER) == "É"
+
+
+def test_a_block_is_parsed_into_factors():
+    """Factors are the longest that their places allow, each window that starts earlier lies in one, and with the words between them they are the text."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{k}" for k in range(12)]
+    passage = [vocabulary[k] for k in rng.integers(0, 12, 40)]
+    texts = []
+    for k in range(40):
+        w = [vocabulary[j] for j in rng.integers(0, 12, rng.integers(0, 90))]
+        if k % 3 == 0:
+            w = w[:20] + passage[int(rng.integers(0, 15)) :] + w[20:]
+        if k % 7 == 0:
+            w = ["a", "b"] * 30
+        texts.append(" ".join(w))
+    window = 8
+    s, doc, whole, _, _, first, h = substrings._windows(*text_buffers(pa.array(texts)), window)
+    later, _, source = substrings._later(whole, doc, s - first[doc])
+    begin, size, copy = substrings.factors(h, first, s[later], s[source[later]], window)
+    flat = [x for t in texts for x in t.split()]
+    ends = np.repeat(first[1:], np.diff(first))
+    covered = set()
+    for a, n, b in zip(begin.tolist(), size.tolist(), copy.tolist(), strict=True):
+        assert n >= window and b < a and flat[a : a + n] == flat[b : b + n] and a + n <= ends[a] and b + n <= ends[b]
+        assert a + n == ends[a] or b + n == ends[b] or flat[a + n] != flat[b + n]
+        covered.update(range(a, a + n - window + 1))
+    seen, want = set(), set()
+    for k in s.tolist():
+        t = tuple(flat[k : k + window])
+        if t in seen:
+            want.add(k)
+        seen.add(t)
+    assert covered == want and len(begin) < len(want)
+    for d, t in enumerate(texts):
+        at, words_ = int(first[d]), []
+        for a, n in sorted((int(a), int(n)) for a, n in zip(begin, size, strict=True) if first[d] <= a < first[d + 1]):
+            words_ += flat[at:a] if a > at else []
+            words_ += flat[max(a, at) : a + n]
+            at = a + n
+        assert words_ + flat[at : int(first[d + 1])] == t.split()
+
+
+def test_streams_of_sorted_rows_carry_on_between_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    h = np.sort(rng.integers(0, 60, 200))
+    doc, pos = rng.integers(0, 5, 200), rng.integers(0, 5, 200).astype(np.int32)
+    order = np.lexsort((pos, doc, h))
+    h, doc, pos = h[order], doc[order], pos[order]
+    rk = pa.array(np.arange(200), mask=rng.random(200) < 0.3)
+    table = pa.table({"h": h, "doc_id": doc, "rk": rk, "pos": pos})
+    many = {x for x, n in Counter(h.tolist()).items() if n > 1}
+    want = [(r, x) for r, x in zip(rk.to_pylist(), h.tolist(), strict=True) if r is not None and x in many]
+    firsts = {}
+    for x, d, p in zip(h.tolist(), doc.tolist(), pos.tolist(), strict=True):
+        firsts[x] = min(firsts.get(x, (9, 9)), (d, p))
+    late = [(d, p) for x, d, p in zip(h.tolist(), doc.tolist(), pos.tolist(), strict=True) if (d, p) > firsts[x]]
+    for size in (1, 3, 200):
+        got = [(r["rk"], r["h"]) for b in substrings._shared(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+        got = [(r["doc_id"], r["pos"]) for b in substrings._resolve(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(late)
