@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import html_text, language, media, mixing, ngram_join, packing, quality, sharding, substrings, url_filter
-from reviewlens.llm.common import table
+from reviewlens.llm.common import keep, table
 
 #: Fixed values of the URL query: (action, host, path).
 URL_RULES = [
@@ -86,7 +86,8 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mixture takes of each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    docs = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"))
+    # the texts are read once: what follows goes over ids, sources and sizes
+    docs = keep(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words")))
     mixed = mixing.mix(docs, size="words")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "rate")
 
