@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import SPACES, keep, let, words
+from reviewlens.llm.common import SPACES, free_name, keep, let, words
 
 WINDOW = 5
 #: Bits of a packed number that hold a position; longer texts use the second.
@@ -22,23 +22,23 @@ def _window(h: Column, i: Column) -> Column:
 def repeated_words(w: Column) -> Column:
     """How many of the words ``w`` stand in a window of five words that occurs twice or more.
 
-    Each window's hash, its low bits replaced by its position, is one long; sorted, equal windows are
-    neighbours. Neighbours that agree in the high bits are compared by their whole 64-bit hashes.
+    Windows are compared by their 64-bit hashes, each computed once; a text of distinct ones is done.
+    Otherwise each hash, its low bits replaced by its position, is one long; sorted, equal windows are
+    neighbours, and neighbours that agree in the high bits are compared by their whole hashes.
     """
 
     def of(h: Column, mask: Column) -> Column:
-        same = lambda p, x, k: F.coalesce(
-            (F.get(p, k).bitwiseAND(mask) == x.bitwiseAND(mask)) & (_window(h, F.get(p, k).bitwiseAND(F.bitwise_not(mask)).cast("int")) == _window(h, x.bitwiseAND(F.bitwise_not(mask)).cast("int"))),
-            F.lit(False),
-        )
-        packed = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: _window(h, i).bitwiseAND(mask).bitwiseOR(i.cast("long"))))
+        at = lambda x: F.get(h, x.bitwiseAND(F.bitwise_not(mask)).cast("int"))
+        same = lambda p, x, k: F.coalesce((F.get(p, k).bitwiseAND(mask) == x.bitwiseAND(mask)) & (at(F.get(p, k)) == at(x)), F.lit(False))
+        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(mask).bitwiseOR(i.cast("long"))))
         twice = let(packed, lambda p: F.filter(p, lambda x, k: same(p, x, k - 1) | same(p, x, k + 1)))
         starts = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.bitwise_not(mask))))
         gained = let(starts, lambda s: F.transform(s, lambda x, k: F.least(F.lit(WINDOW).cast("long"), F.coalesce(x - F.get(s, k - 1), F.lit(WINDOW).cast("long")))))
         return F.aggregate(gained, F.lit(0).cast("long"), lambda a, x: a + x)
 
     mask = lambda h: F.when(F.size(h) < 1 << SHORT, F.lit(-(1 << SHORT))).otherwise(F.lit(-(1 << LONG))).cast("long")
-    many = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(mask(h), lambda m: of(h, m)))
+    windows = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: _window(h, i)))
+    many = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(mask(h), lambda m: of(h, m))))
     return F.when(F.size(w) < WINDOW + 1, F.lit(0).cast("long")).otherwise(many)
 
 
@@ -48,26 +48,27 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``n_lines``, ``n_digits``, ``n_upper`` (long).
 
-    They count over the whole text; null and empty texts count 0 everywhere.
+    They count over the whole text; null and empty texts count 0 everywhere. Columns of these names are replaced.
     """
+    _w, _l = free_name(docs, "w"), free_name(docs, "l")
     t = F.coalesce(F.col(text), F.lit(""))
     gone = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     both = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
     line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
-    out = docs.drop(*STATISTICS).withColumns({"_w": both, "_l": line})
+    out = docs.drop(*STATISTICS).withColumns({_w: both, _l: line})
     return out.withColumns(
         {
-            "n_words": F.col("_w.n"),
+            "n_words": F.col(f"{_w}.n"),
             "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
             "n_symbols": gone("#*$%&|<>").cast("long"),
-            "n_dup_lines": F.col("_l.d"),
-            "n_repeat_words": F.col("_w.r"),
-            "n_lines": F.col("_l.n"),
+            "n_dup_lines": F.col(f"{_l}.d"),
+            "n_repeat_words": F.col(f"{_w}.r"),
+            "n_lines": F.col(f"{_l}.n"),
             "n_digits": gone("0123456789").cast("long"),
             "n_upper": gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
         }
-    ).drop("_w", "_l")
+    ).drop(_w, _l)
 
 
 def base_failed() -> Column:
@@ -157,7 +158,7 @@ def learn(rows: DataFrame, bins: int = 24, most_rules: int = 6, most_conditions:
         while len(rule) < most_conditions:
             counts = left.where(~F.col("prune") & both(rule)).select("bad", F.explode("at").alias("x")).groupBy("x.f", "x.b").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
             best = _best(counts, cuts)
-            if best is None or best in rule:
+            if best is None or best[0] in rule:
                 break
             rule, done = (*rule, best[0]), best[1]
             if done:

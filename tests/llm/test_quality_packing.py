@@ -43,6 +43,43 @@ def test_learned_rules_keep_clean_documents(spark):
     assert quality.learn_from(docs, labels.limit(0)) == []
 
 
+def test_learned_rules_hold_on_labels_that_taught_nothing(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    rules = quality.learn_from(docs, labels.where(~held))
+    out = quality.judge(docs, rules).join(labels.where(held), "doc_id").toPandas()
+    free = out[~out.base_failed]
+    assert len(free) > 60 and (free[free.quality == 1].kept).mean() > 0.97 and (~free[free.quality == 0].kept).mean() > 0.7
+
+
+def test_a_step_of_covering_equals_brute_force(spark):
+    """The first condition of a rule has the highest information gain of all thresholds, by plain counting."""
+    rng = np.random.default_rng(4)
+    x, y = rng.random(400), rng.random(400)
+    bad = (x > 0.7) ^ (rng.random(400) < 0.05)
+    cuts = {"a": sorted(np.quantile(x, np.arange(1, 10) / 10).tolist()), "b": sorted(np.quantile(y, np.arange(1, 10) / 10).tolist())}
+    counts = [{"f": f, "b": k, "p": int(bad[at == k].sum()), "n": int((~bad[at == k]).sum())} for f, v in (("a", x), ("b", y)) for at in [np.searchsorted(cuts[f], v)] for k in range(10)]
+    got, _ = quality._best(counts, cuts)
+    best = None
+    for f, v in (("a", x), ("b", y)):
+        for cut in cuts[f]:
+            for above in (False, True):
+                hit = v > cut if above else v <= cut
+                p, n = int(bad[hit].sum()), int((~bad[hit]).sum())
+                if p:
+                    gain = p * (np.log2(p / (p + n)) - np.log2(bad.sum() / 400))
+                    if best is None or gain > best[0] + 1e-9:
+                        best = (gain, f, above, cut)
+    assert (got.feature, got.above, got.threshold) == best[1:]
+
+
+def test_statistics_beside_columns_of_their_own_names(spark):
+    docs = spark.createDataFrame([("a b", 1, 2, 3)], "text string, _w int, _l int, n_words int")
+    r = quality.with_stats(docs).first()
+    assert (r["_w"], r["_l"], r["n_words"]) == (1, 2, 2)
+
+
 def test_quality_odd_rows(spark):
     out = quality.judge(odd(spark), [])
     rows = out.collect()
@@ -91,11 +128,38 @@ def test_plan_places_all_within_capacity(seed):
             rooms.append(1000 - x)
         else:
             rooms[k] -= x
-    # linear grouping: at most a group's items and a pattern for each group beyond the optimum
-    assert len(bins) <= len(rooms) + sum(lengths > 125) / 20 + 20
+    assert len(bins) == packing.bins_of(packing.plan(counts, 1000)) <= len(rooms)
     assert packing.plan({}, 1000) == []
 
 
+@pytest.mark.parametrize(("low", "high", "grouped"), [(1300, 2900, False), (513, 4096, False), (700, 1500, True)])
+def test_no_more_bins_than_best_fit_on_hard_lengths(low, high, grouped):
+    counts = dict(Counter(np.random.default_rng(0).integers(low, high, 20_000).tolist()))
+    best_fit = packing.bins_of(packing.grouped_plan(counts, 4096, 0))
+    found = packing.bins_of(packing.plan(counts, 4096))
+    assert found < best_fit if grouped else found <= best_fit
+
+
+def test_plans_of_few_items_are_optimal():
+    """Against the best of all ways to share out a handful of items."""
+
+    def fewest(items, rooms):
+        if not items:
+            return len(rooms)
+        out = 99
+        for k in {r: k for k, r in enumerate(rooms) if r >= items[0]}.values():
+            out = min(out, fewest(items[1:], [*rooms[:k], rooms[k] - items[0], *rooms[k + 1 :]]))
+        return min(out, fewest(items[1:], [*rooms, 100 - items[0]]))
+
+    rng, over = random.Random(3), 0
+    for _ in range(40):
+        items = sorted((rng.randint(5, 100) for _ in range(8)), reverse=True)
+        found, want = packing.bins_of(packing.plan(dict(Counter(items)), 100)), fewest(items, [])
+        assert want <= found <= want + 1
+        over += found - want
+    assert over <= 3
+
+
 def test_packing_odd_rows(spark):
     from tokenizers import Tokenizer
 
