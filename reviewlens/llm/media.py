@@ -163,15 +163,14 @@ def _histograms(block: Block, flat: np.ndarray, owner: np.ndarray, at: np.ndarra
     spot, owner, at = spot[hit], owner[hit], at[hit]
     many = block.many[spot]
     low, width = int(block.size.max()), int(block.size.max() + (at.max() if len(at) else 0) + 1)
+    asked, asks = block.query * width + low - block.place, owner * (len(block.size) * width) + at
     keys, counts = [], []
     total = np.concatenate([[0], np.cumsum(many)])
     a = 0
     while a < len(spot):
         b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, side="right")) - 1)
         reach = np.repeat(block.begin[spot[a:b]] - total[a:b], many[a:b]) + np.arange(total[a], total[b])
-        of = np.repeat(np.arange(a, b), many[a:b])
-        key = (owner[of] * len(block.size) + block.query[reach]) * width + (at[of] - block.place[reach] + low)
-        key, n = np.unique(key, return_counts=True)
+        key, n = np.unique(asked[reach] + np.repeat(asks[a:b], many[a:b]), return_counts=True)
         keys.append(key)
         counts.append(n)
         a = b
