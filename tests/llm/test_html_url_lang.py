@@ -46,6 +46,33 @@ def test_lines_and_zones(page, want):
     assert html_text.main_text(html_text.lines_of(page), None) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><div class='share-price'><p>figures</p></div><div class=\"share-buttons\">f t</div></article>", "figures"),
+        ('<article><p>a</p><div class="related work"><p>b</p></div><div class="ad box">c</div><div data-id="share">d</div></article>', "a b d"),
+        ("<a title=don't>x</a><p>b's</p> <p>c</p>", "x b's c"),
+        ("<p class=it's>a</p><p>b</p>", "a b"),
+        ('<p title="open>a</p><p>b</p>', "a b"),
+        ('<p title="a > b">c</p>', "c"),
+        ("<article><p>a</p><p title='x>y' class=ad>b</p></article>", "a"),
+    ],
+)
+def test_quotes_and_names_inside_an_article(page, want):
+    assert html_text.main_text(html_text.lines_of(page), None) == want
+
+
+def test_the_difference_decides_where_no_marks_do(spark):
+    shared = "<p>About us</p><p>All rights reserved</p>"
+    rows = [(k, f"http://h.com/a/{k}", f"<body>{shared}<p>own words {k} {' '.join(f'x{k}y{j}' for j in range(20))}</p></body>", 5) for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, Text int")
+    with_mates = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    alone = {k: html_text.main_text(html_text.lines_of(h), None) for k, _, h, _ in rows}
+    assert all(alone[k].startswith("About us") and with_mates[k].startswith(f"own words {k}") for k in alone)
+    for n in (1, 8, 40):
+        assert {r["page_id"]: r["text"] for r in html_text.extract(pages.repartition(n)).collect()} == with_mates
+
+
 def test_differencing_deletes_what_neighbours_share(spark):
     page = lambda x: f"<div>Site name</div><p>{x}</p><div>Imprint</div>"
     rows = [(1, "http://h/a/1", page("one")), (2, "http://h/a/2", page("two")), (3, "http://other/x", page("alone")), (4, None, None), (5, "http://h/a/3", "")]
