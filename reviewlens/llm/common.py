@@ -109,7 +109,7 @@ def in_python(df: DataFrame, run, schema) -> DataFrame:
 
 
 #: Bytes of an Arrow batch of texts, unless a single row has more.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 # --- columns ---------------------------------------------------------------

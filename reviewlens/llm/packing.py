@@ -17,7 +17,7 @@ from reviewlens.llm.common import _LOWER, in_python, keep, ranked, text_buffers,
 
 #: Bytes of text that are tokenized at once, and words whose ids a task remembers; they bound memory, not results.
 SLICE_BYTES = 2 << 20
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class WordTokens:
@@ -153,7 +153,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: st
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         tokens = WordTokens(spec)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 2):
+            for part in slices(batch, "text", SLICE_BYTES // 4):
                 ids, first = tokens(*text_buffers(part.column(1)))
                 keys, out = part.column(0), []
                 for i in range(part.num_rows):
@@ -215,11 +215,11 @@ def bins_of(places: list[Place]) -> int:
 
 
 #: (groups, the share of a bin that a configuration may leave empty), tried in this order.
-SCHEMES = ((20, 1.0), (60, 1.0), (20, 0.005), (60, 0.005), (0, 1.0))
+SCHEMES = ((20, 1.0), (20, 0.005), (0, 1.0), (60, 1.0), (60, 0.005))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[Place]:
-    """The grouped plan of the fewest bins among ``SCHEMES``; the first that fills all bins ends the search.
+    """The grouped plan of the fewest bins among ``SCHEMES``; one within 1/500 of the least possible ends the search.
 
     Rounding up costs about one part in the groups of the bins, which more groups lower; where a
     configuration of rounded lengths would leave much of its bins empty, its items go best-fit with
@@ -227,16 +227,17 @@ def plan(counts: dict[int, int], capacity: int) -> list[Place]:
     """
     least = -(-sum(x * n for x, n in counts.items()) // capacity)
     best: list[Place] | None = None
+    solved: dict = {}
     for groups, waste in SCHEMES:
-        found = grouped_plan(counts, capacity, groups, waste=waste)
+        found = grouped_plan(counts, capacity, groups, waste=waste, solved=solved)
         if best is None or bins_of(found) < bins_of(best):
             best = found
-        if bins_of(best) <= least:
+        if bins_of(best) <= least + least // 500:
             break
     return best or []
 
 
-def grouped_plan(counts: dict[int, int], capacity: int, groups: int = 20, small: int = 8, waste: float = 1.0) -> list[Place]:
+def grouped_plan(counts: dict[int, int], capacity: int, groups: int = 20, small: int = 8, waste: float = 1.0, solved: dict | None = None) -> list[Place]:
     """Places for ``counts[length]`` items of each length: (length, first rank, end rank, first bin, items a bin, offset).
 
     Item ``r`` of a length, first rank <= r < end rank, goes to bin ``first bin + (r - first rank) // items``
@@ -277,7 +278,10 @@ def grouped_plan(counts: dict[int, int], capacity: int, groups: int = 20, small:
                 queues[-1].append([x, rank, n])
                 left, rank, room = left - n, rank + n, room - n
         sizes = [q[0][0] for q in queues]
-        for pattern, times in configurations(sizes, [sum(r[2] for r in q) for q in queues], capacity):
+        solved = {} if solved is None else solved  # configurations by groups, which several schemes share
+        if groups not in solved:
+            solved[groups] = configurations(sizes, [sum(r[2] for r in q) for q in queues], capacity)
+        for pattern, times in solved[groups]:
             if capacity - sum(n * x for n, x in zip(pattern, sizes, strict=True)) > waste * capacity:
                 continue
             slots = []  # for each slot: its runs of (length, rank, items)
