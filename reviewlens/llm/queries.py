@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import html_text, language, media, mixing, ngram_join, packing, quality, sharding, substrings, url_filter
+from reviewlens.llm import byte_bpe, html_text, language, media, mixing, ngram_join, packing, periodic, quality, sharding, substrings, url_filter, whitening
 from reviewlens.llm.common import keep, table
 
 #: Fixed values of the URL query: (action, host, path).
@@ -92,4 +92,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "rate")
 
 
-ALL = [op1_sharding, op2_html_text, op3_url_filter, op4_quality, op5_ngram_join, op6_media, op7_packing, op8_language, op9_substrings, op10_mixing]
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, and the bytes that they decode to."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return done.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of repeated words, a tenth of the documents with a repeated tail, and what is left without the repetitions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = periodic.collapse(docs, key="doc_id", least=6, times=4, tail=periodic.repeated_tail, outputs=False)
+    return done.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite vector on the first four whitened components of all distinct ones."""
+    done = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", components=4, scale=256)
+    # a long holds it up to some 100 million vectors; beyond it is null here, and whole in the operator's decimal
+    return done.select("vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+ALL = [op1_sharding, op2_html_text, op3_url_filter, op4_quality, op5_ngram_join, op6_media, op7_packing, op8_language, op9_substrings, op10_mixing, op11_byte_bpe, op12_periodic_runs, op13_whitening]
