@@ -100,12 +100,42 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
+def impact_of_many(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """GR4, U2, U3 for many seeds in one search: (``seed``, ``id``, ``depth``) of what reaches each seed in at most ``depth`` steps back, CONTAINS aside.
+
+    Seeds (``id``) are numbered; 64 share a word, in which each has a bit. A level joins the frontier's
+    words with the edges once, whatever the number of seeds, merges them with ``bit_or`` before and after
+    the shuffle, and takes away the bits that were seen; the new bits are the level's result.
+    """
+    spark = edges.sparkSession
+    # numbers of one partition follow each other, so words are full but for the last of each
+    numbered = seeds.select(F.col("id").alias("seed")).distinct().withColumn("number", F.monotonically_increasing_id())
+    numbered = _cut(numbered.select("seed", F.shiftright("number", 6).alias("word"), (F.col("number") % 64).cast("int").alias("bit")))
+    back = _cut(edges.where("type != 'CONTAINS'").select("src", "dst").distinct())
+    level = numbered.groupBy(F.col("seed").alias("id"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    seen, out = level, []
+    for d in range(1, depth + 1):
+        reached = back.join(level.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
+        old = seen.withColumnRenamed("bits", "old")
+        level = reached.join(old, ["id", "word"], "left").select("id", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits")).where("bits != 0")
+        level = _cut(level)
+        out.append(level.withColumn("depth", F.lit(d)))
+        seen = _cut(seen.unionByName(level).groupBy("id", "word").agg(F.bit_or("bits").alias("bits")))
+    if not out:
+        return spark.createDataFrame([], "seed string, id string, depth int")
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    # a word's seeds: at most 64 rows for each of its bits
+    return every.join(numbered, "word").where(F.expr("shiftright(bits, bit) & 1L") == 1).select("seed", "id", "depth")
+
+
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
         if not folder:
-            return df
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
@@ -113,32 +143,45 @@ def _cut(df: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """GR5: the edges of a shortest path over all types, in order; no rows where there is none.
 
-    A frontier loop without a bound, until the goal is met or nothing new is reached: every newly
-    reached node keeps its smallest predecessor, so a level is one join and one aggregate; the path is
-    read back from the levels. What was seen is cut from its lineage every eighth level.
+    Of all shortest paths the one whose nodes, read from the start, come first. The search goes on from both
+    ends, always by the smaller frontier, so each end goes about half of the levels and meets far fewer
+    nodes; a level is one join and one aggregate, cut from its lineage, and its size decides what is next.
+    Where the frontiers share nodes, these are traced back to the start, level by level, by semi-joins; the
+    path itself is then one node a step, looked up in what was traced or, past the meeting, in the goal's levels.
     """
     spark = edges.sparkSession
+    schema = "step int, src string, dst string, type string, line int"
+    if start == goal:
+        return spark.createDataFrame([], schema)
     step = _cut(edges.groupBy("src", "dst").agg(F.min(F.struct("type", "line")).alias("e")))
-    seen = spark.createDataFrame([(start,)], "id string")
-    frontier, levels, found = seen, [], start == goal
-    while not found:
-        out = step.join(frontier.withColumnRenamed("id", "src"), "src").join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        level = _cut(out.groupBy("dst").agg(F.min(F.struct("src", "e")).alias("via")).select("dst", "via.src", F.col("via.e.type").alias("type"), F.col("via.e.line").alias("line")))
-        levels.append(level)
-        found = bool(level.where(F.col("dst") == goal).limit(1).count())
-        frontier = level.select(F.col("dst").alias("id"))
-        if not found and not frontier.limit(1).count():
-            break
-        seen = seen.unionByName(frontier)
-        if not len(levels) % 8:
-            seen = _cut(seen)
-    path, at = [], goal
-    if found:
-        for k, level in reversed(list(enumerate(levels))):
-            r = level.where(F.col("dst") == at).first()
-            path.append((k, r["src"], r["dst"], r["type"], r["line"]))
-            at = r["src"]
-    return spark.createDataFrame(path[::-1], "step int, src string, dst string, type string, line int")
+    levels = [[spark.createDataFrame([(x,)], "id string")] for x in (start, goal)]
+    seen, sizes, met = [levels[0][0], levels[1][0]], [1, 1], None
+    while met is None:
+        side = 0 if sizes[0] <= sizes[1] else 1
+        near, far = ("src", "dst") if side == 0 else ("dst", "src")
+        out = step.join(levels[side][-1].withColumnRenamed("id", near), near, "left_semi").select(F.col(far).alias("id")).distinct()
+        level = _cut(out.join(seen[side], "id", "left_anti"))
+        sizes[side] = level.count()
+        if not sizes[side]:
+            return spark.createDataFrame([], schema)
+        levels[side].append(level)
+        seen[side] = _cut(seen[side].unionByName(level)) if len(levels[side]) % 8 == 0 else seen[side].unionByName(level)
+        both = level.join(levels[1 - side][-1], "id", "left_semi")
+        if both.limit(1).count():
+            met = _cut(both)
+    # the meeting's nodes, and of the start's levels those that lead to them
+    ahead = [met]
+    for level in reversed(levels[0][1:-1]):
+        onto = step.join(ahead[0].withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+        ahead.insert(0, _cut(level.join(onto, "id", "left_semi")))
+    ways, path, at = [*ahead, *reversed(levels[1][:-1])], [], start
+    if len(levels[0]) == 1:
+        ways = list(reversed(levels[1][:-1]))
+    for k, way in enumerate(ways):
+        r = step.where(F.col("src") == at).join(way.withColumnRenamed("id", "dst"), "dst", "left_semi").orderBy("dst").first()
+        path.append((k, at, r["dst"], r["e"]["type"], r["e"]["line"]))
+        at = r["dst"]
+    return spark.createDataFrame(path, schema)
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import insort
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +65,56 @@ def weight(content: Column, tokens: Column) -> Column:
     return F.greatest(F.length(content), tokens * CHARS_A_TOKEN)
 
 
+class OpenBins:
+    """Bins that may take more, in order of (tokens, number), as a tree of two levels: blocks of some ``WIDTH`` bins, each with its fewest characters.
+
+    Blocks without room are passed over whole, and only the block of a change is gone through.
+    """
+
+    WIDTH = 256
+
+    def __init__(self):
+        self.blocks: list[list[tuple[int, int, int, int]]] = []
+        self.least: list[int] = []
+        self.first: list[tuple[int, int]] = []
+
+    def take(self, most_tokens: int, most_chars: int) -> tuple[int, int, int, int] | None:
+        """Removes and returns the first bin of at most so many tokens and characters."""
+        for k, block in enumerate(self.blocks):
+            if self.first[k][0] > most_tokens:
+                return None
+            if self.least[k] > most_chars:
+                continue
+            for i, b in enumerate(block):
+                if b[0] > most_tokens:
+                    return None
+                if b[2] <= most_chars:
+                    del block[i]
+                    self._note(k)
+                    return b
+        return None
+
+    def add(self, b: tuple[int, int, int, int]) -> None:
+        k = max(bisect_right(self.first, b[:2]) - 1, 0)
+        if not self.blocks:
+            self.blocks, self.least, self.first = [[]], [0], [b[:2]]
+        insort(self.blocks[k], b)
+        if len(self.blocks[k]) > 2 * self.WIDTH:
+            rest = self.blocks[k][self.WIDTH :]
+            del self.blocks[k][self.WIDTH :]
+            self.blocks.insert(k + 1, rest)
+            self.least.insert(k + 1, 0)
+            self.first.insert(k + 1, rest[0][:2])
+            self._note(k + 1)
+        self._note(k)
+
+    def _note(self, k: int) -> None:
+        if self.blocks[k]:
+            self.least[k], self.first[k] = min(b[2] for b in self.blocks[k]), self.blocks[k][0][:2]
+        else:
+            del self.blocks[k], self.least[k], self.first[k]
+
+
 def pack_list(items: list[tuple[int, int]], most_files: int, most_chars: int, most_tokens: int, soft_tokens: int) -> list[int]:
     """PK2: the bin of each (chars, tokens), given heaviest first.
 
@@ -72,24 +122,16 @@ def pack_list(items: list[tuple[int, int]], most_files: int, most_chars: int, mo
     filled one that can, else to a new one. Bins under the target are less filled than all others, so
     that is the first that can in order of (tokens, number); full ones leave the order.
     """
-    order: list[tuple[int, int, int, int]] = []  # tokens, number, chars, files
-    out, bins = [], 0
+    bins, out, used = OpenBins(), [], 0
     for chars, tokens in items:
-        at = None
-        for k, (t, _, c, _) in enumerate(order):
-            if t + tokens > most_tokens:
-                break
-            if c + chars <= most_chars:
-                at = k
-                break
-        if at is None:
-            t, number, c, n = 0, bins, 0, 0
-            bins += 1
-        else:
-            t, number, c, n = order.pop(at)
+        found = bins.take(most_tokens - tokens, most_chars - chars)
+        if found is None:
+            found = (0, used, 0, 0)
+            used += 1
+        t, number, c, n = found
         out.append(number)
         if n + 1 < most_files:
-            insort(order, (t + tokens, number, c + chars, n + 1))
+            bins.add((t + tokens, number, c + chars, n + 1))
     return out
 
 
@@ -165,19 +207,23 @@ def split_entry(content: str, tokens: int, most_chars: int = MOST_CHARS, most_to
     return [head + "".join(pieces[a:b]) for a, b in runs([len(p) for p in pieces], room)]
 
 
+class SplitEntry:
+    """PK3 as a table function: an entry's parts, in order, one row each."""
+
+    def eval(self, content: str, tokens: int, most_chars: int, most_tokens: int):
+        for part, text in enumerate(split_entry(content, tokens, most_chars, most_tokens)):
+            yield part, text, max(1, len(text) // CHARS_A_TOKEN)
+
+
 def split_oversized(entries: DataFrame, most_chars: int = MOST_CHARS, most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """PK3, PK4 over a table: entries within the budget pass; the others go through Python, a row for each part."""
+    """PK3, PK4 over a table: entries within the budget pass; each of the others joins its parts, which a table function gives, laterally."""
     tokens = estimated_tokens(F.col("content"), F.col("token_count"))
     large = (F.length("content") > most_chars) | (tokens > most_tokens)
     small = entries.where(~large).select("review_id", "ord", F.lit(0).alias("part"), "file_path", "content", F.col("token_count").cast("int").alias("token_count"))
-
-    def run(frames):
-        for f in frames:
-            rows = [(r.review_id, r.ord, k, r.file_path, p, max(1, len(p) // CHARS_A_TOKEN)) for r in f.itertuples() for k, p in enumerate(split_entry(r.content, r.tokens, most_chars, most_tokens))]
-            yield pd.DataFrame(rows, columns=["review_id", "ord", "part", "file_path", "content", "token_count"])
-
-    parts = entries.where(large).withColumn("tokens", tokens).select("review_id", "ord", "file_path", "content", "tokens")
-    return small.unionByName(parts.mapInPandas(run, "review_id string, ord long, part int, file_path string, content string, token_count int"))
+    parts = F.udtf(SplitEntry, returnType="part int, text string, parts_tokens int")
+    over = entries.where(large).select("review_id", "ord", "file_path", "content", tokens.alias("tokens"))
+    each = over.lateralJoin(parts(F.col("content").outer(), F.col("tokens").outer(), F.lit(most_chars), F.lit(most_tokens)))
+    return small.unionByName(each.select("review_id", "ord", "part", "file_path", F.col("text").alias("content"), F.col("parts_tokens").alias("token_count")))
 
 
 def compact(entries: DataFrame) -> DataFrame:

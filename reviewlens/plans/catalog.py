@@ -259,12 +259,6 @@ def chunk_ffd(spark, d):
     return packing.chunks(a.files(spark, d))
 
 
-@query
-def hunk_split(spark, d):
-    e = a.diffs(spark, d).select("review_id", "ord", "file_path", F.col("diff_text").alias("content"), F.lit(0).alias("token_count"))
-    return packing.split_oversized(e, 2000, 500).select("file_path", "part", F.length("content").alias("n"), "token_count")
-
-
 @query
 def chunk_compact(spark, d):
     return packing.compact(packing.chunks(a.files(spark, d))).select("review_id", "chunk", F.md5("text").alias("text"))
@@ -605,4 +599,4 @@ def retry_delays(spark, d):
     return e.groupBy("attempt", "kind", errors.retry_delay(F.col("attempt"), F.col("kind")).alias("seconds")).agg(F.count(F.lit(1)).alias("n"))
 
 
-from reviewlens.plans import catalog_more  # noqa: E402, F401  its queries join these
+from reviewlens.plans import catalog_more, catalog_scale  # noqa: E402, F401  their queries join these
