@@ -107,10 +107,20 @@ def nearest_hunk(points: DataFrame, headers: DataFrame, diff: str = "review_id")
 
 
 def overlapping(ranges: DataFrame, changed: DataFrame, diff: str = "review_id") -> DataFrame:
-    """F16: ranges (``start_line``, ``end_line``) that hold a changed line; all, where a diff changes none."""
-    lists = changed.groupBy(diff).agg(F.collect_set("file_line").alias("_lines"))
-    out = ranges.join(lists, diff, "left")
-    return out.where(F.col("_lines").isNull() | F.exists("_lines", lambda x: x.between(F.col("start_line"), F.col("end_line")))).drop("_lines")
+    """F16: ranges (``start_line``, ``end_line``) that hold a changed line; all, where a diff changes none.
+
+    A sweep: a diff's changed lines and its ranges' starts lie in one order of lines, and the next changed line
+    from a start on, carried back from behind, must not pass the range's end. No list of lines is made; the
+    diffs that change nothing are the ranges' diffs without any changed line.
+    """
+    own = [F.col(c) for c in ranges.columns]
+    # of equal lines the start comes first, so that the line itself is behind it
+    starts = ranges.select(F.col(diff).alias("_d"), F.col("start_line").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.struct(*own).alias("_row"))
+    lines = changed.select(F.col(diff).alias("_d"), F.col("file_line").cast("long").alias("_at")).where("_at is not null").distinct().select("_d", "_at", F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_row"].dataType).alias("_row"))
+    behind = Window.partitionBy("_d").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    point = F.when(F.col("_kind") == 1, F.col("_at"))
+    swept = starts.unionByName(lines).withColumns({"_next": F.last(point, ignorenulls=True).over(behind), "_any": F.max("_kind").over(Window.partitionBy("_d"))})
+    return swept.where((F.col("_kind") == 0) & ((F.col("_any") == 0) | (F.col("_next") <= F.col("_row.end_line")))).select("_row.*")
 
 
 def relevant(full: Column, part: Column, share: float = 0.85) -> Column:

@@ -280,29 +280,27 @@ def vocab_top512(spark, d):
 
 @query
 def tfidf_weights(spark, d):
-    docs = a.table(spark, d, "documents")
-    n = docs.count()
-    return retrieval.weights(docs, retrieval.vocabulary(retrieval.terms(docs), n), n).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return retrieval.weighed(a.table(spark, d, "documents"))[1].select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def _first_document(docs, index):
+    return index.join(docs.agg(F.min("doc_id").alias("doc_id")), "doc_id").select("term", "weight")
 
 
 @query
 def semantic_search_topk(spark, d):
     docs = a.table(spark, d, "documents")
-    n = docs.count()
-    index = retrieval.weights(docs, retrieval.vocabulary(retrieval.terms(docs), n), n)
-    q = index.join(docs.agg(F.min("doc_id").alias("doc_id")), "doc_id").select("term", "weight")
-    return retrieval.search_terms(index, q, 10).select("doc_id", F.round("score", 6).alias("score"))
+    index = retrieval.weighed(docs)[1]
+    return retrieval.search_terms(index, _first_document(docs, index), 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query
 def related_code(spark, d):
     docs = a.table(spark, d, "documents")
-    n = docs.count()
-    index = retrieval.weights(docs, retrieval.vocabulary(retrieval.terms(docs), n), n)
-    first = docs.agg(F.min("doc_id").alias("doc_id"))
+    index = retrieval.weighed(docs)[1]
     chunks = docs.select("doc_id", F.col("source").alias("file_path"))
-    own = chunks.join(first, "doc_id").first()["file_path"]
-    return retrieval.related(index, chunks, index.join(first, "doc_id").select("term", "weight"), own, 10, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    own = chunks.join(docs.agg(F.min("doc_id").alias("doc_id")), "doc_id").first()["file_path"]
+    return retrieval.related(index, chunks, _first_document(docs, index), own, 10, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query

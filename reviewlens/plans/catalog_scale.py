@@ -8,6 +8,7 @@ from reviewlens.operators import diff, graph, packing, retrieval
 from reviewlens.plans import adapters as a
 from reviewlens.plans import oracles_scale
 from reviewlens.plans.catalog import ORACLE_SQL, QUERIES, _target, query
+from reviewlens.sources.shared import written
 from reviewlens.streaming import tasks
 
 #: Seeds of the impact query, and queries of the vector search: every one whose number divides.
@@ -36,4 +37,21 @@ def graph_path(spark, d):
     return graph.shortest_path(e, e.agg(F.min("src")).first()[0], _target(e)).select("step", "src", "dst", "type")
 
 
+@query
+def indexed_search_topk(spark, d):
+    """RET6: the search of ``semantic_search_topk`` from a stored inverted index."""
+    docs = a.table(spark, d, "documents")
+    weights = written(retrieval.weighed(docs)[1], "weights")
+    index = retrieval.TermIndex(weights)
+    return index.search(weights.join(docs.agg(F.min("doc_id").alias("doc_id")), "doc_id"), 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def vectors_topk_of_many(spark, d):
+    """RET4, T1: the five nearest vectors of every twentieth vector."""
+    v = a.table(spark, d, "embeddings")
+    found = retrieval.VectorIndex(v).search(v.where(F.col("vec_id") % EVERY == 0), 5)
+    return found.select("query", "nth", F.col("id").alias("vec_id"), F.round("score", 4).alias("score"))
+
+
 ORACLE_SQL |= {k: v for k, v in oracles_scale.SQL.items() if k in QUERIES}

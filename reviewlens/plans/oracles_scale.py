@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from reviewlens.plans.adapters import V_EDGES, V_FILES, V_LINES
+from reviewlens.plans.oracles import SQL as CORE
 from reviewlens.plans.oracles import TARGET
 
 SQL: dict[str, str] = {}
@@ -44,3 +45,9 @@ node as materialized (select fd.id, fd.d from fd join bd using (id), best where
 way as (select 0 as step, s.id as src, (select min(e.dst) from e join node on node.id = e.dst and node.d = 1 where e.src = s.id) as dst from s, best where best.n > 0
  union all select step + 1, dst, (select min(e.dst) from e join node on node.id = e.dst where e.src = way.dst and node.d = way.step + 2) from way, best where step + 1 < best.n)
 select step::int as step, src, dst, 'CALLS' as type from way"""
+
+SQL["indexed_search_topk"] = CORE["semantic_search_topk"]
+
+SQL["vectors_topk_of_many"] = """with s as (select q.vec_id as query, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: z[1]::double * z[2]::double)) as score from embeddings q, embeddings v where q.vec_id % 20 = 0),
+n as (select *, row_number() over (partition by query order by round(score, 9) desc, vec_id) as nth from s)
+select query, nth::int as nth, vec_id, round(score, 4) as score from n where nth <= 5"""

@@ -110,3 +110,63 @@ def test_parts_of_an_entry_are_rows(spark):
     assert len(parts) > 3 and [r.content for r in got if r.ord == 1] == parts and [r.part for r in got if r.ord == 1] == list(range(len(parts)))
     assert [(r.content, r.token_count) for r in got if r.ord == 2] == [("short", 7)]
     assert [r.content for r in got if r.ord == 3] == ["z" * 300]
+
+
+def test_an_index_finds_what_a_full_search_finds(spark, monkeypatch):
+    from reviewlens.operators import retrieval
+
+    monkeypatch.setattr(retrieval.TermIndex, "BLOCK", 8)
+    monkeypatch.setattr(retrieval.TermIndex, "FIRST", 2)
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(rng.choices(words, [1 / (1 + (i - k % 6 * 10) % 60) for i in range(60)], k=30))) for k in range(600)]
+    docs += [(600 + k, docs[5][1]) for k in range(40)] + [(700, None), (701, "")]
+    weights = retrieval.weighed(spark.createDataFrame(docs, "doc_id long, text string"))[1].cache()
+    index = retrieval.TermIndex(weights)
+    for d, k in ((5, 10), (17, 1), (3, 60), (44, 1000)):
+        query = weights.where(weights.doc_id == d).select("term", "weight")
+        got, want = index.search(query, k).collect(), retrieval.search_terms(weights, query, k).collect()
+        assert [(r.doc_id, round(r.score, 9)) for r in got] == [(r.doc_id, round(r.score, 9)) for r in want]
+    index.search(weights.where("doc_id = 5").select("term", "weight"), 10).collect()
+    read, there = index.reads()
+    assert 0 < read < 0.7 * there
+    assert index.search(weights.where("doc_id = -1").select("term", "weight"), 3).count() == 0
+
+
+def test_many_queries_meet_only_near_cells_and_miss_nothing(spark, monkeypatch):
+    import numpy as np
+
+    from reviewlens.operators import retrieval
+
+    monkeypatch.setattr(retrieval.VectorIndex, "CELL", 40)
+    monkeypatch.setattr(retrieval.VectorIndex, "QUERIES", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 8))
+    x = np.concatenate([centres[k % 6] / np.linalg.norm(centres[k % 6]) + 0.02 * rng.normal(size=8) for k in range(300)] + [np.tile(centres[0], 150)]).reshape(-1, 8)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (901, [1.0, 0.0]), (902, [0.5, 2.0]), (903, [1.0, None]), (904, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = retrieval.VectorIndex(table)
+    got = {}
+    for r in index.search(table.where("vec_id % 10 = 0 or vec_id > 899"), 7).collect():
+        got.setdefault(r["query"], []).append((r["nth"], r["id"], round(r["score"], 9)))
+    valid = [(i, v) for i, v in rows if v is not None and None not in v]
+    want = {}
+    for i, q in valid:
+        if i % 10 == 0 or i > 899:
+            near = sorted((-round(float(np.dot(q, v)), 9), j) for j, v in valid if len(v) == len(q))[:7]
+            want[i] = [(n + 1, j, -s) for n, (s, j) in enumerate(near)]
+    assert {k: sorted((n, j) for n, j, _ in v) for k, v in got.items()} == {k: [(n, j) for n, j, _ in v] for k, v in want.items()}
+    assert index.left.count() < 0.5 * index.bounds.count()
+
+
+def test_ranges_that_hold_a_changed_line(spark):
+    from reviewlens.operators import diff
+
+    rng = random.Random(6)
+    changed = [(f"d{k % 5}", rng.randint(1, 40)) for k in range(30)]
+    ranges = [(f"d{k % 7}", s, s + rng.randint(-1, 4), k) for k in range(200) for s in [rng.randint(1, 45)]] + [("d1", 3, None, -1), ("d6", None, None, -2)]
+    got = diff.overlapping(spark.createDataFrame(ranges, "review_id string, start_line int, end_line int, k int"), spark.createDataFrame([*changed, ("d6", None)], "review_id string, file_line int"))
+    assert got.columns == ["review_id", "start_line", "end_line", "k"]
+    lines = {d: {n for e, n in changed if e == d} for d, _ in changed}
+    want = sorted(k for d, s, e, k in ranges if d not in lines or s is not None and e is not None and any(s <= n <= e for n in lines[d]))
+    assert sorted(r.k for r in got.collect()) == want
