@@ -39,68 +39,92 @@ def to_lines(files: DataFrame, content: str = "content", *keys: str) -> DataFram
     return files.select(*keys, F.posexplode(F.split(content, r"\r?\n")).alias("pos", "line"))
 
 
+#: Lines of a block; a diff's blocks are scanned side by side, so one huge diff fills all cores.
+BLOCK = 1 << 16
+
+
+def scanned(lines: DataFrame, diff: str, order: str, moves: Column, **marks: tuple[Column, Column]) -> DataFrame:
+    """A scan of each diff's lines in two levels: adds ``_total``, the sum of ``moves`` over the lines before, and each of ``marks``.
+
+    A mark is (where, value); its column is the last one at or before the line, as a struct of ``value`` and
+    ``total`` (``_total`` there), null before any. Blocks of ``BLOCK`` places are scanned by themselves; their
+    sums and last marks, one row for each block, are carried on along the diff and joined back.
+    """
+    here = Window.partitionBy(diff, "_block").orderBy(order)
+    local = lines.withColumns({"_block": F.floor(F.col(order) / BLOCK), "_moves": moves})
+    local = local.withColumn("_total", F.coalesce(F.sum("_moves").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    mark = lambda value, total: F.struct(value.alias("value"), total.cast("long").alias("total"))
+    local = local.withColumns({m: F.last(F.when(where, mark(value, F.col("_total"))), ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0)) for m, (where, value) in marks.items()})
+    ends = local.groupBy(F.col(diff).alias("_d"), F.col("_block").alias("_b")).agg(F.sum("_moves").alias("_sum"), *[F.max_by(m, order).alias(f"{m}_end") for m in marks])
+    earlier = Window.partitionBy("_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    whole = lambda c, base: F.when(c.isNotNull(), mark(c["value"], c["total"] + base))
+    carry = carry.select("_d", "_b", "_base", *[F.last(whole(F.col(f"{m}_end"), F.col("_base")), ignorenulls=True).over(earlier).alias(f"{m}_end") for m in marks])
+    out = local.join(carry, F.col(diff).eqNullSafe(F.col("_d")) & (F.col("_block") == F.col("_b")))
+    out = out.withColumns({"_total": F.col("_total") + F.col("_base"), **{m: F.coalesce(whole(F.col(m), F.col("_base")), F.col(f"{m}_end")) for m in marks}})
+    return out.drop("_block", "_moves", "_d", "_b", "_base", *[f"{m}_end" for m in marks])
+
+
 def line_map(lines: DataFrame, diff: str = "review_id", order: str = "pos") -> DataFrame:
     """W1, W2, JN4: for every added line of a diff, its line in the new file: (``diff``, ``file_path``, ``diff_line``, ``file_line``).
 
     A segment starts at a hunk header and ends at a file header or a line that no hunk holds; within
     it, context, added and empty lines advance. File headers are tested first, so ``+++ `` and
-    ``--- `` are never hunk lines. Windows are by diff: one diff's lines are ordered by nature.
+    ``--- `` are never hunk lines.
     """
     line = F.col("line")
     header = line.startswith("+++ ") | line.startswith("--- ")
     start = ~header & line.startswith("@@")
     body = ~header & ~start & (line.startswith("+") | line.startswith("-") | line.startswith(" ") | line.startswith("\\") | (line == ""))
-    w = Window.partitionBy(diff).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     path = F.regexp_replace(F.split(F.substr("line", F.lit(5)), "\t")[0], r"\s+$", "")
     path = F.regexp_replace(F.regexp_replace(path, "^a/", ""), "^b/", "")
-    out = lines.withColumns(
-        {
-            "_file": F.last(F.when(line.startswith("+++ "), path), ignorenulls=True).over(w),
-            "_seg": F.sum((~body).cast("int")).over(w),
-            "_start": F.when(start, F.regexp_extract(line, HUNK, 1)),
-            "_moves": (body & ~line.startswith("-") & ~line.startswith("\\")).cast("int"),
-        }
-    )
-    seg = Window.partitionBy(diff, "_seg").orderBy(order)
-    out = out.withColumns({"_new": F.first("_start").over(seg), "_before": F.coalesce(F.sum("_moves").over(seg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    added = out.where(line.startswith("+") & ~line.startswith("+++ ") & F.col("_file").isNotNull() & (F.coalesce("_new", F.lit("")) != ""))
-    return added.select(diff, F.col("_file").alias("file_path"), (F.col(order) + 1).cast("int").alias("diff_line"), (F.col("_new").cast("int") + F.col("_before")).cast("int").alias("file_line"))
+    moves = (body & ~line.startswith("-") & ~line.startswith("\\")).cast("int")
+    out = scanned(lines, diff, order, moves, _file=(line.startswith("+++ "), path), _seg=(~body, F.when(start, F.regexp_extract(line, HUNK, 1))))
+    added = out.where(line.startswith("+") & ~line.startswith("+++ ") & F.col("_file").isNotNull() & (F.coalesce("_seg.value", F.lit("")) != ""))
+    return added.select(diff, F.col("_file.value").alias("file_path"), (F.col(order) + 1).cast("int").alias("diff_line"), (F.col("_seg.value").cast("int") + F.col("_total") - F.col("_seg.total")).cast("int").alias("file_line"))
 
 
 def changed_lines(lines: DataFrame, diff: str = "review_id", order: str = "pos") -> DataFrame:
     """Added lines of the new file within their hunk's declared count; lines that start with ``++`` don't count."""
     line = F.col("line")
     start = line.rlike(STRICT_HUNK)
-    w = Window.partitionBy(diff).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = lines.withColumns({"_seg": F.sum(start.cast("int")).over(w), "_moves": (~start & (line.startswith(" ") | (line.startswith("+") & ~line.startswith("++")))).cast("int")})
-    out = out.withColumns({"_s": F.when(start, F.regexp_extract(line, STRICT_HUNK, 1).cast("int")), "_c": F.when(start, F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(line, STRICT_HUNK, 2), F.lit("")), F.lit("999999999")).cast("int"), F.lit(1)))})
-    seg = Window.partitionBy(diff, "_seg").orderBy(order)
-    out = out.withColumns({"_s": F.first("_s").over(seg), "_c": F.first("_c").over(seg), "_before": F.coalesce(F.sum("_moves").over(seg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    added = out.where((F.col("_seg") > 0) & line.startswith("+") & ~line.startswith("++") & (F.col("_before") < F.col("_c")))
-    return added.select(diff, (F.col("_s") + F.col("_before")).cast("int").alias("file_line")).distinct()
+    count = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(line, STRICT_HUNK, 2), F.lit("")), F.lit("999999999")).cast("int"), F.lit(1))
+    moves = (~start & (line.startswith(" ") | (line.startswith("+") & ~line.startswith("++")))).cast("int")
+    out = scanned(lines, diff, order, moves, _hunk=(start, F.struct(F.regexp_extract(line, STRICT_HUNK, 1).cast("int").alias("s"), count.alias("c"))))
+    before = F.col("_total") - F.col("_hunk.total")
+    added = out.where(F.col("_hunk").isNotNull() & line.startswith("+") & ~line.startswith("++") & (before < F.col("_hunk.value.c")))
+    return added.select(diff, (F.col("_hunk.value.s") + before).cast("int").alias("file_line")).distinct()
 
 
 def hunk_headers(lines: DataFrame, diff: str = "review_id", order: str = "pos") -> DataFrame:
     """Every hunk header with its file: (``diff``, ``file_path``, ``header_line`` from 1, ``new_start``)."""
-    w = Window.partitionBy(diff).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     path = F.regexp_replace(F.regexp_replace(F.substr("line", F.lit(5)), "^a/", ""), "^b/", "")
-    out = lines.withColumn("_file", F.last(F.when(F.col("line").startswith("+++ "), path), ignorenulls=True).over(w))
+    out = scanned(lines, diff, order, F.lit(0), _file=(F.col("line").startswith("+++ "), path))
     out = out.where(F.col("line").startswith("@@ ")).withColumn("_n", F.regexp_extract("line", HUNK, 1)).where("_n != '' and _file is not null")
-    return out.select(diff, F.col("_file").alias("file_path"), (F.col(order) + 1).cast("int").alias("header_line"), F.col("_n").cast("int").alias("new_start"))
+    return out.select(diff, F.col("_file.value").alias("file_path"), (F.col(order) + 1).cast("int").alias("header_line"), F.col("_n").cast("int").alias("new_start"))
 
 
 def nearest_hunk(points: DataFrame, headers: DataFrame, diff: str = "review_id") -> DataFrame:
     """JN6: for each point (``diff``, ``file_path``, ``diff_line``) the start of the nearest hunk, the earlier on ties.
 
     The nearest header is the last at or before the point or the first after it, so instead of
-    pairing points with all headers of a file, both are merged in order and two windows carry them.
+    pairing points with all headers of a file, both are merged in order and two windows carry them, within blocks
+    and then from block to block.
     """
     both = points.select(diff, "file_path", F.col("diff_line").alias("at"), F.lit(None).cast("int").alias("new_start"), F.lit(1).alias("kind")).unionByName(
         headers.select(diff, "file_path", F.col("header_line").alias("at"), "new_start", F.lit(0).alias("kind"))
     )
     head = F.when(F.col("kind") == 0, F.struct("at", "new_start"))
-    w = Window.partitionBy(diff, "file_path").orderBy("at", "kind")
-    out = both.withColumns({"_b": F.last(head, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first(head, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("kind = 1")
+    key = [diff, "file_path"]
+    both = both.withColumn("_block", F.floor(F.col("at") / BLOCK))
+    w = Window.partitionBy(*key, "_block").orderBy("at", "kind")
+    out = both.withColumns({"_b": F.last(head, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first(head, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    # beyond a block: the last header of those before it, the first of those behind
+    ends = both.groupBy(F.col(diff).alias("_d"), F.col("file_path").alias("_f"), F.col("_block").alias("_k")).agg(F.max_by(head, F.when(F.col("kind") == 0, F.col("at"))).alias("_last"), F.min_by(head, F.when(F.col("kind") == 0, F.col("at"))).alias("_first"))
+    blocks = Window.partitionBy("_d", "_f").orderBy("_k")
+    carry = ends.select("_d", "_f", "_k", F.last("_last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    out = out.where("kind = 1").join(carry, F.col(diff).eqNullSafe(F.col("_d")) & F.col("file_path").eqNullSafe(F.col("_f")) & (F.col("_block") == F.col("_k")))
+    out = out.withColumns({"_b": F.coalesce("_b", "_earlier"), "_a": F.coalesce("_a", "_later")})
     before, after = F.col("at") - F.col("_b.at"), F.col("_a.at") - F.col("at")
     near = F.when(F.col("_b").isNull(), F.col("_a.new_start")).when(F.col("_a").isNull() | (before <= after), F.col("_b.new_start")).otherwise(F.col("_a.new_start"))
     return out.select(diff, "file_path", F.col("at").alias("diff_line"), near.alias("hunk_start"))

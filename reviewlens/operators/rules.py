@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from reviewlens.operators.diff import scanned
 
 # The patterns that decide what a rule finds.
 SQL_CONCAT = r"""(?i)("\s*\+\s*\w+.*(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE))|((?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE).*\+\s*")"""
@@ -93,5 +94,5 @@ def deepest_indent(lines: DataFrame, most: int = MOST_INDENT) -> DataFrame:
 
 def with_current_file(lines: DataFrame) -> DataFrame:
     """``current_file``, the path of the last ``+++ b/`` line at or before each line of its diff."""
-    path = F.when(F.col("line").startswith("+++ b/"), F.substr("line", F.lit(7)))
-    return lines.withColumn("current_file", F.last(path, ignorenulls=True).over(Window.partitionBy("review_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    out = scanned(lines, "review_id", "pos", F.lit(0), _path=(F.col("line").startswith("+++ b/"), F.substr("line", F.lit(7))))
+    return out.withColumn("current_file", F.col("_path.value")).drop("_path", "_total")

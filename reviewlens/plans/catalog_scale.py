@@ -54,4 +54,34 @@ def vectors_topk_of_many(spark, d):
     return found.select("query", "nth", F.col("id").alias("vec_id"), F.round("score", 4).alias("score"))
 
 
+def _stateful(spark, stream, name):
+    """Runs a stream on the state store that keyed state and timers need; the session's own is put back."""
+    setting, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, provider)
+    try:
+        return tasks.run_to_table(stream, name)
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+
+
+@query
+def stream_dead_letters(spark, d):
+    """ST2: messages that die by timer: events wait for ten minutes, and those of a purchase are taken at once."""
+    e = tasks.stream_table(spark, d, "events.parquet", spark.read.parquet(f"{d}/events.parquet").schema)
+    m = e.select(F.col("event_id").cast("string").alias("message_id"), "event_type", "ts", F.explode(F.when(F.col("event_type") == "purchase", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("taken"))
+    dead = _stateful(spark, tasks.dead_letters(m, "event_type"), "dead")
+    return dead.select(F.col("message_id").cast("long").alias("event_id"), "queue", F.unix_timestamp("died_at").alias("died_at"))
+
+
+@query
+def stream_conflicts(spark, d):
+    """ST4: created, duplicate and conflicting requests as a stream."""
+    e = tasks.stream_table(spark, d, "events.parquet", spark.read.parquet(f"{d}/events.parquet").schema)
+    r = e.select(F.concat(F.lit("k"), "user_id").alias("key"), F.col("event_type").alias("request_hash"), F.col("event_id").alias("ord"), "ts")
+    # requests of all time count, as in the batch
+    out = _stateful(spark, tasks.idempotent_stream(r, 10 * 365 * 24 * 60), "conflicts")
+    return out.groupBy("key", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 ORACLE_SQL |= {k: v for k, v in oracles_scale.SQL.items() if k in QUERIES}

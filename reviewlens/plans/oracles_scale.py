@@ -51,3 +51,7 @@ SQL["indexed_search_topk"] = CORE["semantic_search_topk"]
 SQL["vectors_topk_of_many"] = """with s as (select q.vec_id as query, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: z[1]::double * z[2]::double)) as score from embeddings q, embeddings v where q.vec_id % 20 = 0),
 n as (select *, row_number() over (partition by query order by round(score, 9) desc, vec_id) as nth from s)
 select query, nth::int as nth, vec_id, round(score, 4) as score from n where nth <= 5"""
+
+SQL["stream_dead_letters"] = """select event_id, event_type as queue, (epoch_us(ts) // 1000000)::bigint + 600 as died_at from events where event_type <> 'purchase' and ts + interval 10 minute <= (select max(ts) from events)"""
+
+SQL["stream_conflicts"] = CORE["task_idempotent"]

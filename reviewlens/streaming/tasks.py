@@ -59,6 +59,112 @@ def split_dead(tasks: DataFrame, now: Column, minutes: int = TASK_MINUTES) -> tu
     return tasks.where(~late).orderBy(F.desc("priority"), "created"), tasks.where(late)
 
 
+class Expiry(StatefulProcessor):
+    """ST2 as a stream: the messages that wait, each with the millisecond in which it dies, and a timer for the first of these.
+
+    A message that is taken leaves the list. When event time has passed the timer, what is due is emitted as dead
+    letters, and the timer is set for the next. The list is read and written once a batch or timer.
+    """
+
+    def __init__(self, minutes: int):
+        self.after = minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.waiting = handle, handle.getListState("waiting", "message_id string, died_at bigint")
+
+    def _set(self, left: dict[str, int], timer: int | None) -> None:
+        if left:
+            self.waiting.put(list(left.items()))
+        elif self.waiting.exists():
+            self.waiting.clear()
+        first = min(left.values(), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        left = dict(self.waiting.get()) if self.waiting.exists() else {}
+        timer, taken = min(left.values(), default=None), []
+        for frame in rows:
+            frame = frame[frame["message_id"].notna()]
+            fresh = frame[~frame["taken"]]
+            at = fresh["ts"].to_numpy().astype("datetime64[ms]").astype("int64") + self.after
+            left.update(zip(fresh["message_id"], at.tolist(), strict=True))
+            taken += frame.loc[frame["taken"], "message_id"].tolist()
+        # a message may come after its own taking in a batch
+        for m in taken:
+            left.pop(m, None)
+        self._set(left, timer)
+        yield self._letters(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, waiting = timerValues.getCurrentWatermarkInMs(), dict(self.waiting.get()) if self.waiting.exists() else {}
+        self._set({m: at for m, at in waiting.items() if at > now}, None)
+        yield self._letters(key, [(m, at) for m, at in waiting.items() if at <= now])
+
+    @staticmethod
+    def _letters(key, dead: list[tuple[str, int]]) -> pd.DataFrame:
+        out = pd.DataFrame({"queue": [key[0]] * len(dead), "message_id": [m for m, _ in dead], "died_at": pd.to_datetime([at for _, at in dead], unit="ms")})
+        return out.astype({"queue": object, "message_id": object, "died_at": "datetime64[ns]"})
+
+    def close(self) -> None:
+        pass
+
+
+def dead_letters(messages: DataFrame, queue: str, minutes: int = TASK_MINUTES, late: str = "0 seconds", spread: int = 16) -> DataFrame:
+    """ST2 as a stream: (``message_id``, ``queue``, ``ts``, ``taken``) to the messages that nobody took in time, once event time has reached their end.
+
+    Needs the RocksDB state store. A queue's messages wait in ``spread`` lists by their id, so that a full
+    queue is not one task's.
+    """
+    seen = messages.withWatermark("ts", late).select(F.col(queue).cast("string").alias("queue"), F.pmod(F.xxhash64("message_id"), F.lit(spread)).alias("part"), "message_id", "ts", "taken")
+    return seen.groupBy("queue", "part").transformWithStateInPandas(Expiry(minutes), "queue string, message_id string, died_at timestamp", "Append", "EventTime")
+
+
+class Requests(StatefulProcessor):
+    """ST4 as a stream: the hash of a key's first request, until a timer of event time ends its life; requests are compared a batch of rows at a time."""
+
+    def __init__(self, minutes: int):
+        self.live = minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.first = handle, handle.getValueState("first", "request_hash string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame.sort_values("ord", kind="stable")
+            outcome = pd.Series("duplicate", frame.index)
+            made = not self.first.exists()
+            if made:
+                self.first.update((frame["request_hash"].iloc[0],))
+                self.handle.registerTimer(int(frame["ts"].iloc[0].timestamp() * 1000) + self.live)
+            first = self.first.get()[0]
+            same = frame["request_hash"].isna() if first is None else frame["request_hash"] == first
+            outcome[~same] = "conflict"
+            if made:
+                outcome.iloc[0] = "created"
+            yield pd.DataFrame({"key": key[0], "ord": frame["ord"], "outcome": outcome})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        yield pd.DataFrame({"key": [], "ord": [], "outcome": []}).astype({"key": object, "ord": "int64", "outcome": object})
+
+    def close(self) -> None:
+        pass
+
+
+def idempotent_stream(requests: DataFrame, minutes: int = 24 * 60, late: str = "0 seconds") -> DataFrame:
+    """ST4 as a stream: (``key``, ``request_hash``, ``ord``, ``ts``) with ``outcome``, as ``idempotent`` gives it: the first to arrive creates.
+
+    A key is free again when event time is ``minutes`` past its first request. Within what Spark hands over at a
+    time the order is ``ord``; a hot key passes through as a stream of slices. Needs the RocksDB state store.
+    """
+    narrow = requests.withWatermark("ts", late).select(F.col("key").cast("string").alias("key"), "request_hash", F.col("ord").cast("long").alias("ord"), "ts")
+    return narrow.groupBy("key").transformWithStateInPandas(Requests(minutes), "key string, ord long, outcome string", "Append", "EventTime")
+
+
 def idempotent(requests: DataFrame) -> DataFrame:
     """ST4: (``key``, ``request_hash``, ``ord``) with ``outcome``: created, duplicate, or conflict where the hash differs from the first.
 

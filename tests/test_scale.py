@@ -170,3 +170,130 @@ def test_ranges_that_hold_a_changed_line(spark):
     lines = {d: {n for e, n in changed if e == d} for d, _ in changed}
     want = sorted(k for d, s, e, k in ranges if d not in lines or s is not None and e is not None and any(s <= n <= e for n in lines[d]))
     assert sorted(r.k for r in got.collect()) == want
+
+
+def some_diff(rng, n):
+    heads = ["--- a/x", "+++ b/src/A.java", "+++ a/b.py\t2024", "+++ /dev/null", "@@ -3,4 +7,5 @@ f", "@@ -1 +2 @@", "@@ -9,2 +30,1", "@@ odd", "diff --git a/q b/q", "\\ No newline"]
+    return "\n".join(rng.choice(heads) if rng.random() < 0.2 else rng.choice("+- +") + rng.choice(["", "+", "line", "-x"]) if rng.random() < 0.95 else "" for _ in range(n))
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 16])
+def test_scans_of_blocks_are_scans_of_the_whole(spark, monkeypatch, block):
+    import re
+
+    from reviewlens.operators import diff, rules
+    from tests.test_diff_packing import _lines, model_line_map
+
+    monkeypatch.setattr(diff, "BLOCK", block)
+    rng = random.Random(block)
+    texts = {f"d{k}": some_diff(rng, rng.randint(0, 60)) for k in range(12)} | {None: some_diff(rng, 20)}
+    lines = _lines(spark, texts).cache()
+    got, headers, paths, changed = {}, {}, {}, {}
+    for r in diff.line_map(lines).collect():
+        got.setdefault(r["review_id"], []).append((r["file_path"], r["diff_line"], r["file_line"]))
+    heads = diff.hunk_headers(lines).cache()
+    for r in heads.collect():
+        headers.setdefault(r["review_id"], []).append((r["header_line"], r["file_path"], r["new_start"]))
+    for r in rules.with_current_file(lines).collect():
+        paths[r["review_id"], r["pos"]] = r["current_file"]
+    for r in diff.changed_lines(lines).collect():
+        changed.setdefault(r["review_id"], set()).add(r["file_line"])
+    points = [(d, p, k) for d, t in texts.items() for p in ("src/A.java", "b.py\t2024", "none") for k in range(1, len(t.split("\n")) + 3)]
+    near = {(r["review_id"], r["file_path"], r["diff_line"]): r["hunk_start"] for r in diff.nearest_hunk(spark.createDataFrame(points, "review_id string, file_path string, diff_line int"), heads).collect()}
+    assert len(near) == len(points)
+    for d, text in texts.items():
+        assert sorted(got.get(d, [])) == sorted(model_line_map(text))
+        file, want, s = None, [], None
+        for k, line in enumerate(text.split("\n")):
+            if line.startswith("+++ b/"):
+                file = line[6:]
+            assert paths[d, k] == file
+        file = None
+        for k, line in enumerate(text.split("\n"), 1):
+            if line.startswith("+++ "):
+                file = re.sub("^b/", "", re.sub("^a/", "", line[4:]))
+            m = re.match(r"@@ -\d+(?:,\d+)? \+(\d+)", line)
+            if m and file is not None:
+                want.append((k, file, int(m[1])))
+        assert sorted(headers.get(d, [])) == want
+        lines_of, s = set(), None
+        for line in text.split("\n"):
+            m = re.match(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@", line)
+            if m:
+                s, n, seen = int(m[1]), int(m[2] or 1), 0
+            elif s is not None and (line.startswith(" ") or line.startswith("+") and not line.startswith("++")):
+                if line[0] == "+" and seen < n:
+                    lines_of.add(s + seen)
+                seen += 1
+        assert changed.get(d, set()) == lines_of
+        for p in ("src/A.java", "b.py\t2024", "none"):
+            own = [(k, n) for k, f, n in want if f == p]
+            for k in range(1, len(text.split("\n")) + 3):
+                assert near[d, p, k] == (min(own, key=lambda h: (abs(h[0] - k), h[0]))[1] if own else None)
+
+
+def test_one_diff_is_scanned_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from reviewlens.operators import diff
+
+    n = 1_200_000
+    line = F.when(F.col("id") == 0, "+++ b/x").when(F.col("id") == 1, "@@ -1,1 +1,9 @@").when(F.col("id") % 3 == 0, "-old").otherwise("+new")
+    out = diff.line_map(spark.range(n).select(F.lit("d").alias("review_id"), F.col("id").alias("pos"), line.alias("line")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert out.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = out.agg(F.count(F.lit(1)), F.max("file_line"), F.sum("file_line")).first()
+    added = n - 2 - len(range(3, n, 3))
+    assert tuple(got) == (added, added, added * (added + 1) // 2)
+
+
+def _fed(spark, tmp_path, frames, make):
+    """The rows of a stream over files that come one after the other, a batch each."""
+    from reviewlens.streaming import tasks
+
+    folder = str(tmp_path / "in")
+    for k, f in enumerate(frames):
+        f.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return tasks.run_to_table(make(stream), "fed").collect()
+
+
+def test_dead_letters_by_timer(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from reviewlens.streaming import tasks
+
+    begin = datetime(2024, 1, 1)
+    rng = random.Random(8)
+    created = {f"m{k}": rng.randint(0, 90) for k in range(60)}
+    taken = {m: t + rng.choice([1, 5, 9]) for m, t in created.items() if rng.random() < 0.4}
+    rows = [(m, f"q{int(m[1:]) % 3}", begin + timedelta(minutes=t), False) for m, t in created.items()] + [(m, f"q{int(m[1:]) % 3}", begin + timedelta(minutes=t), True) for m, t in taken.items()]
+    schema = "message_id string, queue string, ts timestamp, taken boolean"
+    parts = [[r for r in rows if lo <= (r[2] - begin).seconds // 60 < lo + 25] for lo in (0, 25, 50, 75)]
+    got = _fed(spark, tmp_path, [spark.createDataFrame(p, schema) for p in parts if p], lambda s: tasks.dead_letters(s, "queue"))
+    last = max(r[2] for r in rows)
+    want = sorted(m for m, t in created.items() if m not in taken and begin + timedelta(minutes=t + 10) <= last)
+    assert sorted(r.message_id for r in got) == want
+    assert all(r.died_at == begin + timedelta(minutes=created[r.message_id] + 10) for r in got)
+
+
+def test_conflicts_over_several_batches(spark, tmp_path):
+    from reviewlens.streaming import tasks
+
+    from datetime import datetime, timedelta
+
+    schema = "key string, request_hash string, ord long, ts timestamp"
+    batches = [[("a", "x", 1), ("b", "y", 2), ("a", "x", 3)], [("a", "z", 4), ("c", None, 5), ("b", "y", 6)], [("c", None, 7), ("c", "w", 8), ("a", "x", 9), ("b", None, 10)], [("d", "q", 11)], [("a", "new", 12)], [("a", "x", 13)]]
+    # the eleventh comes a day later, after which the key's first request no longer counts
+    at = lambda n: datetime(2024, 1, 1) + timedelta(minutes=n, days=n > 10)
+    got = _fed(spark, tmp_path, [spark.createDataFrame([(*r, at(r[2])) for r in b], schema) for b in batches], lambda s: tasks.idempotent_stream(s, 60))
+    want = {1: "created", 2: "created", 3: "duplicate", 4: "conflict", 5: "created", 6: "duplicate", 7: "duplicate", 8: "conflict", 9: "duplicate", 10: "conflict", 11: "created"}
+    outcome = {r.ord: r.outcome for r in got}
+    assert len(got) == 13 and {k: outcome[k] for k in want} == want
+    # the timer goes off with the batch that brings the twelfth or before
+    assert (outcome[12], outcome[13]) in (("created", "conflict"), ("conflict", "created"))
