@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from reviewlens.llm.common import _LOWER, in_python, keep, text_buffers
 from reviewlens.llm.packing import slices
@@ -199,7 +200,10 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     least = keep(near.groupBy("_l").agg(F.min("h").alias("_h")).withColumnRenamed("_l", "_l2"))
     near = near.join(F.broadcast(least), F.col("l") == F.col("_l2")).where((F.col("h") * F.col("n") < texts) | (F.col("h") == F.col("_h")))
     place = F.pmod(F.xxhash64("k", F.lit(4)), F.greatest(F.length("t") - CHARACTERS, F.lit(1))).cast("int")
-    sample = near.select("h", "k", "l", F.substring("t", place + 1, F.lit(CHARACTERS)).alias("t")).orderBy("h", "k", "t").limit(2 * texts * max(1, labels)).collect()
+    passages = near.select("h", "k", "l", F.substring("t", place + 1, F.lit(CHARACTERS)).alias("t"))
+    # the bound is within a label, so that many rows of one key, which share a hash, push no other label out
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "k", "t"))
+    sample = passages.withColumn("nth", nth).where(F.col("nth") <= 2 * texts).orderBy("h", "k", "t").collect()
     if not sample:
         return None
     return fit([r["t"].encode() for r in sample], [r["l"] for r in sample])

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -257,3 +258,10 @@ def test_every_label_is_learned(spark):
     assert len(net.labels) == 70
     rare = docs.unionByName(spark.createDataFrame([(99_999_999 + k, "q q q", "rare") for k in range(2)], docs.schema))
     assert "rare" in language.learn(rare).labels
+
+
+def test_rows_of_one_key_push_no_label_out(spark):
+    rows = [(1, "ab ba abba", "aa")] * 4000 + [(2, "zyz yzz", "zz"), (3, "zzy", "zz")]
+    rows = [(k, t, l) for k, t, l in rows for k in [next(x for x in range(k * 100, k * 100 + 99) if zlib.crc32(str(x).encode()) % 5)]]
+    net = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.labels == ["aa", "zz"]
