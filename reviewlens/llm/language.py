@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +14,14 @@ from pyspark.sql.window import Window
 from reviewlens.llm.common import _LOWER, in_python, keep, text_buffers
 from reviewlens.llm.packing import slices
 
-#: Bytes of a sequence in training. In prediction a text is read as a whole up to ``INNER`` bytes, and a longer one in
-#: runs of so many, each with the ``CONTEXT`` bytes before and after it, from where either direction's state comes.
-STEPS, INNER, CONTEXT = 32, 512, 32
+#: Bytes of a sequence in training. In prediction long texts are read in runs of ``INNER`` bytes side by side, whose
+#: states are settled by segments of ``SEGMENT`` bytes.
+STEPS, INNER, SEGMENT = 32, 2048, 64
 #: Positions that are held at once, and texts or runs that are read together.
-POSITIONS, TOGETHER = 1 << 19, 2048
+POSITIONS, TOGETHER = 1 << 20, 4096
+#: In prediction states are multiples of 2^-10 and recurrent weights of 2^-8, so that their sums of products are exact
+#: in single precision: a state depends neither on what is read beside it nor on the order of the additions.
+WEIGHT, ROUND = 256, np.float32(12288)  # the neighbours of 12288 in single precision are 2^-10 apart
 
 
 @dataclass
@@ -37,7 +40,7 @@ def _gate(x):
     return np.clip(x * np.float32(0.25) + np.float32(0.5), 0, 1)
 
 
-def _run(net, seq, way, inside, tape=None):
+def _run(net, seq, way, inside, tape):
     """The states (steps, sequences, h) of one direction over ``seq`` (steps, sequences); ``tape`` takes what training needs.
 
     Gates are piecewise linear: update z, reset r, candidate k; h' = k + z (h - k). ``inside``: which
@@ -46,7 +49,7 @@ def _run(net, seq, way, inside, tape=None):
     whole = inside.all(axis=1)
     n = net.b.shape[1]
     e, u, b = net.e[way], net.u[way], net.b[way]
-    h = np.zeros((seq.shape[1], n), np.float32)
+    h = np.zeros((seq.shape[1], n), np.float32) 
     states = np.empty((*seq.shape, n), np.float32)
     order = range(len(seq)) if way == 0 else range(len(seq) - 1, -1, -1)
     for t in order:
@@ -56,8 +59,7 @@ def _run(net, seq, way, inside, tape=None):
         inner = y[:, 2 * n :] + b
         pre = x[:, 2 * n :] + g[:, n:] * inner
         k = np.clip(pre, -1, 1)
-        if tape is not None:
-            tape.append((t, h, zr, g, inner, pre, k))
+        tape.append((t, h, zr, g, inner, pre, k))
         h = k + g[:, :n] * (h - k)
         if not whole[t]:
             h *= inside[t][:, None]
@@ -134,41 +136,124 @@ def fit(texts: list[bytes], labels: list[str], hidden: int = 8, rounds: int = 35
     return net
 
 
+def exact(net: Network) -> Network:
+    """The network for prediction: recurrent weights rounded, the gates' slope and middle put into their weights."""
+    n = net.b.shape[1]
+    most = 32 / n
+    e, u = net.e.copy(), np.rint(np.clip(net.u, -most, most) * WEIGHT) / WEIGHT
+    e[..., : 2 * n] = e[..., : 2 * n] * 0.25 + 0.5
+    u[..., : 2 * n] *= 0.25
+    return replace(net, e=e.astype(np.float32), u=u.astype(np.float32))
+
+
+def _follow(net, seq, way, inside, h):
+    """The states of one direction over ``seq`` (steps, sequences) from ``h`` on, by an exact network."""
+    n = net.b.shape[1]
+    # by gate, so that every step goes over whole arrays
+    e = np.ascontiguousarray(net.e[way].reshape(256, 3, n).transpose(1, 0, 2))
+    u = np.ascontiguousarray(net.u[way].reshape(n, 3, n).transpose(1, 0, 2))
+    b = np.ascontiguousarray(np.broadcast_to(net.b[way], (seq.shape[1], n)))
+    whole = inside.all(axis=1)
+    states = np.empty((*seq.shape, n), np.float32)
+    x, y = np.empty((2, 3, seq.shape[1], n), np.float32)
+    gates, k = x[:2], y[2]
+    for t in range(len(seq)) if way == 0 else range(len(seq) - 1, -1, -1):
+        np.take(e, seq[t], axis=1, out=x, mode="clip")
+        np.matmul(h, u, out=y)
+        gates += y[:2]
+        np.maximum(gates, 0, out=gates)
+        np.minimum(gates, 1, out=gates)
+        k += b
+        k *= x[1]
+        k += x[2]
+        np.maximum(k, -1, out=k)
+        np.minimum(k, 1, out=k)
+        now = states[t]
+        np.subtract(h, k, out=now)
+        now *= x[0]
+        now += k
+        now += ROUND
+        now -= ROUND
+        if not whole[t]:
+            now *= inside[t][:, None]
+        h = now
+    return states
+
+
 def pooled(net: Network, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The label probabilities of each text of a batch: the mean over all its positions."""
-    raw = _LOWER[raw]
+    """The label probabilities of each text of a batch: the mean over all its positions.
+
+    Both directions' states go through the whole text, whatever its length. Long texts are first read
+    in runs side by side, each from nothing; then every segment whose neighbour ends in another state
+    than it began with is read again from that state, until none differs. Every state is then, bit by
+    bit, that of one pass over the text. A trained network forgets, so this ends some segments behind
+    a run's start; one that never forgets is read on from end to end.
+    """
+    net, raw = exact(net), _LOWER[raw]
     size = np.diff(at)
-    many = -(-size // INNER)
+    many = -(-size // SEGMENT)
     text = np.repeat(np.arange(len(size)), many)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    total = np.zeros((len(size), len(net.labels)))
-    padded = np.concatenate([np.zeros(CONTEXT, np.uint8), raw, np.zeros(INNER + CONTEXT, np.uint8)])
     n = net.b.shape[1]
-    # by length, so that those read together need few steps past their ends
-    length = np.minimum(INNER, size[text] - nth * INNER)
-    order = np.argsort(-length, kind="stable")
-    text, nth, length = text[order], nth[order], length[order]
-    a = 0
-    while a < len(text):
-        b = slice(a, a + min(TOGETHER, max(1, POSITIONS // (int(length[a]) + 2 * CONTEXT))))
-        # texts that no run cuts need no steps outside them
-        out = CONTEXT if (size[text[b]] > INNER).any() else 0
-        steps = np.arange(-out, length[a] + out)[:, None]
-        place = nth[b] * INNER + steps
-        inside = (place >= 0) & (place < size[text[b]])
-        seq = np.where(inside, padded[at[text[b]] + place + CONTEXT], 0)
-        own = slice(out, len(steps) - out)
-        mask = inside[own] & (steps[own] < length[b])
-        x = _run(net, seq, 0, inside)[own] @ net.v[:n]
-        x += _run(net, seq, 1, inside)[own] @ net.v[n:]
-        x += net.c
-        x -= x.max(axis=2, keepdims=True)
-        np.exp(x, out=x)
-        x *= (mask / x.sum(axis=2))[:, :, None]
-        sums = x.sum(axis=0)
-        for k in range(sums.shape[1]):
-            total[:, k] += np.bincount(text[b], sums[:, k], minlength=len(size))
-        a = b.stop
+    # by segment: the states on entering and on leaving it, in both directions, and its sums of probabilities
+    enter, leave = (np.zeros((2, len(text), n), np.float32) for _ in (0, 1))
+    sums = np.zeros((len(text), len(net.labels)))
+    ones = np.ones(len(net.labels), np.float32)
+    # states are within one of nothing, so logits are bounded, and mostly no exponential can overflow
+    far = bool((np.abs(net.v).sum(axis=0) + np.abs(net.c)).max() > 40)
+
+    def read(first, count):
+        """``count`` segments from each of ``first`` on, as far as the texts go."""
+        length = np.minimum(count * SEGMENT, size[text[first]] - nth[first] * SEGMENT)
+        # by length, so that those read together need few steps past their ends
+        order = np.argsort(-length, kind="stable")
+        first, length = first[order], length[order]
+        a = 0
+        while a < len(first):
+            k = -(-int(length[a]) // SEGMENT)
+            b = slice(a, a + min(TOGETHER, max(1, POSITIONS // (k * SEGMENT))))
+            a = b.stop
+            begin, long = first[b], length[b]
+            steps = np.arange(k * SEGMENT)[:, None]
+            inside = steps < long
+            seq = raw[np.minimum(at[text[begin]] - at[0] + nth[begin] * SEGMENT + steps, len(raw) - 1)]
+            # what is shorter than the longest one ends its text, behind which there is nothing
+            ahead = _follow(net, seq, 0, inside, enter[0, begin])
+            behind = _follow(net, seq, 1, inside, enter[1, begin + (long - 1) // SEGMENT])
+            for j in range(k):
+                here = slice(j * SEGMENT, (j + 1) * SEGMENT)
+                live, on = (int((long > m * SEGMENT).sum()) for m in (j, j + 1))
+                which = begin[:live] + j
+                f, r = ahead[here, :live], behind[here, :live]
+                leave[0, which], leave[1, which] = f[-1], r[0]
+                if on and j + 1 < k:
+                    enter[0, which[:on] + 1], enter[1, which[:on]] = f[-1, :on], behind[here.stop, :on]
+                x = f @ net.v[:n]
+                x += r @ net.v[n:]
+                x += net.c
+                if far:
+                    x -= x.max(axis=2, keepdims=True)
+                np.exp(x, out=x)
+                x *= (inside[here, :live] / (x @ ones))[:, :, None]
+                sums[which] = x.sum(axis=0)
+
+    read(np.flatnonzero(nth % (INNER // SEGMENT) == 0), INNER // SEGMENT)
+    follows = nth > 0
+    ahead = behind = np.flatnonzero(follows)
+    while True:
+        # of those behind or before what was read, each that its neighbour leaves in another state than it entered
+        ahead = ahead[(enter[0, ahead] != leave[0, ahead - 1]).any(axis=1)]
+        behind = behind[(enter[1, behind - 1] != leave[1, behind]).any(axis=1)] - 1
+        if not len(ahead) and not len(behind):
+            break
+        enter[0, ahead], enter[1, behind] = leave[0, ahead - 1], leave[1, behind + 1]
+        again = np.union1d(ahead, behind)
+        read(again, 1)
+        ahead, behind = again[again + 1 < len(text)] + 1, again[follows[again]]
+        ahead = ahead[follows[ahead]]
+    total = np.zeros((len(size), len(net.labels)))
+    for k in range(sums.shape[1]):
+        total[:, k] = np.bincount(text, sums[:, k], minlength=len(size))
     return total / np.maximum(size, 1)[:, None]
 
 

@@ -226,30 +226,52 @@ def test_whole_texts_are_pooled():
     assert p[0].argmax() == 1 and p[1].argmax() == 0 and p[0].sum() == pytest.approx(1, abs=1e-5) and p[2].sum() == 0
 
 
-def test_runs_are_read_with_what_stands_beside_them():
-    """Against the network read position by position over the whole text, state carried from end to end."""
+def position_by_position(net, t):
+    """The pooled probabilities of one text, each direction's state carried from end to end."""
+    net, seq, n = language.exact(net), np.frombuffer(t, np.uint8), net.b.shape[1]
+    one, states = np.float32(1), []
+    for way in (0, 1):
+        h, out = np.zeros(n, np.float32), np.zeros((len(seq), n), np.float32)
+        for i in range(len(seq)) if way == 0 else range(len(seq) - 1, -1, -1):
+            x, y = net.e[way][seq[i]], h @ net.u[way]
+            g = np.clip(x[: 2 * n] + y[: 2 * n], 0, one)
+            k = np.clip((y[2 * n :] + net.b[way]) * g[n:] + x[2 * n :], -one, one)
+            h = (np.rint((k + g[:n] * (h - k)) * np.float32(1024)) / np.float32(1024)).astype(np.float32)
+            out[i] = h
+        states.append(out)
+    x = (np.concatenate(states, axis=1) @ net.v + net.c).astype(float)
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    return (x / x.sum(axis=1, keepdims=True)).mean(axis=0)
+
+
+def test_states_go_through_the_whole_text():
+    """Against the network read position by position, for lengths on either side of the runs' ends."""
     rng = np.random.default_rng(2)
     pool = {"a": b"the cat sat on a mat and ", "z": b"der hund lag auf dem bett "}
     net = language.fit(list(pool.values()), list(pool), rounds=120)
-    texts = [(pool["a"] * 30)[:512], (pool["z"] * 30)[:333], b"x", bytes(rng.integers(97, 122, 500).astype(np.uint8))]
+    sizes = (1, 63, 64, 65, 333, 2047, 2048, 2049, 2112, 9000)
+    texts = [(pool[x] * 400)[:m] for m in sizes for x in "az"] + [bytes(rng.integers(97, 122, m).astype(np.uint8)) for m in sizes]
     got = language.pooled(net, *text_buffers(pa.array([t.decode() for t in texts])))
-    n = net.b.shape[1]
     for t, p in zip(texts, got, strict=True):
-        seq = np.frombuffer(t, np.uint8)
-        states = []
-        for way in (0, 1):
-            h, out = np.zeros(n), np.zeros((len(seq), n))
-            for i in range(len(seq)) if way == 0 else range(len(seq) - 1, -1, -1):
-                x, y = net.e[way][seq[i]], h @ net.u[way]
-                g = np.clip(0.25 * (x[: 2 * n] + y[: 2 * n]) + 0.5, 0, 1)
-                k = np.clip(x[2 * n :] + g[n:] * (y[2 * n :] + net.b[way]), -1, 1)
-                h = k + g[:n] * (h - k)
-                out[i] = h
-            states.append(out)
-        x = np.concatenate(states, axis=1) @ net.v + net.c
-        x = np.exp(x - x.max(axis=1, keepdims=True))
-        want = (x / x.sum(axis=1, keepdims=True)).mean(axis=0)
-        assert np.abs(want - p).max() < 1e-4
+        assert np.abs(position_by_position(net, t) - p).max() < 1e-5
+    # what is read together changes nothing
+    for i in (5, 13, 19, 29):
+        assert np.abs(language.pooled(net, *text_buffers(pa.array([texts[i].decode()])))[0] - got[i]).max() < 1e-6
+
+
+def test_a_network_that_never_forgets_is_read_on_from_end_to_end():
+    net = language.fit([b"abab", b"cdcd"], ["a", "c"], hidden=4, rounds=30)
+    # every gate keeps the state, but for one byte that sets it
+    n = 4
+    net.u[:] = 0
+    net.e[:, :, :n] = 9
+    net.e[:, ord("!"), :n] = -9
+    net.e[:, :, 2 * n :] = np.linspace(-0.7, 0.7, 256, dtype=np.float32)[None, :, None]
+    net.e[:, ord("!"), 2 * n :] = 0.25
+    text = b"b" * 700 + b"!" + b"c" * 4000
+    got = language.pooled(net, *text_buffers(pa.array([text.decode(), "b" * 4701])))
+    assert np.abs(position_by_position(net, text) - got[0]).max() < 1e-5
+    assert np.abs(got[0] - got[1]).max() > 1e-4
 
 
 def test_every_label_is_learned(spark):
