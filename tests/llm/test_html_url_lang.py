@@ -63,6 +63,35 @@ def test_quotes_and_names_inside_an_article(page, want):
     assert html_text.main_text(html_text.lines_of(page), None) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><body><p>a</p>", "a"),
+        ("<head><title>t</title><p>a</p>", "a"),
+        ("<head><script>x</script> text that ends it", "text that ends it"),
+        ("<head><title>t</title><noscript>n</noscript></head><p>a", "a"),
+        ("<p>foo<img src=x>bar and wor<nobr>d</nobr></p>", "foobar and word"),
+        ("<p><ruby>a<rp>(</rp><rt>b</rt><rp>)</rp></ruby>c <my-part>d</my-part>e <input>f</p>", "a(b)c de f"),
+        ("<p>one<script>x</script>two<br>three</p>four<div>five</div>six", "onetwo three four five six"),
+        ('<article><div class="widget-content"><p>main text</p></div></article>', "main text"),
+        ('<article><div class="reply"><p>Dear reader</p></div></article>', "Dear reader"),
+        ('<article><p>a</p><div class="reply"><p>b</p></div></article>', "a"),
+        ('<article><div class="comments"><p>first!</p></div></article>', ""),
+        ('<main><p>a</p><div class="advertisement-x-y">buy</div></main>', "a"),
+        ('<article><p>a<span class="ad">b</span>c</p></article>', "a c"),
+    ],
+)
+def test_omitted_tags_and_elements_inside_a_line(page, want):
+    assert html_text.main_text(html_text.lines_of(page), None) == want
+
+
+def test_a_long_frame_makes_no_near_copies(spark):
+    frame = "".join(f"<p>{' '.join(f'f{j}' for j in range(k, k + 30))}</p>" for k in range(0, 300, 30))
+    rows = [(k, f"http://h/a/{k}", f"<body>{frame}<p>story {k} of {k * 7} things</p></body>") for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"story {k} of {k * 7} things" for k in range(6)}
+
+
 def test_the_difference_decides_where_no_marks_do(spark):
     shared = "<p>About us</p><p>All rights reserved</p>"
     rows = [(k, f"http://h.com/a/{k}", f"<body>{shared}<p>own words {k} {' '.join(f'x{k}y{j}' for j in range(20))}</p></body>", 5) for k in range(6)]
