@@ -21,6 +21,8 @@ STEPS, INNER, SEGMENT = 32, 2048, 64
 POSITIONS, TOGETHER = 1 << 20, 4096
 #: In prediction states are multiples of 2^-10 and recurrent weights of 2^-8, so that their sums of products are exact
 #: in single precision: a state depends neither on what is read beside it nor on the order of the additions.
+#: No gate opens beyond ``GATE``, so that what a state was fades at each byte and the network forgets a wrong one soon.
+GATE = np.float32(0.875)
 WEIGHT, ROUND = 256, np.float32(12288)  # the neighbours of 12288 in single precision are 2^-10 apart
 
 
@@ -37,7 +39,7 @@ class Network:
 
 
 def _gate(x):
-    return np.clip(x * np.float32(0.25) + np.float32(0.5), 0, 1)
+    return np.clip(x * np.float32(0.25) + np.float32(0.5), 0, GATE)
 
 
 def _run(net, seq, way, inside, tape):
@@ -92,7 +94,7 @@ def _learn_step(net, seq, mask, goal):
             dh = (dh + back[t, :, way * n : (way + 1) * n]) * mask[t][:, None]
             z, r = g[:, :n], g[:, n:]
             dk = dh * (1 - z) * (np.abs(pre) < 1)
-            dg = np.concatenate([dh * (h - k), dk * inner], axis=1) * (0.25 * (np.abs(zr) < 2))
+            dg = np.concatenate([dh * (h - k), dk * inner], axis=1) * (0.25 * ((zr > -2) & (zr * 0.25 + 0.5 < GATE)))
             dx = np.concatenate([dg, dk], axis=1)
             dy = np.concatenate([dg, dk * r], axis=1)
             np.add.at(grads["e"][way], seq[t], dx)
@@ -162,7 +164,7 @@ def _follow(net, seq, way, inside, h):
         np.matmul(h, u, out=y)
         gates += y[:2]
         np.maximum(gates, 0, out=gates)
-        np.minimum(gates, 1, out=gates)
+        np.minimum(gates, GATE, out=gates)
         k += b
         k *= x[1]
         k += x[2]
