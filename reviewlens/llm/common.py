@@ -284,7 +284,24 @@ def window_hashes(of_words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-# --- streams of groups ------------------------------------------------------
+# --- streams of batches -----------------------------------------------------
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches as one, up to ``most`` bytes of text together; a batch of more stays as it is."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = int(text_buffers(batch.column(batch.schema.get_field_index(column)))[1][-1])
+        if held and size + n > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from reviewlens.llm.common import _LOWER, in_python, keep, text_buffers
+from reviewlens.llm.common import _LOWER, gathered, in_python, keep, text_buffers
 from reviewlens.llm.packing import slices
 
 #: Bytes of a sequence in training. In prediction long texts are read in runs of ``INNER`` bytes side by side, whose
 #: states are settled by segments of ``SEGMENT`` bytes.
-STEPS, INNER, SEGMENT = 32, 2048, 64
+STEPS, INNER, SEGMENT = 32, 1024, 64
 #: Positions that are held at once, and texts or runs that are read together.
 POSITIONS, TOGETHER = 1 << 20, 4096
+#: Bytes of text that are predicted together: a step costs as much for few texts as for some hundreds.
+BYTES = 4 << 20
 #: In prediction states are multiples of 2^-10 and recurrent weights of 2^-8, so that their sums of products are exact
 #: in single precision: a state depends neither on what is read beside it nor on the order of the additions.
 #: No gate opens beyond ``GATE``, so that what a state was fades at each byte and the network forgets a wrong one soon.
@@ -51,7 +53,7 @@ def _run(net, seq, way, inside, tape):
     whole = inside.all(axis=1)
     n = net.b.shape[1]
     e, u, b = net.e[way], net.u[way], net.b[way]
-    h = np.zeros((seq.shape[1], n), np.float32) 
+    h = np.zeros((seq.shape[1], n), np.float32)
     states = np.empty((*seq.shape, n), np.float32)
     order = range(len(seq)) if way == 0 else range(len(seq) - 1, -1, -1)
     for t in order:
@@ -309,8 +311,8 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
         return rows.select("_row.*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+        for batch in gathered(batches, "text", BYTES):
+            for part in slices(batch, "text", BYTES):
                 p = pooled(net, *text_buffers(part.column(1)))
                 any_letter = part.column(2).to_numpy(zero_copy_only=False)
                 best = p.argmax(axis=1)

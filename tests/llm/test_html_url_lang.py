@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.llm import bloom, html_text, language, url_filter
-from reviewlens.llm.common import text_buffers
+from reviewlens.llm.common import gathered, text_buffers
 
 from .helpers import none, odd
 
@@ -236,6 +236,14 @@ def test_language_held_out(spark):
     assert out.score.between(0, 1).all()
 
 
+def test_batches_are_gathered():
+    texts = [["ab", None], [], ["c" * 9], ["d", "e"], ["f" * 30], ["g"]]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(x, pa.string())}) for x in texts]
+    got = [b.column(0).to_pylist() for b in gathered(iter(batches), "text", 11)]
+    assert got == [["ab", None, "c" * 9], ["d", "e"], ["f" * 30], ["g"]]
+    assert [b.column(0).to_pylist() for b in gathered((batches[i].slice(1) for i in (0, 3)), "text", 100)] == [[None, "e"]]
+
+
 def test_language_odd_rows(spark):
     docs = odd(spark)
     net = language.learn(docs)
