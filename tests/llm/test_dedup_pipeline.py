@@ -6,7 +6,7 @@ import pytest
 from reviewlens.llm import ngram_join, substrings
 from reviewlens.llm.common import window_hashes, word_hashes, word_spans, text_buffers
 
-from .helpers import LOWER, components, none, odd, odd_rows, removed, words
+from .helpers import LOWER, components, none, odd, odd_rows, removed, repeats, words
 
 
 def test_word_hashes_follow_the_words():
@@ -141,6 +141,34 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert cp.run(spark, d).count() == len(packed)
 
 
+def test_pipeline_stages_odd_rows(spark, tmp_path):
+    """Each stage by itself on difficult rows with extra columns, and on none at all."""
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(r[0], r[1], r[2], r[3], r[4]) for r in odd_rows()]
+    got = {}
+    for name, stage in cp.STAGES:
+        out = stage(spark, odd(spark), str(tmp_path))
+        if name != cp.STAGES[-1][0]:
+            assert out.columns == cp.COLUMNS
+        got[name] = [tuple(r) for r in out.collect()]
+        assert stage(spark, none(spark), str(tmp_path)).count() == 0
+    passed = [r for r in rows if len(words(r[1])) >= 10 and 100 * repeats(words(r[1])) <= 20 * len(words(r[1]))]
+    assert Counter(got["quality_rules"]) == Counter(passed)
+    _, root = components([r[1] for r in rows], 5, 80)
+    least = {}
+    for r, k in zip(rows, root, strict=True):
+        least[k] = min(least.get(k, 1 << 63), 1 << 63 if r[0] is None else r[0])
+    assert Counter(1 << 63 if r[0] is None else r[0] for r in got["near_duplicates"]) == Counter(least.values())
+    left = Counter((k, kept if gone else r[1]) for r, (k, _, gone, kept) in zip(rows, removed([r[:2] for r in rows], 20), strict=True))
+    assert Counter(r[:2] for r in got["substring_dedup"]) == left
+    assert all(r[4] == (None if r[1] is None else len(r[1])) for r in got["substring_dedup"])
+    often, copies = Counter(rows), Counter(got["source_mix"])
+    assert copies and all(copies[r] <= 2 * often[r] for r in copies)
+    assert {r[0] for r in got["best_fit_packing"]} == {r[0] for r in rows}
+
+
 def test_lower_case_is_ascii_only(spark):
     docs = spark.createDataFrame([(1, "The Quick brown FOX É"), (2, "the quick BROWN fox É"), (3, "the quick brown fox é")], "doc_id long, text string")
     got = {r["id"]: r["component_id"] for r in ngram_join.link(docs, 5, 80).collect()}
