@@ -19,7 +19,7 @@ from reviewlens.llm.packing import slices
 STEPS, INNER, SEGMENT = 32, 1024, 64
 #: Positions that are held at once, and texts or runs that are read together.
 POSITIONS, TOGETHER = 1 << 20, 4096
-#: Bytes of text that are predicted together: a step costs as much for few texts as for some hundreds.
+#: Bytes of text that are predicted together, so that many texts share the fixed cost of a step.
 BYTES = 4 << 20
 #: In prediction states are multiples of 2^-10 and recurrent weights of 2^-8, so that their sums of products are exact
 #: in single precision: a state depends neither on what is read beside it nor on the order of the additions.
