@@ -382,7 +382,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         hkey = F.xxhash64("_host", F.col("_host").isNull())
         hid = lambda: F.xxhash64("_hkey", "_sig")
         contents = open_.withColumn("_hkey", hkey).withColumn("_hid", hid()).dropDuplicates(["_hid"])
-        linked = link(own_lines(contents), 4, NEAR_COPIES, "_hid", "_own")
+        # written down, as the join reads its texts several times
+        linked = link(keep(own_lines(contents)), 4, NEAR_COPIES, "_hid", "_own")
         classes = keep(linked.select(F.col("id").alias("_hid"), F.col("component_id").alias("_class")))
         all_ = read.where("size(_lines) > 0").withColumn("_sig", sig).withColumn("_pid", pid()).withColumn("_hkey", hkey).withColumn("_hid", hid())
         placed = all_.select("_host", "_path", "_key", "_sig", "_pid", "_hid").join(classes, "_hid", "left").withColumn("_class", F.coalesce("_class", "_hid"))

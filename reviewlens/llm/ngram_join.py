@@ -61,25 +61,33 @@ def shingle_sets(raw, at, size):
     return value, np.searchsorted(of, np.arange(len(n) + 1))
 
 
-def _sets(size):
+def _sets(size, whole=True):
+    """Of texts: the shingles of each set, with its first text in a task; or, not ``whole``, a slim row for each text and one for each frequent shingle."""
+
     def run(batches):
-        seen = set()
+        seen, frequent = set(), _Frequent()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 value, first = shingle_sets(*text_buffers(part.column(2)), size)
                 n = np.diff(first)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value))])
                 sid = mix((sums[first[1:]] - sums[first[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)).view(np.int64)
-                tokens = []
-                for i in range(part.num_rows):
-                    # a set's shingles are kept with its first text in this task
-                    if n[i] and sid[i] not in seen:
+                new = []
+                for i in np.flatnonzero(n):
+                    if sid[i] not in seen:
                         seen.add(sid[i])
-                        tokens.append(value[first[i] : first[i + 1]].tobytes())
-                    else:
-                        tokens.append(None)
-                ids = pa.array(sid, mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), ids, pa.array(tokens, pa.binary())], ["id", "th", "n", "sid", "tokens"])
+                        new.append(i)
+                if whole:
+                    tokens = pa.array([value[first[i] : first[i + 1]].tobytes() for i in new], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[new]), tokens], ["sid", "tokens"])
+                    continue
+                frequent.add([value[first[i] : first[i + 1]] for i in new])
+                hot = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(sid, mask=n == 0), hot], ["id", "th", "n", "sid", "hot"])
+        if not whole:
+            hot, times = frequent.found()
+            none = pa.nulls(len(hot), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(times), none, pa.array(hot)], ["id", "th", "n", "sid", "hot"])
 
     return run
 
@@ -90,22 +98,26 @@ def _unpack(column):
     return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _frequent(batches):
+class _Frequent:
     """The shingles of more than ``HEAVY`` of a partition's sets, with how many hold them: any of more than that of all sets is among some partition's."""
-    held, n = [], 0
-    for batch in batches:
-        flat, first = _unpack(batch.column(0))
-        n += batch.num_rows
-        if len(flat):
-            value, times = np.unique(flat, return_counts=True)
-            held.append((value[times > 1], times[times > 1]))
-    if not held:
-        return
-    value, times = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-    value, back = np.unique(value, return_inverse=True)
-    total = np.bincount(back, times).astype(np.int64)
-    hot = total > max(2, n * HEAVY)
-    yield pa.RecordBatch.from_arrays([pa.array(value[hot].view(np.int64)), pa.array(total[hot])], ["h", "c"])
+
+    def __init__(self):
+        self.held, self.n = [], 0
+
+    def add(self, sets):
+        self.n += len(sets)
+        if sets:
+            value, times = np.unique(np.concatenate(sets), return_counts=True)
+            self.held.append((value[times > 1], times[times > 1]))
+
+    def found(self):
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        value, times = np.concatenate([x for x, _ in self.held]), np.concatenate([y for _, y in self.held])
+        value, back = np.unique(value, return_inverse=True)
+        total = np.bincount(back, times, minlength=len(value)).astype(np.int64)
+        hot = total > max(2, self.n * HEAVY)
+        return value[hot].view(np.int64), total[hot]
 
 
 def _need(a, b, per):
@@ -324,17 +336,20 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
     rows are one set. Texts of any length are whole. Only components are computed, neither link pairs
     nor a row's number of links: sets that are already in one component are not compared again. All
     components are whole: no list, group or candidate is capped, and large homes meet in blocks.
+    ``docs`` is read three times: shingles are made again from the texts, never stored.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].cast("string").alias("text"))
     with Scratch(spark) as tmp:
-        sets = tmp.write(rows.transform(in_python, _sets(size), "id long, th long, n long, sid long, tokens binary"), "sets")
-        kept = sets.where("tokens is not null")
+        # shingles take twice the texts' bytes, so they are made of the texts again where they are read, and never stored
+        first = tmp.write(rows.transform(in_python, _sets(size, False), "id long, th long, n long, sid long, hot long"), "sets")
+        sets, frequent = first.where("hot is null").drop("hot"), first.where("hot is not null")
+        kept = rows.transform(in_python, _sets(size), "sid long, tokens binary")
         # bounded: at most (2 * mean set size / HEAVY) shingles can be in half of HEAVY of all sets
-        n_sets = kept.count()
-        heavy = kept.select("tokens").transform(in_python, _frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > max(8, n_sets * HEAVY / 2))
+        n_sets = sets.agg(F.count_distinct("sid")).first()[0]
+        heavy = frequent.groupBy(F.col("hot").alias("h")).agg(F.sum("n").alias("c")).where(F.col("c") > max(8, n_sets * HEAVY / 2))
         heavy = np.array(sorted(r["h"] for r in heavy.collect()), np.int64).view(np.uint64)
-        prefixes = kept.select("sid", "tokens").transform(in_python, _prefixes(per, heavy, 1 + n_sets // SETS_A_PART), "h long, part int, sid long, n int, place int")
+        prefixes = kept.transform(in_python, _prefixes(per, heavy, 1 + n_sets // SETS_A_PART), "h long, part int, sid long, n int, place int")
         lists = tmp.write(prefixes.repartition("h", "part").transform(in_python, _lists(per), "h long, part int, sid long, n long, place long, lead long"), "lists")
         # a set goes to the leader with which it shares most, if more than chance; else it is its own home
         votes = lists.groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
@@ -371,7 +386,7 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
         sides = sides.union(meetings.where("a != b or i != j").select("meeting", F.col("b").alias("home"), F.col("j").alias("block"), F.lit(1).alias("side"), F.col("a").alias("lead")))
         members = home.join(weight.select("home", "k"), "home").select("home", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int").alias("block"), "sid")
         guests = tmp.write(members.join(sides, ["home", "block"]).select("sid", "meeting", "side", "lead"), "guests")
-        _, needed = bloom.split(kept.select("sid", "tokens"), "sid", guests.select("sid").distinct())
+        _, needed = bloom.split(kept, "sid", guests.select("sid").distinct())
         # copies that several tasks kept are one set, before it goes to its meetings
         needed = needed.groupBy("sid").agg(F.first("tokens").alias("tokens"))
         there = needed.join(guests, "sid").select("meeting", "side", "lead", "sid", "tokens")

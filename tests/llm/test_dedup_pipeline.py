@@ -70,6 +70,27 @@ def test_blocks_of_a_large_home_meet(spark, monkeypatch):
     test_components_match_brute_force(spark, 4, 85)
 
 
+def test_join_stores_no_shingles(spark, monkeypatch):
+    """What the join writes down takes less than its texts, where all shingles would take more."""
+    import pathlib
+
+    stored, write = [], ngram_join.Scratch.write
+
+    def weighed(self, df, name):
+        out = write(self, df, name)
+        at = pathlib.Path(self.root.removeprefix("file:").replace("//", "/")) / name
+        stored.append(sum(f.stat().st_size for f in at.rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "write", weighed)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 1000)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.link(docs, 4, 85).collect()
+    assert sorted((r["id"], r["n_shingles"]) for r in got) == [(k, 997) for k in range(200)]
+    assert sum(stored) < 200 * 997 * 8 / 2
+
+
 def test_join_odd_rows(spark):
     docs = odd(spark)
     got = ngram_join.link(docs, 4, 85).collect()
