@@ -84,15 +84,21 @@ def line_map(lines: DataFrame, diff: str = "review_id", order: str = "pos") -> D
     return added.select(diff, F.col("_file.value").alias("file_path"), (F.col(order) + 1).cast("int").alias("diff_line"), (F.col("_seg.value").cast("int") + F.col("_total") - F.col("_seg.total")).cast("int").alias("file_line"))
 
 
-def changed_lines(lines: DataFrame, diff: str = "review_id", order: str = "pos") -> DataFrame:
-    """Added lines of the new file within their hunk's declared count; lines that start with ``++`` don't count."""
+def changed_lines(lines: DataFrame, diff: str = "review_id", order: str = "pos", every: bool = False) -> DataFrame:
+    """Added lines of the new file within their hunk's declared count; lines that start with ``++`` don't count.
+
+    ``every``: they do, as the added text itself may start with a plus. A hunk then ends with its count or at the next
+    file's ``diff --git``, so that file's ``+++ `` header isn't one of its lines.
+    """
     line = F.col("line")
+    plus = line.startswith("+") if every else line.startswith("+") & ~line.startswith("++")
     start = line.rlike(STRICT_HUNK)
+    end = line.startswith("diff --git ") if every else F.lit(False)
     count = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(line, STRICT_HUNK, 2), F.lit("")), F.lit("999999999")).cast("int"), F.lit(1))
-    moves = (~start & (line.startswith(" ") | (line.startswith("+") & ~line.startswith("++")))).cast("int")
-    out = scanned(lines, diff, order, moves, _hunk=(start, F.struct(F.regexp_extract(line, STRICT_HUNK, 1).cast("int").alias("s"), count.alias("c"))))
+    moves = (~start & (line.startswith(" ") | plus)).cast("int")
+    out = scanned(lines, diff, order, moves, _hunk=(start | end, F.when(start, F.struct(F.regexp_extract(line, STRICT_HUNK, 1).cast("int").alias("s"), count.alias("c")))))
     before = F.col("_total") - F.col("_hunk.total")
-    added = out.where(F.col("_hunk").isNotNull() & line.startswith("+") & ~line.startswith("++") & (before < F.col("_hunk.value.c")))
+    added = out.where(F.col("_hunk.value").isNotNull() & plus & (before < F.col("_hunk.value.c")))
     return added.select(diff, (F.col("_hunk.value.s") + before).cast("int").alias("file_line")).distinct()
 
 

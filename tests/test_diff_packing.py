@@ -76,6 +76,13 @@ def test_changed_lines_and_sections(spark):
     assert kept == DIFF[DIFF.index("diff --git a/B.py") :]
 
 
+def test_changed_lines_that_start_with_a_plus(spark):
+    text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -5,9 +5,9 @@\n c\n++1 (976) 555\n+++ two\n+z\ndiff --git a/y b/y\n--- a/y\n+++ b/y\n@@ -1 +40,2 @@\n++y\n+z\n--- a/z\n+++ b/z\n@@ -1 +90 @@\n+q"
+    changed = lambda **how: sorted(r["file_line"] for r in diff.changed_lines(_lines(spark, {"d": text}), **how).collect())
+    assert changed(every=True) == [6, 7, 8, 40, 41, 90]
+    assert changed() == [6, 40, 90]
+
+
 def test_nearest_hunk_is_the_earlier_on_ties(spark):
     heads = diff.hunk_headers(_lines(spark, {"d": DIFF}))
     points = spark.createDataFrame([("d", "src/A.java", k) for k in (1, 4, 7, 8, 99)] + [("d", "none", 1)], "review_id string, file_path string, diff_line int")
