@@ -19,6 +19,8 @@ ADDED_SECRET = r"""(?i)(password\s*=\s*"[^"]+"|api_?key\s*=\s*"[^"]+"|secret\s*=
 ADDED_DANGER = r"(?i)(Runtime\.getRuntime\(\)|ProcessBuilder|Thread\.sleep\s*\(\s*\d{5,}|System\.exit\s*\(|eval\s*\(|exec\s*\(|subprocess\.call|os\.system)"
 ADDED_COMPLEXITY = r"(?i)(if\s*\(.*&&.*&&.*&&|if\s*\(.*\|\|.*\|\|.*\|\||for\s*\(.*for\s*\(.*for\s*\()"
 MOST_INDENT = 24
+#: The line of a unified diff that names the new file.
+FILE_HEADER = r"^\+\+\+ (?:\"?[ab]/|/dev/null)"
 
 
 def is_added(line: Column) -> Column:
@@ -64,14 +66,22 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def scan(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def scan(lines: DataFrame, rules: list[Rule] | None = None, diff: bool = False) -> DataFrame:
     """``lines`` (``review_id``, ``file_path``, ``pos`` from 0, ``line``) to issues.
 
     A line gives a row for each rule that it hits. Every rule is evaluated in the same projection, so
-    the lines are read once and nothing is shuffled.
+    the lines are read once and nothing is shuffled. ``diff``: every line is one of a unified diff, so its first
+    character alone is its marker, and a context or added line may itself start with a marker; else lines are trimmed
+    before their marker is looked for, as files' lines have none.
     """
     rules = default_rules() if rules is None else rules
-    seen = lines.withColumn("code", without_marker(F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))).withColumn("added", F.when(is_added(F.col("line")), F.substr("line", F.lit(2))))
+    line = F.col("line")
+    if diff:
+        header = line.rlike(FILE_HEADER)
+        code = F.when(~header & (line.startswith("+") | line.startswith(" ") | (line == "")), F.substr("line", F.lit(2)))
+        seen = lines.withColumn("code", F.regexp_replace(code, r"^\s+|\s+$", "")).withColumn("added", F.when(~header & line.startswith("+"), F.substr("line", F.lit(2))))
+    else:
+        seen = lines.withColumn("code", without_marker(F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))).withColumn("added", F.when(is_added(line), F.substr("line", F.lit(2))))
     fields = lambda r: F.struct(F.lit(r.name).alias("rule"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.suggestion).alias("suggestion"))
     hits = F.filter(F.array(*[F.when(F.coalesce(r.hit, F.lit(False)), fields(r)) for r in rules]), lambda x: x.isNotNull())
     hit = seen.withColumn("hit", F.explode(hits))
