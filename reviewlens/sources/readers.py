@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.errors import error_class
 from reviewlens.functions.text import basename, matches_glob
-from reviewlens.sources.shared import written
+from reviewlens.sources.shared import spread, written
 
 PAGE = 100
 #: Folders that a project scan leaves out, and the most bytes of a guarded read.
@@ -181,26 +181,29 @@ class VectorTable:
         self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(self.path)
 
 
-def review(chunks: DataFrame, reviewer_fn: Callable[[str, str], str], reviewers: tuple[str, ...] = ("security", "logic", "quality"), parallel: int = 3) -> DataFrame:
+def review(chunks: DataFrame, reviewer_fn: Callable[[str, str], str], reviewers: tuple[str, ...] = ("security", "logic", "quality"), parallel: int | None = None) -> DataFrame:
     """SRC17, ST11: an injected model call for every chunk and reviewer: (``review_id``, ``chunk``, ``reviewer``, ``ord``, ``reply``, ``error``).
 
-    ``parallel`` tasks at a time, 1 where calls share a tool session; a failure is its row's error, and
-    ``kind`` its class. Replies keep the chunks' order by ``ord``.
+    Chunks are reviewed where they lie, as many tasks at a time as there are splits and cores, and no text is
+    shuffled. ``parallel``: at most so many at a time, 1 where calls share a tool session; each such task then
+    reads its share of all chunks. A failure is its row's error, and ``kind`` its class. Replies keep the chunks'
+    order by ``ord``.
     """
-    each = chunks.withColumn("reviewer", F.explode(F.array(*[F.lit(r) for r in reviewers]))).select("review_id", "chunk", "reviewer", "text")
-    each = each.withColumn("ord", F.concat_ws("/", "review_id", F.lpad(F.col("chunk").cast("string"), 6, "0"), "reviewer"))
+    each = chunks.select("review_id", "chunk", "text", F.concat_ws("/", "review_id", F.lpad(F.col("chunk").cast("string"), 6, "0"), F.lit("")).alias("ord"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.itertuples():
-                try:
-                    out.append((r.review_id, r.chunk, r.reviewer, r.ord, reviewer_fn(r.reviewer, r.text), None))
-                except Exception as e:  # noqa: BLE001  what the boundary raises is data here
-                    out.append((r.review_id, r.chunk, r.reviewer, r.ord, None, f"{type(e).__name__}: {e}"))
+                for name in reviewers:
+                    try:
+                        out.append((r.review_id, r.chunk, name, f"{r.ord}{name}", reviewer_fn(name, r.text), None))
+                    except Exception as e:  # noqa: BLE001  what the boundary raises is data here
+                        out.append((r.review_id, r.chunk, name, f"{r.ord}{name}", None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["review_id", "chunk", "reviewer", "ord", "reply", "error"])
 
-    out = each.repartition(parallel).mapInPandas(run, "review_id string, chunk int, reviewer string, ord string, reply string, error string")
+    each = spread(each) if parallel is None else each.coalesce(parallel)
+    out = each.mapInPandas(run, "review_id string, chunk int, reviewer string, ord string, reply string, error string")
     return out.withColumn("kind", F.when(F.col("error").isNotNull(), error_class(F.col("error"))))
 
 

@@ -181,3 +181,13 @@ def test_review_boundary_and_retry(spark):
         return "ok"
 
     assert readers.with_retry(call, lambda e: "rate_limit", slept.append)() == "ok" and slept == [2.0, 4.0]
+
+
+def test_reviews_run_where_their_chunks_lie(spark):
+    """No text is shuffled, so a task reads no more of more chunks; a bound on the tasks is kept."""
+    chunks = spark.range(0, 400, 1, 20).select(F.lit("r").alias("review_id"), F.col("id").cast("int").alias("chunk"), F.lit("t").alias("text"))
+    out = readers.review(chunks, lambda name, text: name)
+    assert out.rdd.getNumPartitions() == 20 and "Exchange" not in out._jdf.queryExecution().toString()
+    assert out.count() == 1200 and out.select("ord").distinct().count() == 1200
+    two = readers.review(chunks, lambda name, text: name, ("logic",), 2)
+    assert two.rdd.getNumPartitions() == 2 and two.count() == 400
