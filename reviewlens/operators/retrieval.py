@@ -200,12 +200,15 @@ class VectorIndex:
                 return pd.DataFrame({"query": [], "id": [], "score": []})
             score = np.stack(q["q"].to_numpy()) @ np.stack(c["v"].to_numpy()).T
             score, ids = score.reshape(len(q), len(c)), c["id"].to_numpy()
-            nice, out = score.round(9), []
-            for i in range(len(q)):
-                some = np.arange(len(c)) if len(c) <= k else np.flatnonzero(nice[i] >= np.partition(nice[i], -k)[-k])
-                some = some[np.lexsort((ids[some], -nice[i][some]))[:k]]
-                out.append(pd.DataFrame({"query": q["query"].iloc[i], "id": ids[some], "score": score[i][some]}))
-            return pd.concat(out)
+            # all queries at once: what reaches each one's k-th score, in order, and of that the first k
+            nice = score.round(9)
+            reach = nice >= np.partition(nice, -k, axis=1)[:, -k:][:, :1] if len(c) > k else np.ones(nice.shape, bool)
+            row, col = np.nonzero(reach)
+            order = np.lexsort((ids[col], -nice[row, col], row))
+            row, col = row[order], col[order]
+            row_at = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[row_at < k], col[row_at < k]
+            return pd.DataFrame({"query": q["query"].to_numpy()[row], "id": ids[col], "score": score[row, col]})
 
         found = asked.groupBy(*key).cogroup(cells.groupBy(*key)).applyInPandas(best, "query long, id long, score double")
         return self._top(found, k)
