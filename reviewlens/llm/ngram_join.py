@@ -26,6 +26,8 @@ SLICE = 3 << 19
 SETS_A_PART = 250_000
 #: Shingles and sets of each block of a home; the blocks of larger homes meet pair by pair.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 2_000
+#: Sets of a home meet another home by classes of sizes, each up to so many times the one before.
+CLASS = 1.15
 
 
 def shingle_sets(raw, at, size):
@@ -134,6 +136,19 @@ def _more(n):
     return 2 + n // 25
 
 
+def _fewest(low, high, other_low, other_high, per, least=np.minimum, greatest=np.maximum):
+    """A bound for how many shingles of their prefixes two linked sets share, one of ``low`` to ``high`` shingles, one of ``other_low`` to ``other_high``.
+
+    Of the set whose prefix ends first in the order, all shared shingles up to there are in both prefixes, so what they
+    share beyond is no more than what its prefix leaves out: less than ``per / 100 - 1 / 25`` of it (``_more``). The bound
+    is least for the smallest set with the largest that it can link with, or with one of its own size.
+    """
+    small = greatest(least(low, other_low), per * greatest(low, other_low) / 100)
+    large = greatest(small, least(greatest(high, other_high), 100 * least(least(high, other_high), small) / per))
+    shared = lambda n: per * (small + n) / (100 + per) - max(0, per / 100 - 1 / 25) * n
+    return least(shared(small), shared(large))
+
+
 def _prefixes(per, heavy, parts):
     def run(batches):
         for batch in batches:
@@ -186,10 +201,11 @@ def _lists(per):
 
 
 def _home_pairs(per):
-    """Of a partition by shingle: pairs of homes with sets that may share it, and how many shingles each pair has so.
+    """Of a partition by shingle: pairs of size classes of two homes with sets that may share it, and how many shingles each pair has so.
 
-    A list's homes are sorted by their smallest set: past the reach of a home's largest set, the rest
-    is skipped as one block, as are homes whose positions leave too few shingles after this one.
+    A list's classes are sorted by their smallest set: past the reach of a class's largest set, the rest
+    is skipped as one block, as are classes whose positions leave too few shingles after this one, even
+    if it is the last of the ``_fewest``: these are counted for sure, which is all that is asked of a pair.
     """
 
     def run(batches):
@@ -197,20 +213,21 @@ def _home_pairs(per):
         if not held:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
-        h, home, low, high, left = (rows.column(c).to_numpy() for c in ("h", "home", "low", "high", "left"))
+        h, home, unit, low, high, left = (rows.column(c).to_numpy() for c in ("h", "home", "unit", "low", "high", "left"))
         order = np.lexsort((low, h))
-        h, home, low, high, left = h[order], home[order], low[order], high[order], left[order]
+        h, home, unit, low, high, left = h[order], home[order], unit[order], low[order], high[order], left[order]
         end = np.searchsorted(h, h, side="right")
         ones, others, size = [], [], 0
         for i in np.flatnonzero(end - np.arange(len(h)) > 1):
             j = np.arange(i + 1, end[i])
             j = j[: np.searchsorted(low[j], 100 * high[i] // per, side="right")]
             j = j[100 * high[j] >= per * low[i]]
-            j = j[np.minimum(left[i], left[j]) + _more(np.minimum(high[i], high[j])) - 1 >= _need(low[i], low[j], per)]
+            most = np.ceil(np.maximum(_fewest(low[i], high[i], low[j], high[j], per), _more(np.minimum(high[i], high[j]))))
+            j = j[np.minimum(left[i], left[j]) + most - 1 >= _need(low[i], low[j], per)]
             j = j[home[j] != home[i]]
             if len(j):
-                ones.append(np.minimum(home[j], home[i]))
-                others.append(np.maximum(home[j], home[i]))
+                ones.append(np.minimum(unit[j], unit[i]))
+                others.append(np.maximum(unit[j], unit[i]))
                 size += len(j)
                 if size > 1_000_000:
                     yield _counted(ones, others)
@@ -363,28 +380,30 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
         own = home.select(F.col("sid").alias("lead"), F.col("lead").alias("next")).where("lead != next")
         for up in (first, own, own):
             home = home.join(up, "lead", "left").select("sid", F.coalesce("next", "lead").alias("lead"), "n")
-        home = home.withColumnRenamed("lead", "home")
+        # what two homes share counts by classes of sizes, as the bounds on it follow the smallest and the largest set
+        home = home.withColumnRenamed("lead", "home").withColumn("unit", F.xxhash64("home", F.floor(F.log("n") / float(np.log(CLASS)))))
         home = tmp.write(home, "home")
         at = lists.select("h", "sid", "place").join(home, "sid")
-        at = at.groupBy("h", "home").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"))
+        at = at.groupBy("h", "home", "unit").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"))
         pairs = at.repartition("h").transform(in_python, _home_pairs(per), "a long, b long, c long")
         pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"))
-        # homes in blocks of bounded size
-        weight = home.groupBy("home").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("m"), F.min("n").alias("low"))
-        weight = weight.withColumn("k", F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("m") / BLOCK_SETS)).cast("int"))
-        weight = tmp.write(weight, "weight")
+        # homes, and their classes, in blocks of bounded size
+        blocks = lambda by: home.groupBy(F.col(by).alias("home")).agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("m"), F.min("n").alias("low"), F.max("n").alias("high")).withColumn("k", F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("m") / BLOCK_SETS)).cast("int"))
+        weight, units = tmp.write(blocks("home"), "weight"), tmp.write(blocks("unit"), "units")
         alone = weight.where("m > 1").select(F.col("home").alias("a"), F.col("home").alias("b"), F.col("k").alias("ka"), F.col("k").alias("kb"))
-        ka = weight.select(F.col("home").alias("a"), F.col("k").alias("ka"), F.col("low").alias("la"))
-        kb = weight.select(F.col("home").alias("b"), F.col("k").alias("kb"), F.col("low").alias("lb"))
+        ka = units.select(F.col("home").alias("a"), F.col("k").alias("ka"), F.col("low").alias("la"), F.col("high").alias("ha"))
+        kb = units.select(F.col("home").alias("b"), F.col("k").alias("kb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
         low = F.least("la", "lb")
         need = F.ceil(per * (F.col("la") + F.col("lb")) / (100 + per))
-        pairs = pairs.join(ka, "a").join(kb, "b").where(F.col("c") >= F.least(F.lit(2) + F.floor(low / 25), need))
+        fewest = _fewest(F.col("la"), F.col("ha"), F.col("lb"), F.col("hb"), per, F.least, F.greatest)
+        pairs = pairs.join(ka, "a").join(kb, "b").where((F.col("c") >= F.least(F.lit(2) + F.floor(low / 25), need)) & (F.col("c") >= fewest))
         meetings = alone.union(pairs.select("a", "b", "ka", "kb"))
         meetings = meetings.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("kb") - 1))).where("a != b or i <= j")
         meetings = tmp.write(meetings.select("a", "b", "i", "j", F.xxhash64("a", "b", "i", "j").alias("meeting")), "meetings")
         sides = meetings.select("meeting", F.col("a").alias("home"), F.col("i").alias("block"), F.lit(0).alias("side"), F.col("a").alias("lead"))
         sides = sides.union(meetings.where("a != b or i != j").select("meeting", F.col("b").alias("home"), F.col("j").alias("block"), F.lit(1).alias("side"), F.col("a").alias("lead")))
-        members = home.join(weight.select("home", "k"), "home").select("home", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int").alias("block"), "sid")
+        members = home.select("home", "sid").join(weight.select("home", "k"), "home").union(home.select(F.col("unit").alias("home"), "sid").join(units.select("home", "k"), "home"))
+        members = members.select("home", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int").alias("block"), "sid")
         guests = tmp.write(members.join(sides, ["home", "block"]).select("sid", "meeting", "side", "lead"), "guests")
         _, needed = bloom.split(kept, "sid", guests.select("sid").distinct())
         # copies that several tasks kept are one set, before it goes to its meetings
