@@ -20,6 +20,22 @@ SLICE_BYTES = 2 << 20
 REMEMBERED = 400_000
 
 
+def for_worker(name: str, key, load):
+    """What ``load`` makes, kept by the process for its later tasks with an equal ``key``; another key replaces it.
+
+    A tokenizer that is loaded anew in each task leaves some megabytes behind each time, so that a worker would grow
+    with its number of tasks. Functions come to workers by value, so a module of the process holds it.
+    """
+    import sys
+    import types
+
+    place = vars(sys.modules.setdefault("_reviewlens_worker", types.ModuleType("_reviewlens_worker")))
+    if name not in place or place[name][0] != key:
+        place.pop(name, None)  # its memory goes before more is taken
+        place[name] = key, load()
+    return place[name][1]
+
+
 class WordTokens:
     """Token ids of texts by a tokenizer that lower-cases and drops white space: those of its words.
 
@@ -34,10 +50,15 @@ class WordTokens:
 
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.full, self.between = Tokenizer.from_str(spec), between
-        self.quick = Tokenizer(self.full.model)  # one model in memory
-        self.quick.add_special_tokens([between])
-        self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        def load():
+            full = Tokenizer.from_str(spec)
+            quick = Tokenizer(full.model)  # one model in memory
+            quick.add_special_tokens([between])
+            quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            return full, quick
+
+        self.between = between
+        self.full, self.quick = for_worker("tokenizers", (spec, between), load)
         self.latin = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
         self.stops = {c: self.full.encode(chr(c), add_special_tokens=False).ids for c in b".,"}
         self.forget()

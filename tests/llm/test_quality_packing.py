@@ -205,3 +205,22 @@ def test_packed_sequences_hold_the_token_ids(spark):
     assert Counter(x for v in pieces.values() for p in v for x in p) == Counter(x for (_, ids), n in want.items() for x in ids * n)
     whole = Counter((doc, p) for (doc, start), v in pieces.items() if start == 0 for p in v)
     assert whole == Counter({k: n for k, n in Counter((doc, ids[:512]) for (doc, ids), n in want.items() for _ in range(n)).items()})
+
+
+def test_a_worker_loads_its_tokenizer_once(spark):
+    import public_tokenizers
+
+    from reviewlens.llm.packing import WordTokens
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            one, two = WordTokens(spec), WordTokens(spec)
+            same = one.full is two.full and one.quick is two.quick and one.known is not two.known
+            yield pa.RecordBatch.from_arrays([pa.array([same])], ["same"])
+
+    assert [r["same"] for r in spark.range(1).mapInArrow(run, "same boolean").collect()] == [True]
