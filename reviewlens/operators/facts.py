@@ -27,6 +27,10 @@ FLOW = {"if": "IF", "for": "FOR", "while": "WHILE", "do": "DO_WHILE", "try": "TR
 NOT_CALLED = frozenset("if for while switch catch synchronized return new super this throw assert try do else case".split())
 
 
+#: A file without any of these as a word has no facts, so its tokens needn't be read; a token ends where this does.
+_FACTUAL = re.compile(r"(?:package|import|class|interface|enum|record)(?![\w$])")
+
+
 class JavaFacts:
     """One pass over a file's tokens with a stack of open braces."""
 
@@ -196,7 +200,7 @@ class JavaFacts:
 
 
 def java_facts(text: str) -> list[dict]:
-    return JavaFacts(text).run()
+    return JavaFacts(text).run() if _FACTUAL.search(text) else []
 
 
 #: CH3: providers by extension; the default is Java's.

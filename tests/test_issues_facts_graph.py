@@ -191,3 +191,16 @@ def test_reviews_run_where_their_chunks_lie(spark):
     assert out.count() == 1200 and out.select("ord").distinct().count() == 1200
     two = readers.review(chunks, lambda name, text: name, ("logic",), 2)
     assert two.rdd.getNumPartitions() == 2 and two.count() == 400
+
+
+def test_files_without_facts_are_not_tokenized(monkeypatch):
+    from reviewlens.operators import facts
+
+    read = []
+    run = facts.JavaFacts.run
+    monkeypatch.setattr(facts.JavaFacts, "run", lambda self: read.append(1) or run(self))
+    for text in ("", "an important classic, 3 records", "classes {", "import$ed class_ records"):
+        assert facts.java_facts(text) == [] and not read
+    for text, kinds in (("éclass A { }", ["type"]), ("import a.b;", ["import"]), ("x.class y", []), ("1class B { }", []), ("// class C { }", [])):
+        read.clear()
+        assert [r["kind"] for r in facts.java_facts(text)] == kinds and read
