@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reviewlens.llm import bloom
 from reviewlens.llm.common import _LOWER, Scratch, grouped, in_python, keep, mix, text_buffers, word_hashes, word_spans
@@ -28,6 +29,11 @@ SETS_A_PART = 250_000
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 2_000
 #: Sets of a home meet another home by classes of sizes, each up to so many times the one before.
 CLASS = 1.15
+#: Shingles that a set shares with a leader by chance: with fewer it doesn't go there.
+CHANCE = 2
+#: Words of 64 bits of a set's sketch.
+LANES = 8
+SKETCH = [f"b{i}" for i in range(LANES)]
 
 
 def shingle_sets(raw, at, size):
@@ -63,6 +69,23 @@ def shingle_sets(raw, at, size):
     return value, np.searchsorted(of, np.arange(len(n) + 1))
 
 
+def sketches(value, first):
+    """A bitmap of each set that isn't empty: a bit is set where an odd number of its shingles fall on it (one array a word).
+
+    A shingle that one of two sets has alone flips one bit, so they differ in no more bits than shingles.
+    """
+    begin = first[:-1][np.diff(first) > 0]
+    if not len(begin):
+        return [np.zeros(0, np.uint64)] * LANES
+    bit, lane = np.uint64(1) << (value & np.uint64(63)), (value >> np.uint64(6)) % np.uint64(LANES)
+    return [np.bitwise_xor.reduceat(np.where(lane == i, bit, np.uint64(0)), begin) for i in range(LANES)]
+
+
+def _apart(shingles, per):
+    """The most shingles that one alone of two linked sets has, which hold so many together."""
+    return shingles * (100 - per) // (100 + per)
+
+
 def _sets(size, whole=True):
     """Of texts: the shingles of each set, with its first text in a task; or, not ``whole``, a slim row for each text and one for each frequent shingle."""
 
@@ -85,11 +108,14 @@ def _sets(size, whole=True):
                     continue
                 frequent.add([value[first[i] : first[i + 1]] for i in new])
                 hot = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(sid, mask=n == 0), hot], ["id", "th", "n", "sid", "hot"])
+                sketch = np.zeros((LANES, len(n)), np.uint64)
+                sketch[:, n > 0] = sketches(value, first)
+                columns = [part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(sid, mask=n == 0), hot, *[pa.array(x.view(np.int64)) for x in sketch]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "n", "sid", "hot", *SKETCH])
         if not whole:
             hot, times = frequent.found()
             none = pa.nulls(len(hot), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(times), none, pa.array(hot)], ["id", "th", "n", "sid", "hot"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(times), none, pa.array(hot), *[none] * LANES], ["id", "th", "n", "sid", "hot", *SKETCH])
 
     return run
 
@@ -136,6 +162,15 @@ def _more(n):
     return 2 + n // 25
 
 
+def _spare(n, per):
+    """Shingles that a set of ``n`` may leave out of its prefix, if all leave out those that most sets have.
+
+    With any set that it links with it shares one more in their prefixes (``_more`` of the smaller, or all of the overlap).
+    What either leaves out of these are the most frequent ones, in one order for both, so the rarest stays in both.
+    """
+    return F.least(2 + F.floor(per * n / 2500), F.ceil(per * n / 100)) - 1
+
+
 def _fewest(low, high, other_low, other_high, per, least=np.minimum, greatest=np.maximum):
     """A bound for how many shingles of their prefixes two linked sets share, one of ``low`` to ``high`` shingles, one of ``other_low`` to ``other_high``.
 
@@ -175,7 +210,7 @@ def _lists(per):
     """Of a partition by shingle and part: the rows of lists that hold two sets or more, with their leader.
 
     A list is sorted by size and cut into blocks where the next set is too large for the one before
-    to link with; a block of one is dropped.
+    to link with; a block of one is dropped. ``often``: the sets of a shingle's whole list; a heavy one's has no end.
     """
 
     def run(batches):
@@ -190,11 +225,12 @@ def _lists(per):
         twin = np.concatenate([[False], (sid[1:] == sid[:-1]) & ~new[1:]])  # one set, kept by two tasks
         block = np.cumsum(new)
         h, part, sid, n, place, block = (x[~twin] for x in (h, part, sid, n, place, block))
+        often = np.where(part > 0, np.iinfo(np.int64).max, np.searchsorted(h, h, side="right") - np.searchsorted(h, h))
         _, begin, back, times = np.unique(block, return_index=True, return_inverse=True, return_counts=True)
         # a heavy shingle's list goes on in other parts, so a set alone in one isn't alone
         shared = (times[back] > 1) | (part > 0)
         lead = sid[begin][back]
-        out = pa.Table.from_arrays([pa.array(x[shared]) for x in (h, part, sid, n, place, lead)], ["h", "part", "sid", "n", "place", "lead"])
+        out = pa.Table.from_arrays([pa.array(x[shared]) for x in (h, part, sid, n, place, lead, often)], ["h", "part", "sid", "n", "place", "lead", "often"])
         yield from out.to_batches(max_chunksize=200_000)
 
     return run
@@ -206,6 +242,8 @@ def _home_pairs(per):
     A list's classes are sorted by their smallest set: past the reach of a class's largest set, the rest
     is skipped as one block, as are classes whose positions leave too few shingles after this one, even
     if it is the last of the ``_fewest``: these are counted for sure, which is all that is asked of a pair.
+    Nor do classes meet whose sketches differ in more bits than links leave, the radius round each allowed
+    for: sets that share a passage alone, as many as hold it, never become pairs.
     """
 
     def run(batches):
@@ -213,9 +251,10 @@ def _home_pairs(per):
         if not held:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
-        h, home, unit, low, high, left = (rows.column(c).to_numpy() for c in ("h", "home", "unit", "low", "high", "left"))
+        h, home, unit, low, high, left, radius = (rows.column(c).to_numpy() for c in ("h", "home", "unit", "low", "high", "left", "radius"))
         order = np.lexsort((low, h))
-        h, home, unit, low, high, left = h[order], home[order], unit[order], low[order], high[order], left[order]
+        h, home, unit, low, high, left, radius = (x[order] for x in (h, home, unit, low, high, left, radius))
+        sketch = np.stack([rows.column(c).to_numpy()[order].view(np.uint64) for c in SKETCH], axis=1)
         end = np.searchsorted(h, h, side="right")
         ones, others, size = [], [], 0
         for i in np.flatnonzero(end - np.arange(len(h)) > 1):
@@ -225,6 +264,8 @@ def _home_pairs(per):
             most = np.ceil(np.maximum(_fewest(low[i], high[i], low[j], high[j], per), _more(np.minimum(high[i], high[j]))))
             j = j[np.minimum(left[i], left[j]) + most - 1 >= _need(low[i], low[j], per)]
             j = j[home[j] != home[i]]
+            bits = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            j = j[bits - radius[i] - radius[j] <= _apart(high[i] + high[j], per)]
             if len(j):
                 ones.append(np.minimum(unit[j], unit[i]))
                 others.append(np.maximum(unit[j], unit[i]))
@@ -359,7 +400,7 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
     rows = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].cast("string").alias("text"))
     with Scratch(spark) as tmp:
         # shingles take twice the texts' bytes, so they are made of the texts again where they are read, and never stored
-        first = tmp.write(rows.transform(in_python, _sets(size, False), "id long, th long, n long, sid long, hot long"), "sets")
+        first = tmp.write(rows.transform(in_python, _sets(size, False), "id long, th long, n long, sid long, hot long" + "".join(f", {c} long" for c in SKETCH)), "sets")
         sets, frequent = first.where("hot is null").drop("hot"), first.where("hot is not null")
         kept = rows.transform(in_python, _sets(size), "sid long, tokens binary")
         # bounded: at most (2 * mean set size / HEAVY) shingles can be in half of HEAVY of all sets
@@ -367,10 +408,10 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
         heavy = frequent.groupBy(F.col("hot").alias("h")).agg(F.sum("n").alias("c")).where(F.col("c") > max(8, n_sets * HEAVY / 2))
         heavy = np.array(sorted(r["h"] for r in heavy.collect()), np.int64).view(np.uint64)
         prefixes = kept.transform(in_python, _prefixes(per, heavy, 1 + n_sets // SETS_A_PART), "h long, part int, sid long, n int, place int")
-        lists = tmp.write(prefixes.repartition("h", "part").transform(in_python, _lists(per), "h long, part int, sid long, n long, place long, lead long"), "lists")
+        lists = tmp.write(prefixes.repartition("h", "part").transform(in_python, _lists(per), "h long, part int, sid long, n long, place long, lead long, often long"), "lists")
         # a set goes to the leader with which it shares most, if more than chance; else it is its own home
         votes = lists.groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
-        strong = (F.col("lead") != F.col("sid")) & (F.col("c") >= 2 + F.floor(F.col("n") / 100))
+        strong = (F.col("lead") != F.col("sid")) & (F.col("c") >= CHANCE + F.floor(F.col("n") / 100))
         home = votes.groupBy("sid").agg(F.min(F.when(strong, F.struct(-F.col("c"), "lead"))).alias("x"), F.max("n").alias("n"))
         home = keep(home.select("sid", F.coalesce("x.lead", "sid").alias("lead"), "n"))
         # leaders hand their sets on: those of a list's parts to the first of them, others to their own leader
@@ -381,10 +422,19 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
         for up in (first, own, own):
             home = home.join(up, "lead", "left").select("sid", F.coalesce("next", "lead").alias("lead"), "n")
         # what two homes share counts by classes of sizes, as the bounds on it follow the smallest and the largest set
-        home = home.withColumnRenamed("lead", "home").withColumn("unit", F.xxhash64("home", F.floor(F.log("n") / float(np.log(CLASS)))))
+        # a class lies round its leader's sketch; a set that can't link with the leader is a class of its own, round its own
+        sketch = sets.where("sid is not null").groupBy("sid").agg(*[F.max(c).alias(c) for c in SKETCH])
+        home = home.withColumnRenamed("lead", "home").join(sketch, "sid").join(sketch.select(F.col("sid").alias("home"), *[F.col(c).alias(f"of_{c}") for c in SKETCH]), "home")
+        bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"of_{c}"))) for c in SKETCH), F.lit(0)).cast("long")
+        close = F.when(bits <= F.floor(2 * F.col("n") * (100 - per) / (100 + per)), bits)
+        unit = F.xxhash64("home", F.floor(F.log("n") / float(np.log(CLASS))), F.when(close.isNull(), F.col("sid")))
+        home = home.select("sid", "home", "n", unit.alias("unit"), F.coalesce(close, F.lit(0)).alias("radius"), *[F.when(close.isNull(), F.col(c)).otherwise(F.col(f"of_{c}")).alias(c) for c in SKETCH])
         home = tmp.write(home, "home")
-        at = lists.select("h", "sid", "place").join(home, "sid")
-        at = at.groupBy("h", "home", "unit").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"))
+        around = tmp.write(home.groupBy("unit").agg(F.max("radius").alias("radius"), *[F.max(c).alias(c) for c in SKETCH]), "around")
+        at = lists.select("h", "sid", "place", "often").join(home.select("sid", "home", "n", "unit"), "sid")
+        # a set's most frequent shingles make no pairs, as far as links have others
+        at = at.withColumn("nth", F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("often"), "h"))).where(F.col("nth") > _spare(F.col("n"), per))
+        at = at.groupBy("h", "home", "unit").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left")).join(around, "unit")
         pairs = at.repartition("h").transform(in_python, _home_pairs(per), "a long, b long, c long")
         pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"))
         # homes, and their classes, in blocks of bounded size
@@ -396,7 +446,8 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
         low = F.least("la", "lb")
         need = F.ceil(per * (F.col("la") + F.col("lb")) / (100 + per))
         fewest = _fewest(F.col("la"), F.col("ha"), F.col("lb"), F.col("hb"), per, F.least, F.greatest)
-        pairs = pairs.join(ka, "a").join(kb, "b").where((F.col("c") >= F.least(F.lit(2) + F.floor(low / 25), need)) & (F.col("c") >= fewest))
+        c = F.col("c") + _spare(F.greatest("ha", "hb"), per)
+        pairs = pairs.join(ka, "a").join(kb, "b").where((c >= F.least(F.lit(2) + F.floor(low / 25), need)) & (c >= fewest))
         meetings = alone.union(pairs.select("a", "b", "ka", "kb"))
         meetings = meetings.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("kb") - 1))).where("a != b or i <= j")
         meetings = tmp.write(meetings.select("a", "b", "i", "j", F.xxhash64("a", "b", "i", "j").alias("meeting")), "meetings")

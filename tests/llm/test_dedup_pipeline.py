@@ -108,6 +108,71 @@ def test_join_odd_rows(spark):
     assert ngram_join.keep_one(none(spark)).count() == 0
 
 
+def counted_pairs(spark, monkeypatch, rows, size, per):
+    """The components of ``rows``, and how many pairs of classes their lists gave."""
+    seen, made = spark.sparkContext.accumulator(0), ngram_join._home_pairs
+
+    def watched(per):
+        def run(batches):
+            for batch in made(per)(batches):
+                seen.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(ngram_join, "_home_pairs", watched)
+        m.setattr(ngram_join, "HEAVY", 1)
+        got = {r["id"]: r["component_id"] for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size, per).collect()}
+    return got, seen.value
+
+
+@pytest.mark.parametrize("words", [60, 300, 2500])
+def test_sets_that_share_a_passage_make_no_pairs(spark, monkeypatch, words):
+    rng = np.random.default_rng(words)
+    passage = " ".join(f"p{x}" for x in range(min(55, words // 3)))
+    rows = [(k, f"{' '.join(f'w{x}' for x in rng.integers(0, 1 << 30, words))} {passage}") for k in range(120)]
+    got, pairs = counted_pairs(spark, monkeypatch, rows, 4, 85)
+    assert got == {k: k for k in range(120)} and pairs <= 120
+
+
+def test_links_between_single_homes_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHANCE", 1 << 40)
+    test_components_match_brute_force(spark, 4, 85)
+    test_components_match_brute_force(spark, 2, 50)
+
+
+@pytest.mark.parametrize("words", [40, 250])
+def test_links_between_homes_stay(spark, monkeypatch, words):
+    """Chains, each text a little changed from the one before, all with one passage: their links lie between homes."""
+    rng = np.random.default_rng(words)
+    texts = []
+    for chain in range(4):
+        own = [f"c{chain}w{k}" for k in range(words)]
+        for k in range(25):
+            for at in rng.integers(0, words, max(1, words // 100)):
+                own[at] = f"c{chain}v{k}x{at}"
+            texts.append(" ".join(own) + " the same passage stands at the end of every text of all of these chains")
+    rng.shuffle(texts)
+    n, root = components(texts, 4, 85)
+    monkeypatch.setattr(ngram_join, "CHANCE", 1 << 40)
+    got, pairs = counted_pairs(spark, monkeypatch, list(enumerate(texts)), 4, 85)
+    assert got == {k: min(j for j in range(len(texts)) if root[j] == root[k]) for k in range(len(texts))}
+    assert pairs and len(set(got.values())) < len(texts)
+
+
+def test_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 90)).astype(np.uint64)) for _ in range(40)]
+    sets[3] = sets[7] = np.zeros(0, np.uint64)
+    sketch = np.stack(ngram_join.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])), axis=1)
+    sets = [x for x in sets if len(x)]
+    assert len(sketch) == len(sets)
+    for a, x in zip(sets, sketch, strict=True):
+        for b, y in zip(sets, sketch, strict=True):
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7)]
     got = {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
