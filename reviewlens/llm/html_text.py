@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -172,25 +173,39 @@ def common_lines(a: list, b: list) -> set[int]:
     return found
 
 
-def _keys(lines: list[tuple[str, str]]) -> tuple[list, list[list[int]]]:
-    """What is aligned: runs of lines of a part as its name, lines of the page as their text; and each one's lines.
+def _hash(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
 
-    An article's lines stand for themselves alone, so that pages with one article don't lose it.
+
+def _keys(lines: list[tuple[str, str]]) -> tuple[list[int], list[list[int]]]:
+    """What is aligned, as hashes: runs of lines of a part by its name, lines of the page by their text; and each one's lines.
+
+    An article's lines are 0: they stand for themselves alone, so that pages with one article don't lose it.
     """
-    keys: list = []
+    keys: list[int] = []
     of: list[list[int]] = []
+    inner = not any(zone == "article" for zone, _ in lines)
+    part = None
     for k, (zone, text) in enumerate(lines):
-        if zone not in ("article", "page"):
-            if keys and keys[-1] == ("part", zone):
+        own = zone == "article" or inner and _inner(zone)
+        if not own and zone != "page":
+            if part == zone:
                 of[-1].append(k)
                 continue
-            keys.append(("part", zone))
+            part = zone
+            keys.append(_hash("part", zone))
         else:
-            keys.append(("page", text) if zone == "page" else object())
+            part = None
+            keys.append(0 if own else _hash("page", text))
         of.append([k])
     return keys, of
 
 
+def shared_runs(mine: list[int], other: list[int]) -> set[int]:
+    """The places in ``mine`` of what two pages share, by their ``_keys``."""
+    return common_lines([k or object() for k in mine], [k or object() for k in other])
+
+
 def main_text(lines: list[tuple[str, str]], other: list[tuple[str, str]] | None) -> str:
     """The text left of a page once the lines that it shares with ``other`` are deleted.
 
@@ -198,10 +213,12 @@ def main_text(lines: list[tuple[str, str]], other: list[tuple[str, str]] | None)
     other page lacks them, and an article, if there is one, is all of the main text. An article all of
     whose text is in parts that a class names (a letter with class ``reply``) is that text.
     """
-    gone: set[int] = set()
-    if other is not None:
-        keys, of = _keys(lines)
-        gone = {k for i in common_lines(keys, _keys(other)[0]) for k in of[i]}
+    return _held(lines, set() if other is None else shared_runs(_keys(lines)[0], _keys(other)[0]))
+
+
+def _held(lines: list[tuple[str, str]], runs: set[int]) -> str:
+    """``main_text`` of a page without these runs of its ``_keys``."""
+    gone = {k for i, of in enumerate(_keys(lines)[1]) if i in runs for k in of} if runs else set()
     left = [(zone, text) for k, (zone, text) in enumerate(lines) if k not in gone]
     if _marked(left) and not any(z == "article" for z, _ in left):
         return " ".join(text for z, text in left if _inner(z))
@@ -227,33 +244,46 @@ def _near(a: str, b: str) -> int:
     return n
 
 
-def _outline(lines: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The lines with what another page is aligned with: the text of the page's own lines alone."""
-    return [(zone, text if zone == "page" else "") for zone, text in lines]
-
-
+_ARROW_LINES = pa.list_(pa.struct([("zone", pa.string()), ("text", pa.string())]))
 _LINES = T.ArrayType(T.StructType([T.StructField("zone", T.StringType()), T.StructField("text", T.StringType())]))
 
 
-def _read(batches):
-    """Each page's text if it has an article, and its lines: all without an article, else their outline."""
+def _outlines(batches):
+    """Each page's content as a hash and what it is aligned by (``_keys``); without an article its lines too."""
     for batch in batches:
-        texts, lines = [], []
+        sigs, keys, lines = [], [], []
         for html in batch.column(batch.schema.get_field_index("_html")):
             found = lines_of(html.as_py() or "")
-            marked = _marked(found)
-            texts.append(main_text(found, None) if marked else None)
-            lines.append([{"zone": z, "text": t} for z, t in (_outline(found) if marked else found)])
-        kind = pa.list_(pa.struct([("zone", pa.string()), ("text", pa.string())]))
+            sigs.append(_hash(*[x for line in found for x in line]))
+            keys.append(_keys(found)[0])
+            lines.append(None if _marked(found) else [{"zone": z, "text": t} for z, t in found])
         kept = [c for c in batch.schema.names if c != "_html"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(texts, pa.string()), pa.array(lines, kind)], [*kept, "_text", "_lines"])
+        columns = [*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(sigs, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(lines, _ARROW_LINES)]
+        yield pa.RecordBatch.from_arrays(columns, [*kept, "_sig", "_keys", "_lines"])
+
+
+def _read(batches):
+    """Each page's content as a hash, and its lines."""
+    for batch in batches:
+        found = [lines_of(html.as_py() or "") for html in batch.column(batch.schema.get_field_index("_html"))]
+        sigs = pa.array([_hash(*[x for line in page for x in line]) for page in found], pa.int64())
+        lines = pa.array([[{"zone": z, "text": t} for z, t in page] for page in found], _ARROW_LINES)
+        kept = [c for c in batch.schema.names if c != "_html"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], sigs, lines], [*kept, "_sig", "_lines"])
+
+
+def _compare(batches):
+    """The runs that a page shares with its mate."""
+    for batch in batches:
+        pid, mine, other = (batch.column(batch.schema.get_field_index(c)) for c in ("_pid", "_keys", "_other"))
+        runs = [sorted(shared_runs(x, y)) for x, y in zip(mine.to_pylist(), other.to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pid, pa.array(runs, pa.list_(pa.int32()))], ["_of", "_runs"])
 
 
 def _subtract(batches):
     for batch in batches:
-        row, lines, other = (batch.column(batch.schema.get_field_index(c)) for c in ("_row", "_lines", "_other"))
-        pairs = lambda x: None if x is None else [(p["zone"], p["text"]) for p in x]
-        texts = [main_text(pairs(x.as_py()) or [], pairs(y.as_py())) for x, y in zip(lines, other, strict=True)]
+        row, lines, runs = (batch.column(batch.schema.get_field_index(c)) for c in ("_row", "_lines", "_runs"))
+        texts = [_held([(p["zone"], p["text"]) for p in x.as_py()], set(y.as_py() or ())) for x, y in zip(lines, runs, strict=True)]
         yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string())], ["_row", "_text"])
 
 
@@ -359,36 +389,38 @@ def own_lines(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Every row without ``html``, with ``text`` (the main text, empty if none) and ``n_chars`` (its code points).
 
-    A page with an article needs no other page. Any other one loses the lines that it shares with the
-    nearest URL of its host, in order of host, path and key, that is neither a copy nor a near copy of
-    it (``NEAR_COPIES``, and chains of them, by the lines that are not on all pages of the host): copies
-    keep their text. A host all of whose pages share a story under different titles has that story as
+    A page loses the lines that it shares with the nearest URL of its host, in order of host, path and
+    key, that is no copy of it and, where it has no article, no near copy
+    (``NEAR_COPIES``, and chains of them, by the lines that are not on all pages of the host): copies
+    keep their text. The lines of an article are its own, and are never shared. A host all of whose pages share a story under different titles has that story as
     its frame, as no other page tells it from a menu. The nearest page doesn't depend
     on partitions, and no host, however large, meets in one task. Pages without lines are no one's
     nearest. Null URLs form a host of their own; null and empty html give an empty text; a page whose
     host has no page of other content is held to its zones only. Pages of any length are whole. Columns named ``text`` or ``n_chars``
-    are replaced, whatever their case. Contents are compared by 64-bit hashes.
+    are replaced, whatever their case. Contents and lines are compared by 64-bit hashes.
     """
     columns = [pages[c] for c in pages.columns if c.lower() not in (html.lower(), "text", "n_chars")]
     rows = pages.select(F.struct(*columns).alias("_row"), host_of(pages[url]).alias("_host"), path_of(pages[url]).alias("_path"), pages[key].alias("_key"), pages[html].cast("string").alias("_html"))
-    schema = T.StructType([f for f in rows.schema if f.name != "_html"]).add("_text", "string").add("_lines", _LINES)
-    read = keep(rows.transform(in_python, _read, schema))
+    schema = lambda dropped, *more: T.StructType([f for f in rows.schema if f.name not in ("_html", *dropped)] + [T.StructField(n, t) for n, t in more])
     # content by its lines; of a page, by its place too
-    sig = F.xxhash64(F.transform("_lines", lambda x: F.concat(x["zone"], F.lit("\n"), x["text"])), F.size("_lines"))
-    pid = lambda: F.xxhash64("_host", F.col("_host").isNull(), "_path", "_key", F.col("_key").isNull(), "_sig")
-    open_ = read.where("_text is null and size(_lines) > 0").withColumn("_sig", sig).withColumn("_pid", pid())
-    done = read.where("_text is not null or size(_lines) = 0").select("_row", F.coalesce("_text", F.lit("")).alias("_text"))
+    pid = F.xxhash64("_host", F.col("_host").isNull(), "_path", "_key", F.col("_key").isNull(), "_sig")
+    # lines are made twice of the pages and never stored: first what pages are aligned by, then what is left of them
+    outlines = rows.drop("_row").transform(in_python, _outlines, schema(["_row"], ("_sig", T.LongType()), ("_keys", T.ArrayType(T.LongType())), ("_lines", _LINES)))
+    hkey = F.xxhash64("_host", F.col("_host").isNull())
+    outlines = keep(outlines.where("size(_keys) > 0").withColumn("_pid", pid).withColumn("_hkey", hkey).withColumn("_hid", F.xxhash64("_hkey", "_sig")))
+    placed = outlines.select("_host", "_path", "_key", "_sig", "_pid", "_hid").withColumn("_class", F.col("_hid"))
+    open_ = outlines.where("_lines is not null")
     if open_.limit(1).count():
-        hkey = F.xxhash64("_host", F.col("_host").isNull())
-        hid = lambda: F.xxhash64("_hkey", "_sig")
-        contents = open_.withColumn("_hkey", hkey).withColumn("_hid", hid()).dropDuplicates(["_hid"])
         # written down, as the join reads its texts several times
-        linked = link(keep(own_lines(contents)), 4, NEAR_COPIES, "_hid", "_own")
-        classes = keep(linked.select(F.col("id").alias("_hid"), F.col("component_id").alias("_class")))
-        all_ = read.where("size(_lines) > 0").withColumn("_sig", sig).withColumn("_pid", pid()).withColumn("_hkey", hkey).withColumn("_hid", hid())
-        placed = all_.select("_host", "_path", "_key", "_sig", "_pid", "_hid").join(classes, "_hid", "left").withColumn("_class", F.coalesce("_class", "_hid"))
-        mate = open_.select("_pid").distinct().join(mates(placed), "_pid")
-        lines = all_.select(F.col("_sig").alias("_mate"), F.col("_lines").alias("_other")).dropDuplicates(["_mate"])
-        paired = open_.join(mate, "_pid", "left").join(lines, "_mate", "left").select("_row", "_lines", "_other")
-        done = done.unionByName(paired.transform(in_python, _subtract, T.StructType([read.schema["_row"], T.StructField("_text", T.StringType())])))
+        linked = link(keep(own_lines(open_.dropDuplicates(["_hid"]))), 4, NEAR_COPIES, "_hid", "_own")
+        classes = keep(linked.select(F.col("id").alias("_hid"), F.col("component_id").alias("_near")))
+        placed = placed.join(classes, "_hid", "left").withColumn("_class", F.coalesce("_near", "_hid")).drop("_near")
+    mine = outlines.select("_pid", "_keys").dropDuplicates(["_pid"])
+    other = outlines.select(F.col("_sig").alias("_mate"), F.col("_keys").alias("_other")).dropDuplicates(["_mate"])
+    pairs = mates(placed).where("_mate is not null").join(mine, "_pid").join(other, "_mate")
+    runs = pairs.transform(in_python, _compare, "_of long, _runs array<int>")
+    read = rows.transform(in_python, _read, schema([], ("_sig", T.LongType()), ("_lines", _LINES))).select("_row", "_lines", pid.alias("_pid"))
+    # the side of the runs is small and is looked up, so lines are not sorted
+    paired = read.join(runs.hint("shuffle_hash"), F.col("_pid") == F.col("_of"), "left").select("_row", "_lines", "_runs")
+    done = paired.transform(in_python, _subtract, T.StructType([rows.schema["_row"], T.StructField("_text", T.StringType())]))
     return done.select("_row.*", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))

@@ -112,6 +112,30 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert got[4]["text"] == "" and got[4]["n_chars"] == 0 and got[5]["text"] == ""
 
 
+def test_pages_with_an_article_are_differenced(spark, monkeypatch):
+    """Each loses the parts and lines that its neighbour has too, and no line of its article."""
+    seen, held = spark.sparkContext.accumulator(0), html_text._held
+
+    def watched(lines, runs):
+        left = [x for i, of in enumerate(html_text._keys(lines)[1]) if i not in runs for x in of]
+        assert [lines[k][0] for k in left] == ["article", "article"], (lines, runs)
+        seen.add(1)
+        return held(lines, runs)
+
+    monkeypatch.setattr(html_text, "_held", watched)
+    page = "<nav>menu {0}</nav><p>Site name</p><article><p>same line</p><p>own {0}</p></article><p>Imprint</p><footer>f</footer>"
+    rows = [(k, f"http://h/{k}", page.format(k)) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"same line own {k}" for k in range(6)} and seen.value == 6
+
+
+def test_an_article_in_a_named_part_stays_beside_its_like(spark):
+    page = "<nav>menu</nav><article><div class='reply'><p>Dear reader {}</p></div></article>"
+    rows = [(k, f"http://h/{k}", page.format(k)) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Dear reader {k}" for k in range(4)}
+
+
 def test_equal_articles_on_neighbours_stay(spark):
     page = "<nav>menu</nav><article><p>same text</p></article>"
     rows = [(k, f"http://h/{k % 3}", page) for k in range(9)]
