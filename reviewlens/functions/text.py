@@ -66,9 +66,8 @@ def code_tokens(text: Column) -> Column:
     """Identifier and number tokens: camel case, acronyms and snake case split, lower case, two characters or more."""
     split = F.regexp_replace(text, r"([a-z])([A-Z])", "$1 $2")
     split = F.regexp_replace(split, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    split = F.translate(split, "_{}()[];,.<>!=+-*/&|?:@#~\"'", " " * 27)
-    found = F.regexp_extract_all(F.lower(split), F.lit(r"[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+"), F.lit(0))
-    return F.filter(found, lambda t: F.length(t) > 1)
+    # underscores and punctuation are in no token, nor are runs of one character, so nothing is translated or filtered
+    return F.regexp_extract_all(F.lower(split), F.lit(r"[a-z][a-z0-9]+|[0-9]{2,}"), F.lit(0))
 
 
 def glob_regex(pattern: str) -> str:

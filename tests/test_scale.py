@@ -297,3 +297,22 @@ def test_conflicts_over_several_batches(spark, tmp_path):
     assert len(got) == 13 and {k: outcome[k] for k in want} == want
     # the timer goes off with the batch that brings the twelfth or before
     assert (outcome[12], outcome[13]) in (("created", "conflict"), ("conflict", "created"))
+
+
+def test_tokens_need_neither_translation_nor_filter(spark):
+    """As before, tokens of two characters or more between underscores and punctuation; found by the expression alone."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from reviewlens.functions.text import code_tokens
+
+    rng = random.Random(6)
+    texts = ["", "a", "_", "1a2", "HTTPServer_x1", "aB", "12ab_34", "x-y.z", "\u0130I_K\u212a2 \u00e9a1", *("".join(rng.choice("aAbB1_2 -.\u00e9Z") for _ in range(rng.randrange(30))) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+
+    split = F.regexp_replace(F.regexp_replace("t", r"([a-z])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    plain = F.regexp_extract_all(F.lower(F.translate(split, "_{}()[];,.<>!=+-*/&|?:@#~\"'", " " * 27)), F.lit(r"[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+"), F.lit(0))
+    rows = docs.select("t", code_tokens(F.col("t")).alias("got"), F.filter(plain, lambda x: F.length(x) > 1).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in rows) and any(len(r["got"]) > 3 for r in rows)
+    assert not re.search("translate|filter|lambda", docs.select(code_tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower())
