@@ -184,9 +184,17 @@ def _fewest(low, high, other_low, other_high, per, least=np.minimum, greatest=np
     return least(shared(small), shared(large))
 
 
-def _prefixes(per, heavy, parts):
+def _prefixes(size, per, heavy, parts):
+    """Of texts: the prefixes of their sets, a row a shingle.
+
+    Sets and prefixes are made in one go: as two steps, each task would hold two Python workers, and
+    sets would pass from the one to the other through the JVM.
+    """
+
     def run(batches):
-        for batch in batches:
+        for batch in _sets(size)(batches):
+            if not batch.num_rows:
+                continue
             flat, first = _unpack(batch.column(1))
             n = np.diff(first)
             of = np.repeat(np.arange(len(n)), n)
@@ -407,7 +415,7 @@ def link(docs: DataFrame, size: int = 5, per: int = 80, key: str = "doc_id", tex
         n_sets = sets.agg(F.count_distinct("sid")).first()[0]
         heavy = frequent.groupBy(F.col("hot").alias("h")).agg(F.sum("n").alias("c")).where(F.col("c") > max(8, n_sets * HEAVY / 2))
         heavy = np.array(sorted(r["h"] for r in heavy.collect()), np.int64).view(np.uint64)
-        prefixes = kept.transform(in_python, _prefixes(per, heavy, 1 + n_sets // SETS_A_PART), "h long, part int, sid long, n int, place int")
+        prefixes = rows.transform(in_python, _prefixes(size, per, heavy, 1 + n_sets // SETS_A_PART), "h long, part int, sid long, n int, place int")
         lists = tmp.write(prefixes.repartition("h", "part").transform(in_python, _lists(per), "h long, part int, sid long, n long, place long, lead long, often long"), "lists")
         # a set goes to the leader with which it shares most, if more than chance; else it is its own home
         votes = lists.groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))

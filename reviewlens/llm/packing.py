@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm.common import _LOWER, in_python, keep, ranked, text_buffers, word_hashes, word_spans
@@ -374,6 +374,13 @@ def grouped_plan(counts: dict[int, int], capacity: int, groups: int = 20, small:
     return places
 
 
+def table_of(spark: SparkSession, places: list[Place]) -> DataFrame:
+    """The places as a table. It goes as an Arrow table, since rows of Python are read by workers of their own, which stay beside those of the tasks."""
+    names = ["_length", "_from", "_to", "_bin", "_each", "_offset"]
+    columns = zip(*places, strict=True) if places else [[]] * len(names)
+    return spark.createDataFrame(pa.table({c: pa.array(x, pa.int64()) for c, x in zip(names, columns, strict=True)}))
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", seed: int = 31) -> DataFrame:
     """Pack all rows into sequences of at most ``capacity`` tokens: a row for each piece of a document, with its token ids.
 
@@ -389,8 +396,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_
     spark = docs.sparkSession
     pieces = keep(pieces_of(docs, tokenizer, capacity, key, text))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    schema = "_length long, _from long, _to long, _bin long, _each long, _offset long"
-    places = F.broadcast(spark.createDataFrame(plan(counts, capacity), schema))
+    places = F.broadcast(table_of(spark, plan(counts, capacity)))
     pieces = pieces.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32"))
     # ids travel with their piece: a bucket of 4096 tokens a piece is about 8 MB, 16 MB with ids of 4 bytes
     at = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank", "_h", per_bucket=1000)

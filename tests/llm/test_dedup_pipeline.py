@@ -93,6 +93,21 @@ def test_join_stores_no_shingles(spark, monkeypatch):
     assert sum(stored) < 200 * 997 * 8 / 2
 
 
+def test_a_task_of_the_join_holds_one_worker(spark, monkeypatch):
+    """No step in Python reads another one's rows within its task, where each would hold a worker of its own."""
+    fed, step = [], ngram_join.in_python
+
+    def watched(df, run, schema):
+        fed.append(str(df._jdf.queryExecution().optimizedPlan().toString()))
+        return step(df, run, schema)
+
+    monkeypatch.setattr(ngram_join, "in_python", watched)
+    assert ngram_join.link(odd(spark), 4, 85).count()
+    assert len(fed) >= 5
+    for plan in fed:
+        assert "MapInArrow" not in plan.partition("RepartitionByExpression")[0]
+
+
 def test_join_odd_rows(spark):
     docs = odd(spark)
     got = ngram_join.link(docs, 4, 85).collect()

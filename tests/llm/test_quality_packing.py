@@ -160,6 +160,15 @@ def test_plans_of_few_items_are_optimal():
     assert over <= 3
 
 
+def test_places_are_read_without_python_workers(spark):
+    places = packing.plan({4000: 3, 90: 50, 1: 7}, 4096)
+    table = packing.table_of(spark, places)
+    assert sorted(map(tuple, table.collect())) == sorted(places)
+    assert table.columns == ["_length", "_from", "_to", "_bin", "_each", "_offset"]
+    assert "Python" not in table._jdf.queryExecution().toRdd().toDebugString()
+    assert packing.table_of(spark, []).count() == 0
+
+
 def test_packing_odd_rows(spark):
     from tokenizers import Tokenizer
 
